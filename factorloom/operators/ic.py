@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio
-from ..functions.stats import safe_corr
-from .ordered import average_rank, drop_stats, group_quantiles, order_stats, with_quantiles, _attach
+from ..functions.stats import complete_pair, safe_corr
+from .ordered import average_rank, drop_stats, order_stats, with_quantiles
 from .ts import forward_return
+from .xsec import rank_expr
 
 
 @dataclass(frozen=True)
@@ -42,50 +43,77 @@ def with_label(panel: DataFrame, horizon: int = 5, shift: int = 0, out: str = "l
     return panel.withColumn(out, forward_return(horizon, shift))
 
 
-def daily_ic(
+def date_scores(
     long: DataFrame, how: Convention = STANDARD, by: Sequence[str] = ("factor_id",), label: str = "label", wide=False
 ) -> DataFrame:
-    """(by..., date, n, rank_ic), dates below the minimum or without spread left out or kept as 0."""
+    """(by..., date, n, rank_ic, n_rows, n_values); rank_ic is NULL on dates that do not count.
+
+    One pass: both sides are blanked on incomplete pairs, ranked and correlated, so that
+    coverage comes from the same aggregation.
+    """
     keys = [*by, "date"]
-    whole = F.col("factor_value").isNotNull() & F.col(label).isNotNull()
-    pairs = long.filter(whole).select(*keys, "asset", "factor_value", F.col(label).alias("_y"))
-    x, y = "factor_value", "_y"
-    if how.ranked:
-        for src, out in (("factor_value", "_rx"), ("_y", "_ry")):
-            pairs = drop_stats(
-                order_stats(pairs, keys, src, "_o", wide=wide).withColumn(out, average_rank("_o")), "_o"
-            )
-        x, y = "_rx", "_ry"
-    daily = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), safe_corr(x, y).alias("rank_ic"))
+    x, y = complete_pair("factor_value", label)
+    d = long.select(*keys, "asset", "factor_value", x.alias("_x"), y.alias("_y"))
+    a, b = F.col("_x"), F.col("_y")
+    if how.ranked and wide:
+        for src, out in (("_x", "_rx"), ("_y", "_ry")):
+            d = drop_stats(order_stats(d, keys, src, "_o", wide=True).withColumn(out, average_rank("_o")), "_o")
+        a, b = F.col("_rx"), F.col("_ry")
+    elif how.ranked:
+        d = d.withColumns({"_rx": rank_expr("_x", keys, share=False), "_ry": rank_expr("_y", keys, share=False)})
+        a, b = F.col("_rx"), F.col("_ry")
+    daily = d.groupBy(*keys).agg(
+        F.count("_x").alias("n"),
+        safe_corr(a, b).alias("rank_ic"),
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count("factor_value").alias("n_values"),
+    )
+    enough = F.col("n") >= how.min_n
     if how.zero_degenerate:
-        value = F.when(F.col("n") >= how.min_n, F.coalesce("rank_ic", F.lit(0.0))).otherwise(0.0)
-        return daily.withColumn("rank_ic", value)
-    return daily.filter((F.col("n") >= how.min_n) & F.col("rank_ic").isNotNull())
+        scored = F.when(enough, F.coalesce("rank_ic", F.lit(0.0))).when(F.col("n") > 0, 0.0)
+    else:
+        scored = F.when(enough, F.col("rank_ic"))
+    return daily.withColumn("rank_ic", scored)
 
 
-def summarize_ic(daily: DataFrame, how: Convention = STANDARD, by: Sequence[str] = ("factor_id",)) -> DataFrame:
-    """Mean, spread, ICIR, share of positive dates and number of dates per factor."""
+def daily_ic(
+    long: DataFrame, how: Convention = STANDARD, by: Sequence[str] = ("factor_id",), label: str = "label", wide=False
+) -> DataFrame:
+    """(by..., date, n, rank_ic), dates below the minimum or without spread left out or kept as 0."""
+    scored = date_scores(long, how, by, label, wide).filter(F.col("rank_ic").isNotNull())
+    return scored.select(*by, "date", "n", "rank_ic")
+
+
+def ic_aggregates(how: Convention) -> dict[str, Column]:
+    """Mean, spread, ICIR, share of positive dates and number of dates."""
     spread = F.stddev_samp("rank_ic") if how.sample_std else F.stddev_pop("rank_ic")
-    return daily.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_dates"),
-        F.avg("rank_ic").alias("ic_mean"),
-        F.coalesce(spread, F.lit(0.0)).alias("ic_std"),
-        F.coalesce(ratio(F.avg("rank_ic"), spread), F.lit(0.0)).alias("ic_ir"),
-        F.avg((F.col("rank_ic") > 0).cast("double")).alias("positive_ratio"),
-    )
+    zero = F.lit(0.0)
+    return {
+        "n_dates": F.count("rank_ic"),
+        "ic_mean": F.coalesce(F.avg("rank_ic"), zero),
+        "ic_std": F.coalesce(spread, zero),
+        "ic_ir": F.coalesce(ratio(F.avg("rank_ic"), spread), zero),
+        "positive_ratio": F.coalesce(F.avg((F.col("rank_ic") > 0).cast("double")), zero),
+    }
 
 
-def coverage(long: DataFrame, by: Sequence[str] = ("factor_id",)) -> DataFrame:
-    return long.groupBy(*by).agg(F.avg(F.col("factor_value").isNotNull().cast("double")).alias("coverage"))
+def summarize_ic(daily: DataFrame, how: Convention = STANDARD, by: Sequence[str] = ("factor_id",)) -> DataFrame:
+    return daily.groupBy(*by).agg(*[c.alias(n) for n, c in ic_aggregates(how).items()])
 
 
-def batch_rank_ic(long: DataFrame, how: Convention = STANDARD, label: str = "label", wide=False) -> DataFrame:
-    """One row per factor, factors without a usable date included as zeros."""
-    found = summarize_ic(daily_ic(long, how, label=label, wide=wide), how)
-    metrics = ["n_dates", "ic_mean", "ic_std", "ic_ir", "positive_ratio"]
-    joined = coverage(long).join(found, "factor_id", "left").fillna(0, metrics)
-    none = F.col("n_dates") == 0
-    return joined.withColumn("coverage", F.when(none, F.lit(0.0)).otherwise(F.col("coverage")))
+def batch_rank_ic(
+    long: DataFrame, how: Convention = STANDARD, by: Sequence[str] = ("factor_id",), label: str = "label", wide=False
+) -> DataFrame:
+    """One row per factor; a factor without a usable date scores zero everywhere."""
+    share = ratio(F.sum("n_values").cast("double"), F.sum("n_rows"))
+    return (
+        date_scores(long, how, by, label, wide)
+        .groupBy(*by)
+        .agg(
+            *[c.alias(n) for n, c in ic_aggregates(how).items()],
+            F.when(F.count("rank_ic") > 0, share).otherwise(0.0).alias("coverage"),
+        )
+    )
 
 
 def ic_by_horizon(panel_long: DataFrame, labels: dict[int, str], how: Convention = STANDARD, wide=False) -> DataFrame:

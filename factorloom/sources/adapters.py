@@ -39,34 +39,38 @@ def weekly_panel(spark: SparkSession, sf_dir: str, fields: Iterable[str] = ()) -
     else:
         li = li.withColumn("p_retailprice", F.lit(None).cast("double"))
     unit = F.col("l_extendedprice") / F.col("l_quantity")
-    line = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
+    weekday = F.weekday("l_shipdate")
+    by_day = [
+        F.sum(F.when(weekday == d, F.col(c))).alias(f"{c}_{d}") for d in range(7) for c in ("l_extendedprice", "l_quantity")
+    ]
     cells = li.groupBy(
         F.to_date(F.date_trunc("week", "l_shipdate")).alias("date"), F.col("l_suppkey").alias("supp")
     ).agg(
         F.sum("l_extendedprice").alias("ext"),
         F.sum("l_quantity").alias("volume"),
         F.count(F.lit(1)).alias("trades"),
-        F.min_by(unit, line).alias("open"),
         F.max(unit).alias("high"),
         F.min(unit).alias("low"),
         F.sum("l_discount").alias("disc"),
         F.sum("p_retailprice").alias("retail"),
-        *([F.count_distinct("l_orderkey").alias("orders")] if want & {"pe", "pe_ttm"} else []),
+        *by_day,
     )
+    # The opening price is the average price of the week's first trading day.
+    first_day = [cents(f"l_extendedprice_{d}") / F.col(f"l_quantity_{d}") for d in range(7)]
     p = cells.select(
         "date",
         F.lpad(F.col("supp").cast("string"), 10, "0").alias("asset"),
         "supp",
-        "open",
+        F.coalesce(*first_day).alias("open"),
         "high",
         "low",
         (cents("ext") / F.col("volume")).alias("close"),
         "volume",
+        "trades",
         cents("ext").alias("amount"),
         (F.col("volume") / F.col("trades")).alias("turnover"),
         (cents("disc") / F.col("trades")).alias("disc"),
         (cents("retail") / F.col("trades")).alias("retail"),
-        *(["orders"] if "orders" in cells.columns else []),
     )
     if want & SHARE_FIELDS:
         whole = Window.partitionBy("supp")
@@ -96,7 +100,7 @@ def weekly_panel(spark: SparkSession, sf_dir: str, fields: Iterable[str] = ()) -
         "underlying_price": F.col("open"),
     }
     if want & {"pe", "pe_ttm"}:
-        made["pe"] = made["pe_ttm"] = F.col("amount") / F.col("orders")
+        made["pe"] = made["pe_ttm"] = F.col("amount") / F.col("trades")
     if want & SHARE_FIELDS:
         made["circ_mv"] = F.col("float_market_cap")
         made["issuance_size"] = F.col("market_cap")
@@ -141,17 +145,16 @@ def date_is_wide(spark: SparkSession, sf_dir: str) -> bool:
 PANEL_SQL = """
 lines AS (
   SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS date, l_suppkey AS supp, l_extendedprice AS e, l_quantity AS q,
-         l_extendedprice / l_quantity AS unit, l_discount, l_orderkey, l_linenumber, l_partkey, l_shipdate, p_retailprice
+         l_extendedprice / l_quantity AS unit, l_discount, isodow(l_shipdate) - 1 AS wd, p_retailprice
   FROM lineitem LEFT JOIN part ON l_partkey = p_partkey),
 cells AS (
   SELECT date, supp, round(sum(e), 2) AS amount, sum(q) AS volume, count(*) AS trades,
-         first(unit ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, e, q) AS open,
-         max(unit) AS high, min(unit) AS low, round(sum(l_discount), 2) AS disc0, round(sum(p_retailprice), 2) AS retail0,
-         count(DISTINCT l_orderkey) AS orders
+         coalesce(FIRST_DAY) AS open,
+         max(unit) AS high, min(unit) AS low, round(sum(l_discount), 2) AS disc0, round(sum(p_retailprice), 2) AS retail0
   FROM lines GROUP BY date, supp),
 shaped AS (
   SELECT date, supp, lpad(CAST(supp AS VARCHAR), 10, '0') AS asset, open, high, low, amount / volume AS close, volume, amount,
-         volume / trades AS turnover, disc0 / trades AS disc, retail0 / trades AS retail, orders,
+         volume / trades AS turnover, disc0 / trades AS disc, retail0 / trades AS retail, trades,
          sum(volume) OVER (PARTITION BY supp) AS total_share
   FROM cells),
 panel AS (
@@ -160,12 +163,15 @@ panel AS (
          close * total_share AS market_cap, close * total_share * (1 - disc) AS float_market_cap,
          close * total_share * (1 - disc) AS circ_mv, close * total_share AS issuance_size,
          coalesce(n_name, 'unknown') AS industry, close / retail AS pb, close / retail - 1 AS premium_rate,
-         amount / orders AS pe, amount / orders AS pe_ttm,
+         amount / trades AS pe, amount / trades AS pe_ttm,
          turnover AS turnover_rate, close AS vwap, (open - close) / open AS basis,
          high / low - 1 AS term_structure, volume * 2 + turnover AS open_interest,
          high AS near_price, low AS far_price, open AS spot, close AS future, disc AS delta, low AS bond_floor,
          open AS underlying_price
   FROM shaped s LEFT JOIN supplier ON supp = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey)"""
+PANEL_SQL = PANEL_SQL.replace(
+    "FIRST_DAY", ", ".join(f"round(sum(e) FILTER (WHERE wd = {d}), 2) / sum(q) FILTER (WHERE wd = {d})" for d in range(7))
+)
 
 DAILY_SQL = """
 daily AS (
