@@ -50,4 +50,5 @@ def load_all() -> None:
     from . import (  # noqa: F401
         dsl,
         evaluation,
+        research,
     )

@@ -338,43 +338,39 @@ def ic_p_value_fdr(spark, sf_dir):
     return show(out.withColumnRenamed("adjusted_p", "screened_p"), ["factor_id"], ["p_value", "screened_p"])
 
 
-# Raw p-values for the corrections: one per part, from its line items' price level.
-RAW_P = """rp AS (SELECT l_partkey AS k, round(sum(l_discount), 2) / count(*) / 0.2 AS p0 FROM lineitem GROUP BY 1),
-pv AS (SELECT k, CASE WHEN k = 7 THEN 1.0 ELSE p0 * p0 * p0 END AS p FROM rp)"""
-BH = """o AS (SELECT k, p, row_number() OVER (ORDER BY p, k) AS r, count(*) OVER () AS n FROM pv),
-j AS (SELECT *, min(least(1.0, p * n / r)) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS adj,
-  max(CASE WHEN p <= 0.05 * r / n THEN r END) OVER () AS last FROM o)"""
+# A p-like score per factor and date: each factor's dates are one family, as long as the calendar.
+RAW_P = f"""{long_factors()}, {ic_daily('facs')}, pv AS (SELECT factor_id, date, pow(1 - abs(rank_ic), 40) AS p FROM daily)"""
+BH = """o AS (SELECT *, row_number() OVER (PARTITION BY factor_id ORDER BY p, date) AS r, count(*) OVER (PARTITION BY factor_id) AS n FROM pv),
+j AS (SELECT *, min(least(1.0, p * n / r)) OVER (PARTITION BY factor_id ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS adj,
+  max(CASE WHEN p <= 0.05 * r / n THEN r END) OVER (PARTITION BY factor_id) AS last FROM o)"""
 
 
 def raw_p(spark, sf_dir):
-    from ..sources.adapters import cents, table
-
-    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("k")).agg(
-        F.sum("l_discount").alias("s"), F.count(F.lit(1)).alias("c")
-    )
-    p0 = cents("s") / F.col("c") / 0.2
-    return li.select("k", F.when(F.col("k") == 7, F.lit(float("nan"))).otherwise(p0 * p0 * p0).alias("p"))
+    long, wide = factor_long(spark, sf_dir)
+    return ic.daily_ic(long, wide=wide).select("factor_id", "date", F.pow(1 - F.abs("rank_ic"), F.lit(40.0)).alias("p"))
 
 
 @query(
     "h_benjamini_hochberg",
-    f"""WITH {RAW_P}, {BH} SELECT k, CAST(r <= coalesce(last, 0) AS INT) AS rejected, n AS n_total, {r6('adj', 'adjusted_p')},
-CAST(sum(CASE WHEN r <= coalesce(last, 0) THEN 1 ELSE 0 END) OVER () AS BIGINT) AS n_rejected FROM j""",
+    f"""WITH {RAW_P}, {BH} SELECT factor_id, CAST(date AS VARCHAR) AS date, CAST(r <= coalesce(last, 0) AS INT) AS rejected, n AS n_total, {r6('adj', 'adjusted_p')},
+CAST(sum(CASE WHEN r <= coalesce(last, 0) THEN 1 ELSE 0 END) OVER (PARTITION BY factor_id) AS BIGINT) AS n_rejected FROM j""",
 )
 def bh(spark, sf_dir):
-    out = hypothesis.benjamini_hochberg(raw_p(spark, sf_dir), "p", "k")
-    return show(out.withColumn("rejected", F.col("rejected").cast("int")), ["k", "rejected", "n_total", "n_rejected"], ["adjusted_p"])
+    out = hypothesis.benjamini_hochberg(raw_p(spark, sf_dir), "p", "date", by=["factor_id"])
+    out = out.withColumn("rejected", F.col("rejected").cast("int"))
+    return show(out, ["factor_id", "date", "rejected", "n_total", "n_rejected"], ["adjusted_p"])
 
 
 @query(
     "h_bonferroni",
-    f"""WITH {RAW_P}, n AS (SELECT *, count(*) OVER () AS n FROM pv)
-SELECT k, CAST(p < 0.05 / n AS INT) AS rejected, {r6('least(1.0, p * n)', 'adjusted_p')}, {r6('0.05 / n', 'threshold', 9)} FROM n""",
+    f"""WITH {RAW_P}, n AS (SELECT *, count(*) OVER (PARTITION BY factor_id) AS n FROM pv)
+SELECT factor_id, CAST(date AS VARCHAR) AS date, CAST(p < 0.05 / n AS INT) AS rejected, {r6('least(1.0, p * n)', 'adjusted_p')}, {r6('1000 * 0.05 / n', 'threshold')} FROM n""",
 )
 def bonf(spark, sf_dir):
-    out = hypothesis.apply_fdr(raw_p(spark, sf_dir), "p", "bonferroni").withColumn("rejected", F.col("rejected").cast("int"))
-    threshold = F.round(F.col("threshold") + 0.0314159e-9, 9)
-    return show(out.withColumn("threshold", threshold), ["k", "rejected", "threshold"], ["adjusted_p"])
+    out = hypothesis.bonferroni(raw_p(spark, sf_dir), "p", by=["factor_id"]).withColumns(
+        {"rejected": F.col("rejected").cast("int"), "threshold": 1000 * F.col("threshold")}
+    )
+    return show(out, ["factor_id", "date", "rejected"], ["adjusted_p", "threshold"])
 
 
 @query("h_t_two_sided_p")

@@ -147,7 +147,7 @@ def ridge_weights(returns: DataFrame, factors: Sequence[str], alpha: float = 0.1
 
 def weighted_combine(df: DataFrame, weights: Mapping[str, float], out: str = "factor_value") -> DataFrame:
     """Weighted sum of factor columns, a missing value counting as 0."""
-    total = sum((F.coalesce(F.col(f"`{f}`"), F.lit(0.0)) * float(w) for f, w in weights.items()), F.lit(0.0))
+    total = sum((F.coalesce(F.col(f"`{f}`"), F.lit(0.0)) * float(w) for f, w in sorted(weights.items())), F.lit(0.0))
     return df.withColumn(out, total)
 
 

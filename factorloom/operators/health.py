@@ -13,8 +13,13 @@ from ..functions.scalar import ratio
 from . import ic
 from .hypothesis import trend_fit
 
-HISTORY = Window.partitionBy("factor_id").orderBy("date")
-FACTOR = Window.partitionBy("factor_id")
+
+def by_factor_in_time():
+    return Window.partitionBy("factor_id").orderBy("date")
+
+
+def by_factor():
+    return Window.partitionBy("factor_id")
 
 
 def listed(*pairs: tuple[Column, str]) -> Column:
@@ -25,11 +30,11 @@ def listed(*pairs: tuple[Column, str]) -> Column:
 def ic_drift(daily: DataFrame, window: int = 60) -> DataFrame:
     """Mean of the last window against the best rolling mean."""
     least = max(5, window // 2)
-    frame = HISTORY.rowsBetween(-(window - 1), 0)
+    frame = by_factor_in_time().rowsBetween(-(window - 1), 0)
     d = daily.filter(F.col("rank_ic").isNotNull()).withColumns(
         {
             "_roll": F.when(F.count("rank_ic").over(frame) >= least, F.avg("rank_ic").over(frame)),
-            "_back": F.row_number().over(FACTOR.orderBy(F.col("date").desc())),
+            "_back": F.row_number().over(by_factor().orderBy(F.col("date").desc())),
         }
     )
     out = d.groupBy("factor_id").agg(
@@ -52,11 +57,11 @@ def ic_drift(daily: DataFrame, window: int = 60) -> DataFrame:
 
 def crowding_trend(history: DataFrame, score: str = "crowding_score", recent: int = 5) -> DataFrame:
     """Slope of the last five scores, and how many times in a row the score has risen up to now."""
-    back = FACTOR.orderBy(F.col("date").desc())
+    back = by_factor().orderBy(F.col("date").desc())
     d = history.filter(F.col(score).isNotNull()).withColumns(
-        {"_b": F.row_number().over(back), "_up": F.col(score) > F.lag(score).over(HISTORY)}
+        {"_b": F.row_number().over(back), "_up": F.col(score) > F.lag(score).over(by_factor_in_time())}
     )
-    d = d.withColumn("_stop", F.min(F.when(~F.coalesce("_up", F.lit(False)), F.col("_b"))).over(FACTOR))
+    d = d.withColumn("_stop", F.min(F.when(~F.coalesce("_up", F.lit(False)), F.col("_b"))).over(by_factor()))
     out = d.groupBy("factor_id").agg(
         F.count(F.lit(1)).alias("n_scores"),
         F.max_by(score, "date").alias("current_crowding"),
@@ -75,8 +80,8 @@ def crowding_trend(history: DataFrame, score: str = "crowding_score", recent: in
 def rolling_sharpe(nav: DataFrame, window: int = 60) -> DataFrame:
     """Current and best rolling Sharpe of a nav series per factor."""
     least = max(5, window // 2)
-    d = nav.withColumn("_r", ratio("nav", F.lag("nav").over(HISTORY)) - 1).filter(F.col("_r").isNotNull())
-    frame = HISTORY.rowsBetween(-(window - 1), 0)
+    d = nav.withColumn("_r", ratio("nav", F.lag("nav").over(by_factor_in_time())) - 1).filter(F.col("_r").isNotNull())
+    frame = by_factor_in_time().rowsBetween(-(window - 1), 0)
     sharpe = ratio(F.avg("_r").over(frame), F.stddev_samp("_r").over(frame)) * (252.0**0.5)
     d = d.withColumn("_s", F.when(F.count("_r").over(frame) >= least, sharpe))
     out = d.groupBy("factor_id").agg(
@@ -129,7 +134,7 @@ def factor_health(drift: DataFrame, crowding: DataFrame, sharpe: DataFrame) -> D
 
 def ic_trend(daily: DataFrame, min_dates: int = 20) -> DataFrame:
     """Slope and p of IC on its position; decaying / stable / insufficient."""
-    d = daily.withColumn("_t", F.row_number().over(HISTORY).cast("double"))
+    d = daily.withColumn("_t", F.row_number().over(by_factor_in_time()).cast("double"))
     fit = trend_fit(d, "rank_ic", "_t", ["factor_id"])
     falling = (F.round("slope", 6) < -0.001) & (F.round("p_value", 6) < 0.05)
     status = F.when(F.col("n") < min_dates, "insufficient").when(falling, "decaying").otherwise("stable")
@@ -149,7 +154,7 @@ def decay_check(
 
     ``scored`` is ``ic.date_scores`` under the decay convention; ``trend`` gives trend_status.
     """
-    place = F.dense_rank().over(FACTOR.orderBy(F.col("date").desc()))
+    place = F.dense_rank().over(by_factor().orderBy(F.col("date").desc()))
     d = scored.withColumn("_recent", place <= recent_dates)
 
     def part(name: str, only: Column) -> list[Column]:

@@ -65,7 +65,7 @@ def archive(entries: DataFrame, today, min_days: int = 30, min_ic: float = 0.015
     return entries.filter(holds((F.col("status") == "rejected") | ((F.col("status") == "observe") & stale)))
 
 
-def lineage(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
+def lineage(nodes: DataFrame) -> DataFrame:
     """(id, root, depth, cyclic) from (id, parent): ancestors by pointer doubling.
 
     Each round joins every node's jump target with the target's own jump, so a chain of
@@ -80,7 +80,7 @@ def lineage(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
         F.when(F.col("_known"), F.col("up")).otherwise(F.col("id")).alias("root"),
     )
     state = settle(state)
-    for _ in range(max_rounds):
+    for _ in range(state.count().bit_length() + 1):
         if not state.filter(F.col("up").isNotNull()).limit(1).count():
             break
         side = state.select(

@@ -12,7 +12,9 @@ from ..functions.scalar import bounded, col, ratio
 from .ordered import drop_stats, group_quantiles, order_stats
 from .ts import running_product, series
 
-CALENDAR = Window.partitionBy(F.lit(0)).orderBy("date")
+
+def calendar():
+    return Window.partitionBy(F.lit(0)).orderBy("date")
 
 
 # -- weights --------------------------------------------------------------------------------
@@ -79,43 +81,39 @@ def latest_rank_weights(panel: DataFrame, wide=False) -> DataFrame:
 def month_starts(dates: DataFrame) -> DataFrame:
     """First date of each month present, with the next one."""
     d = dates.groupBy(F.trunc("date", "MM").alias("_m")).agg(F.min("date").alias("date"))
-    return d.select("date", F.lead("date").over(CALENDAR).alias("next_date"), F.row_number().over(CALENDAR).alias("period"))
+    return d.select("date", F.lead("date").over(calendar()).alias("next_date"), F.row_number().over(calendar()).alias("period"))
 
 
 def every_kth(dates: DataFrame, k: int) -> DataFrame:
-    d = dates.select("date").distinct().withColumn("_p", F.row_number().over(CALENDAR) - 1).filter(F.col("_p") % k == 0)
-    return d.select("date", F.lead("date").over(CALENDAR).alias("next_date"), F.row_number().over(CALENDAR).alias("period"))
+    d = dates.select("date").distinct().withColumn("_p", F.row_number().over(calendar()) - 1).filter(F.col("_p") % k == 0)
+    return d.select("date", F.lead("date").over(calendar()).alias("next_date"), F.row_number().over(calendar()).alias("period"))
 
 
-def period_prices(panel: DataFrame, periods: DataFrame) -> DataFrame:
-    """(period, asset, start_price, end_price): first close at or after the start, last at or before the end.
+def period_prices(panel: DataFrame, periods: DataFrame, held: DataFrame) -> DataFrame:
+    """(period, asset, start_price, end_price) of the held names (period, asset).
 
-    Found with ordered windows over each asset's rows plus one marker row per period
-    boundary; no range join.
+    The first close at or after the period start and the last at or before its end, found
+    with ordered windows over each asset's closes plus one marker row per boundary; no
+    range join.
     """
-    marks = periods.filter(F.col("next_date").isNotNull()).select(
+    spans = periods.filter(F.col("next_date").isNotNull())
+    marks = held.select("period", "asset").distinct().join(spans, "period").select(
+        "asset",
+        "period",
         F.explode(
             F.array(
-                F.struct(F.col("date").alias("date"), F.lit("start").alias("kind"), "period"),
-                F.struct(F.col("next_date").alias("date"), F.lit("end").alias("kind"), "period"),
+                F.struct(F.col("date").alias("date"), F.lit("start").alias("kind")),
+                F.struct(F.col("next_date").alias("date"), F.lit("end").alias("kind")),
             )
-        ).alias("m")
-    ).select("m.*")
-    spans = panel.groupBy("asset").agg(F.min("date").alias("_first"), F.max("date").alias("_last"))
-    # Boundaries are a calendar; collect them into one array and unfold it per asset.
-    board = marks.agg(F.sort_array(F.collect_list(F.struct("date", "kind", "period"))).alias("_b"))
-    asks = (
-        spans.withColumn("_one", F.lit(1))
-        .join(F.broadcast(board.withColumn("_one", F.lit(1))), "_one")
-        .select("asset", F.explode("_b").alias("m"))
-        .select("asset", "m.*")
+        ).alias("m"),
     )
-    rows = panel.select("asset", "date", "close", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("int").alias("period"))
-    mixed = rows.unionByName(asks.select("asset", "date", F.lit(None).cast("double").alias("close"), "kind", "period"))
+    none = F.lit(None)
+    rows = panel.select("asset", "date", "close", none.cast("string").alias("kind"), none.cast("int").alias("period"))
+    asks = marks.select("asset", "m.date", none.cast("double").alias("close"), "m.kind", "period")
     order = Window.partitionBy("asset").orderBy("date")
     ahead = F.first("close", ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing))
     back = F.last("close", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0))
-    priced = mixed.withColumns({"_a": ahead, "_b": back}).filter(F.col("kind").isNotNull())
+    priced = rows.unionByName(asks).withColumns({"_a": ahead, "_b": back}).filter(F.col("kind").isNotNull())
     return priced.groupBy("period", "asset").agg(
         F.max(F.when(F.col("kind") == "start", F.col("_a"))).alias("start_price"),
         F.max(F.when(F.col("kind") == "end", F.col("_b"))).alias("end_price"),
@@ -192,7 +190,7 @@ def trade_costs(changes: DataFrame, quotes: DataFrame, notional: float, step: st
 
 def turnover_cost_impact(long: DataFrame, every: int = 20, share: float = 0.2, min_common: int = 20, wide=False) -> DataFrame:
     """Top-share change between each k-th date over names on both dates, and what it costs per year."""
-    days = long.select("date").distinct().withColumn("_p", F.row_number().over(CALENDAR) - 1)
+    days = long.select("date").distinct().withColumn("_p", F.row_number().over(calendar()) - 1)
     days = days.filter(F.col("_p") % every == 0).select("date", (F.col("_p") / every).cast("int").alias("seq"))
     held = long.select("factor_id", "date", "asset", "factor_value").join(days, "date")
     cur = held.select("factor_id", "seq", "asset", F.col("factor_value").alias("cur"))
@@ -233,7 +231,7 @@ def factor_nav(panel: DataFrame, n_long: int = 50, wide=False) -> DataFrame:
 
     A name without a close on the previous date adds nothing to the day's return.
     """
-    days = panel.select("date").distinct().withColumn("_prev_day", F.lag("date").over(CALENDAR))
+    days = panel.select("date").distinct().withColumn("_prev_day", F.lag("date").over(calendar()))
     d = panel.withColumns(
         {"_pc": F.lag("close").over(series()), "_pd": F.lag("date").over(series())}
     ).filter(F.col("factor_value").isNotNull())
@@ -243,7 +241,7 @@ def factor_nav(panel: DataFrame, n_long: int = 50, wide=False) -> DataFrame:
     per = d.groupBy("date").agg(
         (F.coalesce(F.sum(r), F.lit(0.0)) / F.count(F.lit(1))).alias("period_return"), F.count(F.lit(1)).alias("n_held")
     )
-    return per.withColumn("nav", running_product("period_return", CALENDAR))
+    return per.withColumn("nav", running_product("period_return", calendar()))
 
 
 def target_orders(targets: DataFrame, held: DataFrame, prices: DataFrame, total_value: float) -> DataFrame:

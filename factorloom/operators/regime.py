@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.scalar import ratio
 from .ts import pct_change, running_product
 
-# One row per date: a calendar, so a single ordered window is bounded.
-CALENDAR = Window.partitionBy(F.lit(0)).orderBy("date")
+def calendar():
+    """One row per date is a calendar, so a single ordered window is bounded."""
+    return Window.partitionBy(F.lit(0)).orderBy("date")
 
 
 def market_return(panel: DataFrame) -> DataFrame:
@@ -20,12 +21,12 @@ def market_return(panel: DataFrame) -> DataFrame:
 
 def detect(market: DataFrame, fast: int = 20, slow: int = 60, band: float = 0.02) -> DataFrame:
     """(date, market_return, nav, regime, switched) by the spread of two means of the cumulative return."""
-    d = market.withColumn("nav", running_product("market_return", CALENDAR))
+    d = market.withColumn("nav", running_product("market_return", calendar()))
     d = d.withColumns(
         {
-            "_f": F.avg("nav").over(CALENDAR.rowsBetween(-(fast - 1), 0)),
-            "_s": F.avg("nav").over(CALENDAR.rowsBetween(-(slow - 1), 0)),
-            "_i": F.row_number().over(CALENDAR) - 1,
+            "_f": F.avg("nav").over(calendar().rowsBetween(-(fast - 1), 0)),
+            "_s": F.avg("nav").over(calendar().rowsBetween(-(slow - 1), 0)),
+            "_i": F.row_number().over(calendar()) - 1,
         }
     )
     spread = ratio("_f", F.col("_s") + 1e-10) - 1
@@ -33,7 +34,7 @@ def detect(market: DataFrame, fast: int = 20, slow: int = 60, band: float = 0.02
         F.when(F.col("_i") < slow, "sideways").when(spread > band, "bull").when(spread < -band, "bear").otherwise("sideways")
     )
     d = d.withColumn("regime", regime)
-    before = F.when(F.col("_i") > slow, F.lag("regime").over(CALENDAR))
+    before = F.when(F.col("_i") > slow, F.lag("regime").over(calendar()))
     d = d.withColumn("switched", F.coalesce(F.col("regime") != before, F.lit(False)))
     return d.drop("_f", "_s", "_i")
 
