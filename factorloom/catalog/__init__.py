@@ -51,4 +51,5 @@ def load_all() -> None:
         dsl,
         evaluation,
         research,
+        book,
     )

@@ -130,15 +130,22 @@ def library_correlation(pairs: DataFrame, library: Sequence[str]) -> DataFrame:
     )
 
 
-def novelty(candidates: DataFrame, exploration: float = 0.1, penalty: float = 0.3, top: int = 10) -> DataFrame:
-    """Rank hypotheses by novelty against their family's share, less a penalty, plus an exploration bonus.
+def novelty(candidates: DataFrame, library: DataFrame, penalty: float = 0.3, bonus: float = 0.3, top: int = 10) -> DataFrame:
+    """Rank hypotheses (key, family) by how rare their family is in the library, plus an exploration bonus.
 
-    Needs key, family and priority; the share is over all candidates.
+    ``bonus`` is a number or a column name of the candidates.
     """
-    fam, all_ = Window.partitionBy("family"), Window.partitionBy(F.lit(0))
-    counts = candidates.groupBy("family").agg(F.count(F.lit(1)).alias("_f"))
-    counts = counts.withColumn("share", F.col("_f") / F.sum("_f").over(all_)).drop("_f")
-    d = candidates.join(counts, "family")
-    bonus = F.when(F.col("share") < 0.1, exploration).otherwise(0.0)
-    score = F.greatest(F.lit(0.1), 1.0 - F.col("share")) * F.col("priority") - penalty * F.col("share") + bonus
-    return d.withColumn("novelty_score", score).orderBy(F.col("novelty_score").desc(), "key").limit(top)
+    everyone = Window.partitionBy(F.lit(0))
+    share = library.groupBy("family").agg(F.count(F.lit(1)).alias("_f"))
+    share = share.withColumn("share", F.col("_f") / F.sum("_f").over(everyone)).drop("_f")
+    d = candidates.join(share, "family", "left").fillna(0.0, ["share"])
+    fresh = F.greatest(F.lit(0.1), 1.0 - F.col("share"))
+    extra = F.col(bonus) if isinstance(bonus, str) else F.lit(bonus)
+    d = d.withColumns({"novelty_score": F.greatest(F.lit(0.0), fresh - penalty * F.col("share")), "bonus": extra})
+    return d.orderBy((F.col("novelty_score") + F.col("bonus")).desc(), "key").limit(top)
+
+
+def exploration_bonus(failed, findings):
+    """Bonus of a little-explored family from its failed patterns and findings."""
+    none = (failed == 0) & (findings == 0)
+    return F.when(none, 0.3).otherwise(F.least(F.lit(0.5), 0.1 * failed + 0.05 * findings))
