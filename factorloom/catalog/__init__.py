@@ -52,4 +52,5 @@ def load_all() -> None:
         evaluation,
         research,
         book,
+        data,
     )

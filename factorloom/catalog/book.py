@@ -9,8 +9,10 @@ from . import query, r6, show
 from .dsl import A
 from .evaluation import factor_long
 from .sqlkit import FOUR, ic_daily, long_factors
+from ..functions.scalar import clip
 from ..operators import health, ic, oos, performance, portfolio, signals
-from ..operators.ts import delta, trend_features
+from ..operators.ts import delta, pct_change, trend_features
+from ..session import settle
 from ..sources.adapters import PANEL_SQL, date_is_wide, table, weekly_panel
 
 FACTOR = f"{PANEL_SQL}, f AS (SELECT *, close - lag(close, 5) OVER ({A}) AS factor_value FROM panel)"
@@ -214,15 +216,14 @@ pa AS (SELECT {by}, count(*) AS n_periods, exp(sum(ln(1 + r))) - 1 AS total_retu
 pb AS (SELECT *, pow(1 + total_return, 252.0 / n_periods) - 1 AS annual_return, sd * sqrt(252) AS annual_volatility FROM pa),
 perf AS (SELECT *, annual_return / nullif(annual_volatility, 0) AS sharpe, CASE WHEN max_drawdown < 0 THEN annual_return / abs(max_drawdown) ELSE 0 END AS calmar,
   mean / nullif(sd, 0) * sqrt(252) AS information_ratio FROM pb)"""
-MARKET_ONE = f"""mr AS (SELECT 'market' AS k, date, avg(r) * 0.1 AS r FROM (SELECT date, close / lag(close) OVER ({A}) - 1 AS r FROM panel) GROUP BY date HAVING avg(r) IS NOT NULL)"""
+ASSET_RETURNS = f"""ar AS (SELECT asset, date, least(greatest(close / lag(close) OVER ({A}) - 1, -0.5), 0.5) * 0.1 AS r FROM panel QUALIFY r IS NOT NULL)"""
 
 
-@query("b_performance", f"WITH {PANEL_SQL}, {MARKET_ONE}, {PERF_SQL.format(by='k', src='mr')} SELECT k, n_periods, {', '.join(r6(c, c, 4) for c in PERF)} FROM perf")
+@query("b_performance", f"WITH {PANEL_SQL}, {ASSET_RETURNS}, {PERF_SQL.format(by='asset', src='ar')} SELECT asset, n_periods, {', '.join(r6(c, c, 4) for c in PERF)} FROM perf")
 def perf(spark, sf_dir):
-    from ..operators.regime import market_return
-
-    m = market_return(weekly_panel(spark, sf_dir)).select(F.lit("market").alias("k"), "date", (F.col("market_return") * 0.1).alias("r"))
-    return show(performance.performance(m, "r", ["k"]), ["k", "n_periods"], PERF, 4)
+    r = clip(pct_change("close"), -0.5, 0.5) * 0.1
+    p = weekly_panel(spark, sf_dir).withColumn("r", r).filter(F.col("r").isNotNull())
+    return show(performance.performance(p, "r", ["asset"]), ["asset", "n_periods"], PERF, 4)
 
 
 MKT = """mk AS (SELECT per.period, avg(b.close / a.close - 1) AS m FROM per JOIN panel a ON a.date = per.date JOIN panel b ON b.date = per.next_date AND b.asset = a.asset GROUP BY 1)"""
@@ -486,7 +487,7 @@ def strategy_study(spark, sf_dir):
             F.col("avg_test_max_drawdown").alias("max_drawdown"), "research_score", "stability_score", "stability_label", "research_label",
         )
         rows = one if rows is None else rows.unionByName(one)
-    return p, rows
+    return p, settle(rows)
 
 
 @query("o_walk_forward_stability")
