@@ -53,4 +53,5 @@ def load_all() -> None:
         research,
         book,
         data,
+        texts,
     )

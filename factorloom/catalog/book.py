@@ -216,7 +216,7 @@ pa AS (SELECT {by}, count(*) AS n_periods, exp(sum(ln(1 + r))) - 1 AS total_retu
 pb AS (SELECT *, pow(1 + total_return, 252.0 / n_periods) - 1 AS annual_return, sd * sqrt(252) AS annual_volatility FROM pa),
 perf AS (SELECT *, annual_return / nullif(annual_volatility, 0) AS sharpe, CASE WHEN max_drawdown < 0 THEN annual_return / abs(max_drawdown) ELSE 0 END AS calmar,
   mean / nullif(sd, 0) * sqrt(252) AS information_ratio FROM pb)"""
-ASSET_RETURNS = f"""ar AS (SELECT asset, date, least(greatest(close / lag(close) OVER ({A}) - 1, -0.5), 0.5) * 0.1 AS r FROM panel QUALIFY r IS NOT NULL)"""
+ASSET_RETURNS = f"""ar AS (SELECT asset, date, least(greatest(close / lag(close) OVER ({A}) - 1, -0.5), 0.5) * 0.1 AS r FROM panel QUALIFY lag(close) OVER ({A}) IS NOT NULL)"""
 
 
 @query("b_performance", f"WITH {PANEL_SQL}, {ASSET_RETURNS}, {PERF_SQL.format(by='asset', src='ar')} SELECT asset, n_periods, {', '.join(r6(c, c, 4) for c in PERF)} FROM perf")

@@ -316,12 +316,12 @@ def expand(spark, sf_dir):
 
 @query(
     "s_resume_assets",
-    f"""WITH {PANEL_SQL}, l AS (SELECT DISTINCT asset FROM panel WHERE date BETWEEN DATE '2001-11-01' AND DATE '2001-12-31'), b AS (SELECT DISTINCT asset FROM panel WHERE volume > 180)
+    f"""WITH {PANEL_SQL}, l AS (SELECT DISTINCT asset FROM panel WHERE date BETWEEN DATE '2001-10-20' AND DATE '2001-12-31'), b AS (SELECT DISTINCT asset FROM panel WHERE volume > 180)
 SELECT p.asset, CASE WHEN b.asset IS NOT NULL THEN 0 ELSE 1 END AS priority FROM (SELECT DISTINCT asset FROM panel) p LEFT JOIN b USING (asset) WHERE p.asset NOT IN (SELECT asset FROM l)""",
 )
 def resume(spark, sf_dir):
     p = weekly_panel(spark, sf_dir)
-    return ingest.resume_assets(p.select("asset").distinct(), p, "2001-11-01", "2001-12-31", p.filter(F.col("volume") > 180))
+    return ingest.resume_assets(p.select("asset").distinct(), p, "2001-10-20", "2001-12-31", p.filter(F.col("volume") > 180))
 
 
 # -- set operations --------------------------------------------------------------------------------

@@ -138,11 +138,11 @@ def _wide(df, keys, x, out, tie, descending) -> DataFrame:
 
 def _attach(df: DataFrame, side: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Left join ``cols`` of ``side`` on NULL-safe keys."""
-    right = side.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *cols)
+    right = side.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], *cols)
     cond = F.lit(True)
     for i, k in enumerate(keys):
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return df.join(right, cond, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    return df.join(right, cond, "left").drop(*[f"_key{i}" for i in range(len(keys))])
 
 
 def average_rank(out: str) -> Column:

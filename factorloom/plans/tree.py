@@ -205,7 +205,7 @@ def _fold_scalars(df, todo, done, value, ready) -> bool:
         if node["block_type"] == "data":
             if node["field_name"] not in df.columns:
                 raise ValueError(f"panel lacks field: {node['field_name']}")
-            done[key] = F.col(f"`{node['field_name']}`").cast("double")
+            done[key] = scalar.number(F.col(f"`{node['field_name']}`"))
         elif node["op"] in SCALAR_TRANSFORMS:
             x = None if node["op"] == "constant" else value(node["input_block"])
             done[key] = SCALAR_TRANSFORMS[node["op"]](x, node.get("params") or {})
