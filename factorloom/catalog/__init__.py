@@ -54,4 +54,5 @@ def load_all() -> None:
         book,
         data,
         texts,
+        prepare,
     )

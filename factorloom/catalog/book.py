@@ -11,6 +11,7 @@ from .evaluation import factor_long
 from .sqlkit import FOUR, ic_daily, long_factors
 from ..functions.scalar import clip
 from ..operators import health, ic, oos, performance, portfolio, signals
+from ..operators.ordered import beside
 from ..operators.ts import delta, pct_change, trend_features
 from ..session import settle
 from ..sources.adapters import PANEL_SQL, date_is_wide, table, weekly_panel
@@ -266,7 +267,7 @@ def target_orders(spark, sf_dir):
     p = weekly_panel(spark, sf_dir)
     last = p.join(F.broadcast(p.agg(F.max("date").alias("date"))), "date", "left_semi")
     n = last.agg(F.count(F.lit(1)).alias("n"))
-    targets = last.join(F.broadcast(n)).select("asset", (1.0 / F.col("n")).alias("weight"))
+    targets = beside(last, n).select("asset", (1.0 / F.col("n")).alias("weight"))
     held = p.groupBy("asset").agg(F.sum("volume").cast("bigint").alias("quantity"))
     return portfolio.target_orders(targets, held, last.select("asset", F.col("close").alias("price")), 1e9)
 

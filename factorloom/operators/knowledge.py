@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .ordered import beside
 
 # Keyword rules in order, with the research direction each stands for.
 NEWS_RULES = [
@@ -107,7 +108,7 @@ def knowledge_match(entries: DataFrame, direction: str, top: int = 3) -> DataFra
     hits = d.filter("exact").withColumn("score", F.lit(None).cast("int"))
     found = d.agg(F.max(F.col("exact").cast("int")).alias("_any"))
     soft = d.filter((~F.col("exact")) & (F.col("score") > 0)).orderBy(F.col("score").desc(), "key").limit(top)
-    soft = soft.join(F.broadcast(found)).filter(F.coalesce("_any", F.lit(0)) == 0).drop("_any")
+    soft = beside(soft, found).filter(F.coalesce("_any", F.lit(0)) == 0).drop("_any")
     return hits.unionByName(soft)
 
 

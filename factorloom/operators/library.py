@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import holds
+from .ordered import beside
 
 
 def read_library(spark: SparkSession, path: str, schema=None) -> DataFrame:
@@ -149,7 +150,7 @@ def direction_priority(outcomes: DataFrame, floor: float = 0.015, rounds: int =
     )
     live = ~F.col("saturated") | (wr > 0.1)
     some = d.agg(F.max(live.cast("int")).alias("_some"))
-    return d.join(F.broadcast(some)).filter(live | (F.col("_some") == 0)).drop("_some", "_wins")
+    return beside(d, some).filter(live | (F.col("_some") == 0)).drop("_some", "_wins")
 
 
 def memory_snapshot(experience: DataFrame, family: str, order: Sequence[str], n: int = 3) -> DataFrame:

@@ -27,13 +27,6 @@ OVERSAMPLE = 16
 BROADCAST_ROWS = 200_000
 
 
-def same_key(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & a[k].eqNullSafe(b[k])
-    return cond
-
-
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast a side whose row count has been measured; leave larger ones to AQE."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -145,6 +138,12 @@ def _attach(df: DataFrame, side: DataFrame, keys: Sequence[str], cols: Sequence[
     return df.join(right, cond, "left").drop(*[f"_key{i}" for i in range(len(keys))])
 
 
+def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Put the columns of a one-row aggregate on every row (a broadcast of exactly one row)."""
+    left, right = df.withColumn("_one", F.lit(1)), one_row.withColumn("_one", F.lit(1))
+    return left.join(F.broadcast(right), "_one").drop("_one")
+
+
 def average_rank(out: str) -> Column:
     return F.col(f"{out}_lt") + (F.col(f"{out}_eq") + 1) / 2.0
 

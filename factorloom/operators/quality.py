@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import bounded, holds
+from .ordered import beside
 from .ts import longest_run, pct_change
 
 NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
@@ -26,7 +27,7 @@ def column_profile(df: DataFrame, sigmas: float = 5.0) -> DataFrame:
     moments = df.agg(
         *[F.avg(c).alias(f"m_{c}") for c in numbers], *[F.stddev_pop(c).alias(f"s_{c}") for c in numbers]
     )
-    d = df.join(F.broadcast(moments))  # one row
+    d = beside(df, moments)
 
     def beyond(c: str) -> Column:
         if c not in numbers:
@@ -115,10 +116,10 @@ def survivorship_filter(
     """
     ends = df.agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))
     spans = df.groupBy("asset").agg(F.min("date").alias("_first"), F.max("date").alias("_last"))
-    mature = spans.join(F.broadcast(ends)).filter(F.col("_first") < F.date_add("_lo", min_history_days))
+    mature = beside(spans, ends).filter(F.col("_first") < F.date_add("_lo", min_history_days))
     # The end of the data is measured after late listings are gone.
     last = mature.agg(F.max("_last").alias("_hi2"))
-    active = mature.join(F.broadcast(last)).filter(F.col("_last") > F.date_sub("_hi2", lookahead_days)).select("asset")
+    active = beside(mature, last).filter(F.col("_last") > F.date_sub("_hi2", lookahead_days)).select("asset")
     kept = df.join(active, "asset", "left_semi")
     dates = kept.groupBy("date").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_assets).select("date")
     kept = kept.join(dates, "date", "left_semi").withColumn("_r", pct_change("close", 5))

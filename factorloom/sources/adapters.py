@@ -73,7 +73,7 @@ def weekly_panel(spark: SparkSession, sf_dir: str, fields: Iterable[str] = ()) -
         (cents("retail") / F.col("trades")).alias("retail"),
     )
     if want & SHARE_FIELDS:
-        whole = Window.partitionBy("supp")
+        whole = Window.partitionBy("asset")
         p = p.withColumn("total_share", F.sum("volume").over(whole))
         p = p.withColumn("float_share", F.col("total_share") * (1 - F.col("disc")))
         p = p.withColumn("market_cap", F.col("close") * F.col("total_share"))

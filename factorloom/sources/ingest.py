@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalar import number
 from ..functions.text import clean_text, compact_date, known_industry, zero_pad
+from ..operators.ordered import beside
 from ..operators.ts import series
 
 # The columns of the target dataset.
@@ -97,7 +98,7 @@ def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str] = ("date", "
 def new_rows_only(df: DataFrame, loaded: DataFrame) -> DataFrame:
     """Rows after the last loaded date (all rows when nothing is loaded)."""
     last = loaded.agg(F.max("date").alias("_last"))
-    d = df.join(F.broadcast(last))
+    d = beside(df, last)
     return d.filter(F.col("_last").isNull() | (F.col("date") > F.col("_last"))).drop("_last")
 
 
@@ -182,12 +183,14 @@ def asof_join(panel: DataFrame, reports: DataFrame, value: str, backfill: bool =
     """The latest report at or before each row's date, then filled backwards.
 
     Rows and reports are stacked and scanned once per asset in date order; a report comes
-    before a row of the same date.
+    before a row of the same date.  Reports are first reduced to one per date (the largest
+    value), so an asset's series is never longer than twice the calendar.
     """
     rows = panel.withColumns({"_s": F.lit(1), "_v": F.lit(None).cast("double")})
-    marks = reports.select("asset", "date", F.col(value).cast("double").alias("_v"), F.lit(0).alias("_s"))
+    one = reports.groupBy("asset", "date").agg(F.max(F.col(value).cast("double")).alias("_v"))
+    marks = one.withColumn("_s", F.lit(0))
     both = rows.unionByName(marks, allowMissingColumns=True)
-    w = Window.partitionBy("asset").orderBy("date", "_s", F.col("_v").asc_nulls_first())
+    w = Window.partitionBy("asset").orderBy("date", "_s")
     past = F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     d = both.withColumn("_p", past).filter(F.col("_s") == 1)
     if backfill:

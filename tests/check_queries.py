@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 import time
@@ -60,6 +61,8 @@ def main() -> int:
 
     spark = local_session("8")
     spark.sparkContext.setLogLevel("ERROR")
+    if os.environ.get("FACTORLOOM_MAX_GROUP_ROWS"):  # force the plans for oversized groups
+        spark.conf.set("spark.factorloom.maxGroupRows", os.environ["FACTORLOOM_MAX_GROUP_ROWS"])
     sf_dir = f"/root/testdata/sf{sf}"
     con, oracles, bad = connect(sf_dir), entry.oracle_sql(), 0
     for name, fn in entry.queries().items():
