@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import query, r6, show
+from . import NUDGE, query, r6, show
 from .dsl import A
-from .sqlkit import FOUR, corr, ic_daily, ic_stats, long_factors, pairs_of_four, wide_factors
+from .sqlkit import FOUR, corr, ic_daily, ic_stats, long_factors, named_factors, pairs_of_four, wide_factors
 from ..functions.stats import t_two_sided_p
 from ..operators import gram, hypothesis, ic, scorecard
 from ..operators.ts import forward_return, pct_change
@@ -67,6 +67,23 @@ def evaluate_named(spark, sf_dir):
     return flagship(spark, sf_dir)
 
 
+# All named factors but the rolling correlation, whose +-1 ties on two-row windows depend on the last bit.
+STEADY = {k: t for k, t in NAMED.items() if k != "A_Share_Vol_Price_Coupling"}
+
+
+@query(
+    "i_named_factors_ic",
+    f"""WITH {named_factors(STEADY, f'lead(close, 5) OVER ({A}) / close - 1')}, {ic_daily('facs')},
+s AS (SELECT factor_id, count(*) AS n_dates, avg(rank_ic) AS ic_mean FROM daily GROUP BY 1), c AS (SELECT factor_id, count(factor_value) / count(*) AS coverage FROM facs GROUP BY 1)
+SELECT factor_id, n_dates, {r6('ic_mean', 'ic_mean', 3)}, {r6('coverage', 'coverage', 4)} FROM s JOIN c USING (factor_id)""",
+)
+def named_factors_ic(spark, sf_dir):
+    long, wide = factor_long(spark, sf_dir, list(STEADY), ordinal=True)
+    scored = ic.batch_rank_ic(long, wide=wide)
+    share = F.round(F.col("coverage") + NUDGE * 1e-4, 4).alias("coverage")
+    return show(scored.withColumn("coverage", share), ["factor_id", "n_dates", "coverage"], ["ic_mean"], 3)
+
+
 @query(
     "i_rank_ic_single",
     f"""WITH {PANEL_SQL}, facs AS (SELECT 'f' AS factor_id, date, asset, close - lag(close, 5) OVER ({A}) AS factor_value,

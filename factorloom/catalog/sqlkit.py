@@ -72,3 +72,62 @@ def pairs_of_four(out: str = "pairs", min_n: int = 20) -> str:
                 f"CASE WHEN count(f{i} + f{j}) >= {min_n} THEN {corr(a, b)} END AS corr FROM wide"
             )
     return f"{out} AS ({' UNION ALL '.join(rows)})"
+
+
+ROLLING_SQL = {"ts_mean": "avg", "ts_std": "stddev_samp", "ts_max": "max", "ts_min": "min", "ts_sum": "sum"}
+
+
+def named_factors(trees: dict[str, dict], label: str) -> str:
+    """CTEs up to ``facs``: the given trees in long form.  Each window layer is one CTE; the rest is inlined."""
+    made: dict[str, tuple[str, int]] = {}
+    layers: list[list[str]] = []
+
+    def column(expr: str, level: int) -> tuple[str, int]:
+        while len(layers) <= level:
+            layers.append([])
+        name = f"c{sum(map(len, layers))}"
+        layers[level].append(f"{expr} AS {name}")
+        return name, level + 1
+
+    def build(node: dict) -> tuple[str, int]:
+        key = repr(node)
+        if key not in made:
+            made[key] = fresh(node)
+        return made[key]
+
+    def fresh(node: dict) -> tuple[str, int]:
+        if node["block_type"] == "data":
+            return f"CAST({node['field_name']} AS DOUBLE)", 0
+        op, p = node["op"], node.get("params") or {}
+        if op == "constant":
+            return f"({p['value']!r})", 0
+        if node["block_type"] == "combine":
+            (a, la), (b, lb) = build(node["left"]), build(node["right"])
+            sign = {"add": "+", "sub": "-", "mul": "*"}.get(op)
+            expr = f"({a} {sign} {b})" if sign else f"(CASE WHEN {b} <> 0 THEN {a} / (greatest(abs({b}), 1e-10) * sign({b})) END)"
+            return expr, max(la, lb)
+        x, level = build(node["input_block"])
+        w = p.get("window")
+        if op in ("abs", "sign"):
+            return f"{op}({x})", level
+        if op == "log":
+            return f"(CASE WHEN {x} IS NOT NULL THEN ln(greatest({x}, 1e-10)) END)", level
+        if op == "clip":
+            return f"(CASE WHEN {x} IS NOT NULL THEN least(greatest({x}, {p['lo']!r}), {p['hi']!r}) END)", level
+        if op == "piecewise":
+            return f"(CASE WHEN {x} > {p['threshold']} THEN 1.0 ELSE 0.0 END)", level
+        if op == "rank":
+            return column(pct(D, x), level)
+        if op == "zscore":
+            return column(f"({x} - avg({x}) OVER ({D})) / (stddev_samp({x}) OVER ({D}) + 1e-10)", level)
+        if op in ("delta", "lag"):
+            back = f"lag({x}, {w}) OVER ({A})"
+            return column(f"{x} - {back}" if op == "delta" else back, level)
+        return column(f"{ROLLING_SQL[op]}({x}) {frame(w)}", level)
+
+    refs = {name: build(tree)[0] for name, tree in trees.items()}
+    text = f"{PANEL_SQL}, s0 AS (SELECT *, {label} AS label FROM panel)"
+    for i, cols in enumerate(layers):
+        text += f", s{i + 1} AS (SELECT *, {', '.join(cols)} FROM s{i})"
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS factor_id, date, asset, {r} AS factor_value, label FROM s{len(layers)}" for n, r in refs.items())
+    return f"{text}, facs AS ({rows})"
