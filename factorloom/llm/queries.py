@@ -31,3 +31,27 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a classifier learnt from labels that aren't held out."""
+    from . import toxicity
+    from .labelled import held_out
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    got = toxicity.score(docs, model)
+    return got.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by boosted trees learnt from labels that aren't held out."""
+    from . import quality
+    from .labelled import held_out
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = quality.fit(docs, table(spark, sf_dir, "labels"))
+    got = quality.score(docs, trees)
+    return got.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
