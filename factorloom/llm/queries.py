@@ -55,3 +55,54 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     trees = quality.fit(docs, table(spark, sf_dir, "labels"))
     got = quality.score(docs, trees)
     return got.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+SPACES = r"[\x20\x09-\x0D]+"
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+FOLD = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+@query
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one of its equal texts that stays."""
+    from .dedup import decisions
+
+    got = decisions(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+ORACLES["op2_exact_dedup"] = f"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{SPACES}', ' ', 'g') AS x FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size,
+       doc_id = min(doc_id) OVER (PARTITION BY x) AS kept, sha256(x) AS text_sha256
+FROM t
+"""
+
+
+@query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that windows of benchmark items cover."""
+    from .decontaminate import decontaminate
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.concat_ws(",", "items"), 256)
+    return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), "contaminated")
+
+
+ORACLES["op5_decontamination"] = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {FOLD}), '{WORD}') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {FOLD}), '{WORD}') AS w FROM benchmark),
+bs AS (SELECT item_id, w, least(13, len(w)) AS l FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, l, array_to_string(list_slice(w, s, s + l - 1), ' ') AS g
+       FROM (SELECT item_id, w, l, unnest(range(1, len(w) - l + 2)) AS s FROM bs)),
+dw AS (SELECT doc_id, l, s, array_to_string(list_slice(w, s, s + l - 1), ' ') AS g
+       FROM (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS s FROM d, (SELECT DISTINCT l FROM bs))),
+hit AS (SELECT doc_id, dw.l, s, item_id FROM dw JOIN bw ON dw.g = bw.g AND dw.l = bw.l),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + l)) AS p FROM hit) GROUP BY doc_id),
+ids AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN ids USING (doc_id)
+"""

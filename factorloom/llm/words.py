@@ -125,3 +125,17 @@ def lists(values: np.ndarray, counts: np.ndarray, kind=None) -> pa.ListArray:
     offsets = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+def window_least(h: np.ndarray, w: int) -> np.ndarray:
+    """For each window of w values, where its smallest value stands (the leftmost of equal ones)."""
+    n = len(h) - w + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    at, width = np.arange(len(h)), 1
+    while width < w:
+        step = min(width, w - width)
+        a, b = at[: len(at) - step], at[step:]
+        at = np.where(h[b] < h[a], b, a)
+        width += step
+    return at
