@@ -127,3 +127,12 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined(F.col("matches")).alias("labels"),
         F.coalesce(F.array_max(F.transform("matches", lambda m: m["score"])), F.lit(0.0)).alias("score"),
     )
+
+
+@query
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of three-word shingles are 0.9 similar."""
+    from .jaccard import Rule, join
+
+    got = join(table(spark, sf_dir, "documents").select("doc_id", "text"), Rule(width=3, above=90))
+    return got.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
