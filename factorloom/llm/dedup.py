@@ -36,6 +36,8 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    # A partition's local files go when its task has committed them to the checkpoint.
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 
