@@ -27,9 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import carried
 from .words import ALNUM, LOWER, Words, mix, slices, window_least, words
 
 BROADCAST_ROWS = 500_000  # fingerprints of items sent to every task at most (about 20 bytes each)
+# Names of the result columns; columns of these names in the input are replaced.
 RESULTS = ("n_words", "n_hit", "items", "contaminated")
 
 
@@ -93,20 +95,21 @@ def runs(doc: np.ndarray, item: np.ndarray, diagonal: int, least: int) -> list[t
     return [(int(s), int(e)) for s, e in zip(edge[::2], edge[1::2], strict=True) if e - s >= least]
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = 13, gram: int = 5, share: int = 20) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = 13, gram: int = 5, share: int = 20, results: tuple[str, ...] = RESULTS) -> DataFrame:
     """``docs`` with n_words, n_hit, items (sorted ids) and contaminated (n_hit > 0 and share * n_hit >= n_words)."""
     items = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("text"))
     # each item row gets a number: rows may share an id, and words travel by number
     items = item_words(items, span).groupBy("item", "text").agg(F.first("codes").alias("codes"), F.first("n").alias("n"))
     items = items.withColumn("key", F.xxhash64("item", "text"))
     spans = sorted({min(r["n"], span) for r in items.select(F.least("n", F.lit(span)).alias("n")).distinct().collect()})
-    rest = [c for c in docs.columns if c not in RESULTS]
-    base = docs.select(*rest, F.xxhash64(doc_id, text).alias("_key_"))
+    rest = [c for c in docs.columns if c not in results]
+    cols, fields = carried(docs, rest)
+    base = docs.select(*cols, docs[text].alias("_text_"), F.xxhash64(docs[doc_id], docs[text]).alias("_key_"))
     theirs = fingerprints(items, ["key"], "text", spans, gram, own=span).withColumnsRenamed({"pos": "item_pos"})
     if theirs.count() <= BROADCAST_ROWS:
         theirs = F.broadcast(theirs)
     hits = (
-        fingerprints(base, ["_key_"], text, spans, gram)
+        fingerprints(base, ["_key_"], "_text_", spans, gram)
         .join(theirs, "print")
         .select("_key_", "key", (F.col("pos") - F.col("item_pos")).alias("diagonal"))
         .distinct()
@@ -114,7 +117,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
         .groupBy("_key_")
         .agg(F.collect_list(F.struct("item", "diagonal", "codes")).alias("_hits_"))
     )
-    fields = [docs.schema[c] for c in rest]
     schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("contaminated", T.BooleanType())])
 
     def mark(stream):
@@ -136,8 +138,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[2:], pa.array(n.astype(np.int64)), pa.array(hit), pa.array(names, pa.list_(pa.string())), pa.array((hit > 0) & (share * hit >= n))],
-                    names=[*rest, *RESULTS],
+                    names=schema.names,
                 )
 
-    joined = base.join(hits, "_key_", "left").select("_hits_", F.col(text).alias("_text_"), *rest)
-    return joined.mapInArrow(mark, schema)
+    joined = base.join(hits, "_key_", "left").select("_hits_", "_text_", *(f.name for f in fields))
+    return joined.mapInArrow(mark, schema).toDF(*rest, *results)

@@ -26,7 +26,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import shared_folder, written
+from .store import carried, shared_folder, written
 
 PLACE = ["_file_", "_row_"]
 SALTED = 128  # copies compared with one sent copy of the kept text
@@ -127,11 +127,12 @@ def by_bytes(rows: DataFrame, arrivals: DataFrame, odd: DataFrame, text: str) ->
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
     if not {*PLACE}.isdisjoint(docs.columns):
-        raise ValueError(f"the columns {PLACE} are needed for the rows' places")
+        cols, fields = carried(docs, docs.columns)
+        names = dict(zip(docs.columns, (f.name for f in fields), strict=True))
+        return dedup(docs.select(*cols), names[doc_id], names[text]).toDF(*docs.columns)
     try:
         docs.metadataColumn("_metadata")
     except AnalysisException:
         docs = written(docs, "landed")
-    rows = placed(docs)
     stay = decisions(docs, doc_id, text).filter("kept").select(*PLACE)
-    return rows.join(stay, PLACE, "left_semi").select(*docs.columns)
+    return placed(docs).join(stay, PLACE, "left_semi").select(*docs.columns)

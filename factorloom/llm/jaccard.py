@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .store import written
+from .store import fresh, written
 from .words import LOWER, NOT_SPACE, U, mix, slices, words
 
 BITS = 22  # entries of the rarity table: 4 MB whatever the corpus
@@ -263,5 +263,5 @@ def join(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "text"
 
 def drop_near_copies(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component; rows without words stay."""
-    stay = join(docs, rule, doc_id, text).filter(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("_stay_")).distinct()
-    return docs.join(stay, F.col(doc_id).eqNullSafe(F.col("_stay_")), "left_semi")
+    stay = join(docs, rule, doc_id, text).filter(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias(name := fresh(docs, "_stay_"))).distinct()
+    return docs.join(stay, docs[doc_id].eqNullSafe(stay[name]), "left_semi")

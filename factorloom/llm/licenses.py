@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import carried
 from .words import ALNUM, LOWER, Words, slices, words
 
 # Phrases whose places are counted, with their labels.
@@ -153,7 +154,8 @@ def scan(docs: DataFrame, text: str = "text", anchors: int = 4) -> DataFrame:
     counts, total = document_counts(docs, text, vocabulary)
     index = Index({int(h): math.log((1 + total) / (1 + int(n))) for h, n in zip(vocabulary, counts, strict=True)}, anchors)
     rest = [c for c in docs.columns if c not in ("n_words", "matches")]
-    schema = T.StructType([*[docs.schema[c] for c in rest], T.StructField("n_words", T.LongType()), *T._parse_datatype_string(f"matches {MATCH}").fields])
+    cols, fields = carried(docs, rest)
+    schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), *T._parse_datatype_string(f"matches {MATCH}").fields])
     kind = pa.list_(pa.struct([("label", pa.string()), ("base", pa.bool_()), ("start", pa.int32()), ("size", pa.int32()), ("score", pa.float64())]))
 
     def run(stream):
@@ -164,6 +166,6 @@ def scan(docs: DataFrame, text: str = "text", anchors: int = 4) -> DataFrame:
                 for row, label, base, start, size, score in index.places(w):
                     by_row[row].append({"label": label, "base": base, "start": start, "size": size, "score": score})
                 n = pa.array(np.diff(w.first).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[1:], n, pa.array(by_row, kind)], names=[*rest, "n_words", "matches"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[1:], n, pa.array(by_row, kind)], names=schema.names)
 
-    return docs.select(F.col(text).alias("_text_"), *rest).mapInArrow(run, schema)
+    return docs.select(docs[text].alias("_text_"), *cols).mapInArrow(run, schema).toDF(*rest, "n_words", "matches")

@@ -22,9 +22,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import carried
 from .words import flat, lists
 
 MARK = "▁"
@@ -115,7 +115,7 @@ def batches(arr: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
 def round_trip(df: DataFrame, model: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", most: int = 200_000) -> DataFrame:
     """``df`` with the ids of each text and the text decoded from them; existing columns of these names are replaced."""
     rest = [c for c in df.columns if c not in (text, ids, decoded)]
-    fields = [df.schema[c] for c in rest]
+    cols, fields = carried(df, rest)
     schema = T.StructType([*fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
 
     def run(stream):
@@ -125,15 +125,17 @@ def round_trip(df: DataFrame, model: str, text: str = "text", ids: str = "ids",
             for lo, hi in batches(arr):
                 part = batch.slice(lo, hi - lo)
                 got, back = chunks.encode(arr[lo:hi].to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], got, back], names=[*rest, ids, decoded])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], got, back], names=schema.names)
 
-    return df.select(F.col(text).alias("_text_"), *rest).mapInArrow(run, schema)
+    return df.select(df[text].alias("_text_"), *cols).mapInArrow(run, schema).toDF(*rest, ids, decoded)
 
 
 def decode(df: DataFrame, model: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``df`` with the text of an id list; null and empty lists give the empty text."""
     rest = [c for c in df.columns if c != decoded]
-    schema = T.StructType([*[df.schema[c] for c in rest], T.StructField(decoded, T.StringType())])
+    cols, fields = carried(df, rest)
+    schema = T.StructType([*fields, T.StructField(decoded, T.StringType())])
+    place = rest.index(ids)
 
     def run(stream):
         from sentencepiece import SentencePieceProcessor
@@ -142,7 +144,7 @@ def decode(df: DataFrame, model: str, ids: str = "ids", decoded: str = "decoded"
         for batch in stream:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                back = [sp.decode(x) if x else "" for x in part.column(rest.index(ids)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(back, pa.string())], names=[*rest, decoded])
+                back = [sp.decode(x) if x else "" for x in part.column(place).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(back, pa.string())], names=schema.names)
 
-    return df.select(*rest).mapInArrow(run, schema)
+    return df.select(*cols).mapInArrow(run, schema).toDF(*rest, decoded)

@@ -18,10 +18,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import sample, with_text
+from .store import carried
 from .words import NOT_SPACE, mix, slices, words
 
 STATISTICS = (
@@ -176,13 +176,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
 def score(df: DataFrame, trees: Trees, text: str = "text", to: str = "score") -> DataFrame:
     """``df`` with the probability of label 1; an existing column of that name is replaced."""
     rest = [c for c in df.columns if c != to]
-    schema = T.StructType([*[df.schema[c] for c in rest], T.StructField(to, T.DoubleType())])
+    cols, fields = carried(df, rest)
+    schema = T.StructType([*fields, T.StructField(to, T.DoubleType())])
 
     def run(stream):
         for batch in stream:
             p = np.zeros(batch.num_rows)
             for lo, hi, data, offsets in slices(batch.column(0)):
                 p[lo:hi] = trees.predict(statistics(data, offsets))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(p)], names=[*rest, to])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(p)], names=schema.names)
 
-    return df.select(F.col(text).alias("_text_"), *rest).mapInArrow(run, schema)
+    return df.select(df[text].alias("_text_"), *cols).mapInArrow(run, schema).toDF(*rest, to)

@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,3 +34,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def carried(df: DataFrame, columns: list[str]) -> tuple[list[Column], list[T.StructField]]:
+    """Columns under names that clash with nothing, for a trip through Python, and their fields.
+
+    The result gets its names back with ``toDF``.
+    """
+    cols = [df[f"`{c}`"].alias(f"c{i}_") for i, c in enumerate(columns)]
+    return cols, [T.StructField(f"c{i}_", df.schema[c].dataType) for i, c in enumerate(columns)]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have yet."""
+    while name in df.columns:
+        name += "_"
+    return name

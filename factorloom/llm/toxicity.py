@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import one_of_each, sample, with_text
-from .store import written
+from .store import carried, written
 from .words import U, mix, slices
 
 _folds = [chr(i).lower() if not 0xD800 <= i < 0xE000 else "??" for i in range(1 << 16)]
@@ -179,7 +179,8 @@ def fit(
 def score(df: DataFrame, model: Model, text: str = "text", to: str = "score") -> DataFrame:
     """``df`` with the probability of label 1; an existing column of that name is replaced."""
     rest = [c for c in df.columns if c != to]
-    schema = T.StructType([*[df.schema[c] for c in rest], T.StructField(to, T.DoubleType())])
+    cols, fields = carried(df, rest)
+    schema = T.StructType([*fields, T.StructField(to, T.DoubleType())])
 
     def run(stream):
         weights = model.table()
@@ -190,6 +191,6 @@ def score(df: DataFrame, model: Model, text: str = "text", to: str = "score") ->
                 row, bucket = model.present(data, offsets, known)
                 z[lo:hi] += np.bincount(row, weights[bucket], hi - lo)
             got = pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], got], names=[*rest, to])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], got], names=schema.names)
 
-    return df.select(F.col(text).alias("_text_"), *rest).mapInArrow(run, schema)
+    return df.select(df[text].alias("_text_"), *cols).mapInArrow(run, schema).toDF(*rest, to)
