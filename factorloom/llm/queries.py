@@ -136,3 +136,15 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     got = join(table(spark, sf_dir, "documents").select("doc_id", "text"), Rule(width=3, above=90))
     return got.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+@query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts of the base kinds and all spans."""
+    from .pii import BASE, find
+
+    got = find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return got.select(F.col("id").alias("doc_id"), *map(count, BASE), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
