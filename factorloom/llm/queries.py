@@ -148,3 +148,12 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return got.select(F.col("id").alias("doc_id"), *map(count, BASE), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
+@query
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by the wrapper of its host."""
+    from .wrappers import extract
+
+    got = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return got.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
