@@ -157,3 +157,25 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     got = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return got.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words that windows of 35 repeated words cover."""
+    from .substrings import remove_repeats
+
+    got = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op3_substring_dedup"] = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, s, array_to_string(list_slice(w, s, s + 34), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS s FROM d)),
+r AS (SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY g) AS c FROM s) WHERE c > 1),
+x AS (SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS p FROM r),
+k AS (SELECT d.doc_id, p, t FROM (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM d) d),
+n AS (SELECT k.doc_id, count(*) AS n_words, count(x.p) AS n_removed, string_agg(t, ' ' ORDER BY k.p) FILTER (WHERE x.p IS NULL) AS kept
+      FROM k LEFT JOIN x ON k.doc_id = x.doc_id AND k.p = x.p GROUP BY k.doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id)
+"""
