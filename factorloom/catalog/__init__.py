@@ -35,11 +35,12 @@ def day(c="date"):
 NUDGE = 0.0314159
 
 
-def show(df: DataFrame, keys: list[str], values: list[str], digits: int = 6) -> DataFrame:
-    """Keys as text where they are dates, values rounded for comparison."""
+def show(df: DataFrame, keys: list[str], values: list[str], digits: int = 6, other: dict[str, int] | None = None) -> DataFrame:
+    """Keys as text where they are dates, values rounded for comparison; ``other`` has the columns of other digits."""
+    places = dict.fromkeys(values, digits) | (other or {})
     kinds = dict(df.dtypes)
     heads = [F.col(k).cast("string").alias(k) if kinds[k] == "date" else F.col(k) for k in keys]
-    return df.select(*heads, *[rounded(F.col(v) + NUDGE * 10.0**-digits, digits).alias(v) for v in values])
+    return df.select(*heads, *[rounded(F.col(v) + NUDGE * 10.0**-n, n).alias(v) for v, n in places.items()])
 
 
 def r6(expr: str, name: str, digits: int = 6) -> str:

@@ -151,8 +151,7 @@ def net_of_cost(spark, sf_dir):
     p, periods, w, c = costs(spark, sf_dir)
     r = portfolio.period_returns(w.filter(F.col("next_date").isNotNull()), portfolio.period_prices(p, periods, w))
     out = performance.net_of_cost(r.join(c.groupBy("period").agg(F.sum("cost").alias("cost")), "period", "left"), 1_000_000.0)
-    a = show(out, ["n_periods"], ["gross_return", "net_return"], 4)
-    return a.join(show(out, ["n_periods"], ["total_cost"], 2), "n_periods")
+    return show(out, ["n_periods"], ["gross_return", "net_return"], 4, {"total_cost": 2})
 
 
 @query(
@@ -181,8 +180,7 @@ im AS (SELECT factor_id, avg(t) AS turnover, avg(t) * 252 / 20 AS annual_turnove
 def cost_impact(spark, sf_dir):
     long, wide = factor_long(spark, sf_dir)
     out = portfolio.turnover_cost_impact(long, wide=wide)
-    a = show(out, ["factor_id"], ["turnover", "annual_turnover", "ic_penalty"])
-    return a.join(show(out, ["factor_id"], ["cost_impact_bps"], 4), "factor_id")
+    return show(out, ["factor_id"], ["turnover", "annual_turnover", "ic_penalty"], other={"cost_impact_bps": 4})
 
 
 @query(
@@ -292,8 +290,7 @@ def risk_check(spark, sf_dir):
     combined = p.withColumn("factor_value", F.col("turnover"))
     big = is_wide(table(spark, sf_dir, "lineitem").select(F.lit(1).alias("_all")), ["_all"])
     out = portfolio.risk_check(weights, combined, nav, wide=big)
-    a = show(out, ["heavy_factors", "thin_rows", "recommendation"], ["max_industry_exposure", "risk_score"])
-    return a.join(show(out, ["heavy_factors"], ["max_drawdown"], 5), "heavy_factors")
+    return show(out, ["heavy_factors", "thin_rows", "recommendation"], ["max_industry_exposure", "risk_score"], other={"max_drawdown": 5})
 
 
 # -- delivery screening and report flags -----------------------------------------------------------
@@ -355,8 +352,7 @@ FAILS = listed_sql(
 )
 def delivery_screen(spark, sf_dir):
     d = health.delivery_screen(screened(spark, sf_dir)).withColumn("deliverable", F.col("deliverable").cast("int"))
-    a = show(d, ["factor_id", "fail_reasons", "deliverable"], ["ic_mean", "turnover"])
-    return a.join(show(d, ["factor_id"], ["decay_ratio"], 4), "factor_id")
+    return show(d, ["factor_id", "fail_reasons", "deliverable"], ["ic_mean", "turnover"], other={"decay_ratio": 4})
 
 
 FLAGS = listed_sql(

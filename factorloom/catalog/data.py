@@ -40,8 +40,7 @@ def scan_panel(spark, sf_dir):
         F.when(F.col("industry") == "NATION_3", " NaN ").otherwise(F.col("industry")).alias("industry"),
     )
     d = ingest.clean_panel(raw.unionByName(raw))
-    a = show(d, ["date", "asset", "industry"], ["close"], 4)
-    return a.join(show(d, ["date", "asset"], ["market_cap"], 2), ["date", "asset"])
+    return show(d, ["date", "asset", "industry"], ["close"], 4, {"market_cap": 2})
 
 
 @query(
@@ -392,8 +391,7 @@ SELECT total_rows, total_columns, duplicate_rows, CAST(stale_days AS INT) AS sta
 )
 def quality_report(spark, sf_dir):
     d = quality.quality_report(gappy_lines(spark, sf_dir), today(), "l_shipdate")
-    a = show(d, ["total_rows", "total_columns", "duplicate_rows", "stale_days", "total_outliers"], ["avg_missing_rate"])
-    return a.join(show(d, ["total_rows"], ["quality_score"], 4), "total_rows")
+    return show(d, ["total_rows", "total_columns", "duplicate_rows", "stale_days", "total_outliers"], ["avg_missing_rate"], other={"quality_score": 4})
 
 
 @query(
@@ -415,7 +413,7 @@ def coverage_report(spark, sf_dir):
 
 SURVIVE = f"""sp AS (SELECT asset, min(date) AS f, max(date) AS l FROM panel GROUP BY 1),
 m AS (SELECT * FROM sp WHERE f < (SELECT min(date) FROM panel) + INTERVAL 14 DAY),
-ac AS (SELECT asset FROM m WHERE l > (SELECT max(l) FROM m) - INTERVAL 14 DAY),
+ac AS (SELECT asset FROM m WHERE l > (SELECT max(date) FROM panel) - INTERVAL 14 DAY),
 k1 AS (SELECT date, asset, close FROM panel WHERE asset IN (SELECT asset FROM ac)),
 k2 AS (SELECT *, close / lag(close, 5) OVER ({A}) - 1 AS r FROM k1 WHERE date IN (SELECT date FROM k1 GROUP BY date HAVING count(*) >= 70)),
 sv AS (SELECT date, asset, CASE WHEN NOT coalesce(r < -0.5 OR r > 2, false) THEN close END AS close FROM k2)"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import query, r6, show
 from ..plans import tree
 from ..plans.factors import E, const, field, op
-from ..sources.adapters import PANEL_SQL, weekly_panel
+from ..sources.adapters import PANEL_SQL, date_is_wide, weekly_panel
 
 X, Y = field("x"), field("y")
 
@@ -161,7 +161,7 @@ def _register(name: str, node: dict, expr: str) -> None:
     @query(name, sql)
     def run(spark, sf_dir):
         p = panel_xy(spark, sf_dir, grouped)
-        return show(tree.evaluate(p, {"value": node}), ["date", "asset"], ["value"], digits)
+        return show(tree.evaluate(p, {"value": node}, wide=tree.crosses(node) and date_is_wide(spark, sf_dir)), ["date", "asset"], ["value"], digits)
 
 
 LARGE = {"p_mul", "v_ts_cov", "p_sample_weight"}
@@ -197,4 +197,4 @@ def v_ema(spark, sf_dir):
 )
 def v_rolling_ols_residual(spark, sf_dir):
     p = panel_xy(spark, sf_dir, False)
-    return show(tree.evaluate(p, {"value": op("rolling_ols_residual", X, window=W).node}), ["date", "asset"], ["value"])
+    return show(tree.evaluate(p, {"value": op("rolling_ols_residual", X, window=W).node}, wide=date_is_wide(spark, sf_dir)), ["date", "asset"], ["value"])

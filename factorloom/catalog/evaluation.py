@@ -328,8 +328,9 @@ def library_correlation(spark, sf_dir):
 
 @query("i_benchmark_correlation")
 def benchmark_correlation(spark, sf_dir):
-    df, _ = factor_frame(spark, sf_dir, list(EQUITY))
-    return show(gram.pair_corr(df, list(EQUITY)), ["f1", "f2", "n"], ["corr"])
+    df, _ = factor_frame(spark, sf_dir, list(NAMED))
+    pairs = gram.pair_corr(df, list(NAMED)).filter(F.col("f1").isin(list(EQUITY)) | F.col("f2").isin(list(EQUITY)))
+    return show(pairs, ["f1", "f2", "n"], ["corr"])
 
 
 # -- tests ------------------------------------------------------------------------------------
@@ -408,5 +409,4 @@ def ols_fit(spark, sf_dir):
 
     p = weekly_panel(spark, sf_dir).withColumn("x", F.row_number().over(Window.partitionBy("asset").orderBy("date")).cast("double"))
     fit = hypothesis.trend_fit(p, "close", "x", ["asset"])
-    a = show(fit, ["asset", "n"], ["slope", "intercept"], 4)
-    return a.join(show(fit, ["asset"], ["r2"]), "asset")
+    return show(fit, ["asset", "n"], ["slope", "intercept"], 4, {"r2": 6})

@@ -290,14 +290,14 @@ def penalty(spark, sf_dir):
 
 @query("c_crowding_clusters")
 def crowding_clusters(spark, sf_dir):
-    names = [n for n in NAMED if n.startswith(("Momentum", "Low_Vol", "Size", "Behavioral", "Reversal", "seed"))]
+    names = list(NAMED)
     df, _ = factor_frame(spark, sf_dir, names)
     return combine.clusters(gram.pair_corr(df, names).filter(F.abs("corr") > 0.6))
 
 
 @query("c_orthogonal_select")
 def orthogonal(spark, sf_dir):
-    names = [n for n in NAMED if n.startswith(("Momentum", "Low_Vol", "Size", "Behavioral"))]
+    names = list(NAMED)
     df, _ = factor_frame(spark, sf_dir, names)
     pairs = settle(gram.pair_corr(df, names))
     kept = combine.orthogonal_select(pairs, names, 0.6)
@@ -432,12 +432,12 @@ SELECT factor_id, count(*) AS n, {r6('regr_slope(y, x)', 'slope', 8)}, {r6('regr
 def ic_trend(spark, sf_dir):
     long, wide = factor_long(spark, sf_dir, labels={"label": 1})
     out = health.ic_trend(ic.daily_ic(long, ic.DECAY, wide=wide))
-    return show(out, ["factor_id", "n"], ["slope"], 8).join(show(out, ["factor_id"], ["r2"]), "factor_id")
+    return show(out, ["factor_id", "n"], ["slope"], 8, {"r2": 6})
 
 
 @query("m_decay_check")
 def decay_check(spark, sf_dir):
-    long, wide = factor_long(spark, sf_dir, list(NAMED)[:12], labels={"label": 1})
+    long, wide = factor_long(spark, sf_dir, list(NAMED), labels={"label": 1})
     scored = ic.date_scores(long, ic.DECAY, wide=wide)
     out = health.decay_check(scored, health.ic_trend(scored.filter(F.col("rank_ic").isNotNull())))
     return show(out, ["factor_id", "status", "action", "reasons"], ["full_ic", "recent_ic", "ic_decay"], 5)
@@ -469,9 +469,7 @@ dd AS (SELECT *, CASE WHEN pk > 0 AND cur > 0 THEN (pk - cur) / pk * 100 WHEN pk
 def ic_drift(spark, sf_dir):
     long, wide = factor_long(spark, sf_dir)
     out = health.ic_drift(ic.daily_ic(long, wide=wide))
-    return show(out, ["factor_id", "n_dates", "drift_severity"], ["current_ic", "peak_ic"]).join(
-        show(out, ["factor_id"], ["decline_pct"], 4), "factor_id"
-    )
+    return show(out, ["factor_id", "n_dates", "drift_severity"], ["current_ic", "peak_ic"], other={"decline_pct": 4})
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +11,8 @@ from . import query, r6, show
 from .evaluation import factor_long
 from .sqlkit import ic_daily, long_factors
 from ..operators import ic, knowledge, library, lifecycle, scorecard
-from ..sources.adapters import PANEL_SQL, table, weekly_panel
+from ..session import shared_folder
+from ..sources.adapters import PANEL_SQL, date_is_wide, table, weekly_panel
 from ..streaming import panel_stream
 
 # -- documents ----------------------------------------------------------------------------------
@@ -182,7 +183,7 @@ def status_counts(spark, sf_dir):
 
 @query(
     "g_structure_win_rate",
-    f"WITH {OUTCOMES} SELECT structure[1:60] AS structure, {STATS} FROM oc GROUP BY 1 ORDER BY avg(CASE WHEN verdict = 'useful' THEN 1.0 ELSE 0 END) DESC, count(*) DESC, 1 LIMIT 10",
+    f"WITH {OUTCOMES} SELECT structure, {STATS} FROM oc GROUP BY 1 ORDER BY avg(CASE WHEN verdict = 'useful' THEN 1.0 ELSE 0 END) DESC, count(*) DESC, 1 LIMIT 10",
 )
 def structure_win_rate(spark, sf_dir):
     return show(library.structure_win_rate(outcomes(spark, sf_dir)), ["structure", "entries", "useful"], ["win_rate"])
@@ -218,7 +219,7 @@ def verdict_samples(spark, sf_dir):
 
 @query(
     "g_coverage_counts",
-    f"""WITH {OUTCOMES}, x AS (SELECT 'field' AS kind, f1 AS value FROM oc UNION ALL SELECT 'field', f2 FROM oc UNION ALL SELECT 'structure', structure[1:40] FROM oc UNION ALL SELECT 'direction', direction[1:20] FROM oc),
+    f"""WITH {OUTCOMES}, x AS (SELECT 'field' AS kind, f1 AS value FROM oc UNION ALL SELECT 'field', f2 FROM oc UNION ALL SELECT 'structure', structure FROM oc UNION ALL SELECT 'direction', direction FROM oc),
 c AS (SELECT kind, value, count(*) AS n FROM x GROUP BY 1, 2)
 SELECT kind, value, n, CASE WHEN kind = 'direction' AND n >= 3 THEN 'saturated' WHEN kind = 'field' AND n <= 1 THEN 'underused' ELSE 'normal' END AS state FROM c""",
 )
@@ -445,7 +446,7 @@ def user_factor(spark, sf_dir):
 
     user.register("spread", lambda p: p.select("date", "asset", ((F.col("high") - F.col("low")) / F.col("close")).alias("factor_value")))
     long = user.evaluate(ic.with_label(weekly_panel(spark, sf_dir)), ["spread"])
-    return show(ic.batch_rank_ic(long), ["factor_id", "n_dates"], ["ic_mean"])
+    return show(ic.batch_rank_ic(long, wide=date_is_wide(spark, sf_dir)), ["factor_id", "n_dates"], ["ic_mean"])
 
 
 @query(
@@ -466,18 +467,17 @@ def stream_panel_upsert(spark, sf_dir):
     home = _scratch(spark)
     p = weekly_panel(spark, sf_dir).select("date", "asset", "close", "volume")
     again = p.filter(F.col("volume") > 60).withColumn("close", F.col("close") * 2)
-    # Two arrivals: the whole panel, then corrections of some of its rows.
-    p.coalesce(1).write.parquet(f"{home}/in")
-    again.coalesce(1).write.mode("append").parquet(f"{home}/in2")
-    schema = T.StructType([T.StructField("date", T.DateType()), T.StructField("asset", T.StringType()), T.StructField("close", T.DoubleType()), T.StructField("volume", T.DoubleType())])
-    for part, ckpt in (("in", "c1"), ("in2", "c2")):
-        panel_stream.run_panel_upsert(spark, schema, f"{home}/{part}", f"{home}/table", f"{home}/{ckpt}").awaitTermination()
+    schema = T.StructType([T.StructField("date", T.DateType()), T.StructField("asset", T.StringType()), T.StructField("close", T.DoubleType()), T.StructField("volume", T.DoubleType()), T.StructField("arrived", T.LongType())])
+    # The panel with outdated copies of the rows that are corrected later, then the corrections: the stream is
+    # stopped in between and goes on from its checkpoint.
+    old = again.withColumn("close", F.lit(-1.0))
+    for arrivals in ((old.withColumn("arrived", F.lit(1)), p.withColumn("arrived", F.lit(2))), (again.withColumn("arrived", F.lit(3)),)):
+        for rows in arrivals:
+            rows.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.mode("append").parquet(f"{home}/in")
+        panel_stream.run_panel_upsert(spark, schema, f"{home}/in", f"{home}/table", f"{home}/ckpt", arrived="arrived").awaitTermination()
     return show(spark.read.parquet(f"{home}/table"), ["date", "asset"], ["close"], 4)
 
 
 def _scratch(spark) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder, or a temporary one in tests."""
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="factorloom-stream-")
+    """A fresh folder under the shared checkpoint folder."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"

@@ -151,14 +151,6 @@ def weighted_combine(df: DataFrame, weights: Mapping[str, float], out: str = "fa
     return df.withColumn(out, total)
 
 
-def combine_long(long: DataFrame, weights: DataFrame) -> DataFrame:
-    """The same over long factors with a weight table: (date, asset, factor_value)."""
-    joined = long.join(weights.select("factor_id", "weight"), "factor_id")
-    return joined.groupBy("date", "asset").agg(
-        F.sum(F.col("weight") * F.coalesce("factor_value", F.lit(0.0))).alias("factor_value")
-    )
-
-
 def combine(df: DataFrame, factors: Sequence[str], method="ic_weighted", threshold=0.6, crowding_limit=0.6, wide=False) -> DataFrame:
     """Select, weigh, penalise and add up factor columns; scores of the combination in one row."""
     from ..plans.tree import long_form

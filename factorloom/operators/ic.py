@@ -135,6 +135,10 @@ def decay_curve(panel_long: DataFrame, labels: dict[int, str], how: Convention =
         .groupBy("factor_id", "horizon")
         .agg(F.avg("rank_ic").alias("ic_mean"), F.count(F.lit(1)).alias("n_dates"))
     )
+    # A window without a usable date counts as an IC of 0.
+    found = per.groupBy("factor_id").agg(F.map_from_entries(F.collect_list(F.struct("horizon", F.struct("ic_mean", "n_dates")))).alias("_m"))
+    per = found.select("factor_id", F.explode(F.array(*map(F.lit, sorted(labels)))).alias("horizon"), "_m").withColumn("_v", F.col("_m")[F.col("horizon")])
+    per = per.select("factor_id", "horizon", F.coalesce("_v.ic_mean", F.lit(0.0)).alias("ic_mean"), F.coalesce("_v.n_dates", F.lit(0)).alias("n_dates"))
     w = Window.partitionBy("factor_id")
     per = per.withColumns(
         {

@@ -66,10 +66,9 @@ def count_by(entries: DataFrame, key: str) -> DataFrame:
     ).withColumn("win_rate", F.col("useful") / F.col("entries"))
 
 
-def structure_win_rate(outcomes: DataFrame, chars: int = 60, top: int = 10) -> DataFrame:
-    """Win rate by the head of the structure text, best first."""
-    by = outcomes.withColumn("structure", F.substring("structure", 1, chars))
-    return count_by(by, "structure").orderBy(F.col("win_rate").desc(), F.col("entries").desc(), "structure").limit(top)
+def structure_win_rate(outcomes: DataFrame, top: int = 10) -> DataFrame:
+    """Win rate by structure, best first."""
+    return count_by(outcomes, "structure").orderBy(F.col("win_rate").desc(), F.col("entries").desc(), "structure").limit(top)
 
 
 def field_win_rate(outcomes: DataFrame) -> DataFrame:
@@ -107,17 +106,19 @@ def verdict_samples(outcomes: DataFrame, order: Sequence[str], useful: int = 5,
     )
 
 
-def coverage_counts(outcomes: DataFrame, saturated_at: int = 3, underused_at: int = 1) -> DataFrame:
-    """(kind, value, n, state): counts by field, structure head and direction head."""
-    parts = {
-        "field": F.explode("input_fields"),
-        "structure": F.substring("structure", 1, 40),
-        "direction": F.substring("direction", 1, 20),
-    }
+def coverage_counts(outcomes: DataFrame, saturated_at: int = 3, underused_at: int = 1, fields: DataFrame | None = None) -> DataFrame:
+    """(kind, value, n, state): counts by field, structure and direction.
+
+    ``fields`` lists what could be used: a field without an outcome is the most underused of all.
+    """
+    parts = {"field": F.explode("input_fields"), "structure": F.col("structure"), "direction": F.col("direction")}
     rows = None
     for kind, c in parts.items():
         d = outcomes.select(c.alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(kind))
         rows = d if rows is None else rows.unionByName(d)
+    if fields is not None:
+        unused = fields.select(F.col(fields.columns[0]).alias("value")).distinct().join(rows.filter("kind = 'field'"), "value", "left_anti")
+        rows = rows.unionByName(unused.select("value", F.lit(0).cast("long").alias("n"), F.lit("field").alias("kind")))
     state = (
         F.when((F.col("kind") == "direction") & (F.col("n") >= saturated_at), "saturated")
         .when((F.col("kind") == "field") & (F.col("n") <= underused_at), "underused")

@@ -68,17 +68,6 @@ def walk_forward_folds(dates: DataFrame, train: int, test: int, step: int, min_f
     return spans.join(numbered, "_p").select("fold", "date", part.alias("part"))
 
 
-def part_ic(daily: DataFrame, parts: DataFrame, by: Sequence[str] = ("factor_id",)) -> DataFrame:
-    """Mean IC of each factor on each side: train_ic, test_ic."""
-    d = daily.join(parts, "date")
-    extra = [c for c in parts.columns if c not in ("date", "part")]
-
-    def side(name: str) -> Column:
-        return F.coalesce(F.avg(F.when(F.col("part") == name, F.col("rank_ic"))), F.lit(0.0)).alias(f"{name}_ic")
-
-    return d.groupBy(*by, *extra).agg(side("train"), side("test"))
-
-
 def passed_rule(train="train_ic", test="test_ic") -> Column:
     train, test = col(train), col(test)
     return (test > 0) & ((train <= 0) | (ratio(test, train + 1e-10) > 0.5))
@@ -111,8 +100,8 @@ def diagnose(checks: DataFrame) -> DataFrame:
 
 
 def family_summary(checks: DataFrame, top: int = 3) -> DataFrame:
-    """Pass rate and the families that pass or fail most (family: id up to the first underscore)."""
-    fam = F.when(F.col("factor_id").contains("_"), F.substring_index("factor_id", "_", 1)).otherwise(F.substring("factor_id", 1, 8))
+    """Pass rate and the families that pass or fail most (family: id up to the first underscore, else the whole id)."""
+    fam = F.substring_index("factor_id", "_", 1)
     per = checks.withColumn("family", fam).groupBy("family").agg(
         F.count_if("passed").alias("good"), F.count_if(~F.col("passed")).alias("bad")
     )

@@ -117,9 +117,8 @@ def survivorship_filter(
     ends = df.agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))
     spans = df.groupBy("asset").agg(F.min("date").alias("_first"), F.max("date").alias("_last"))
     mature = beside(spans, ends).filter(F.col("_first") < F.date_add("_lo", min_history_days))
-    # The end of the data is measured after late listings are gone.
-    last = mature.agg(F.max("_last").alias("_hi2"))
-    active = beside(mature, last).filter(F.col("_last") > F.date_sub("_hi2", lookahead_days)).select("asset")
+    # The end of the data is that of all rows, late listings included.
+    active = mature.filter(F.col("_last") > F.date_sub("_hi", lookahead_days)).select("asset")
     kept = df.join(active, "asset", "left_semi")
     dates = kept.groupBy("date").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_assets).select("date")
     kept = kept.join(dates, "date", "left_semi").withColumn("_r", pct_change("close", 5))

@@ -6,13 +6,13 @@ long as the calendar, however many assets there are.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import col, ratio
 from ..functions.stats import complete_pair, safe_corr
 
-FOLD_LIMIT = 20_000
 
 
 def series(asset: str = "asset", date: str = "date"):
@@ -123,43 +123,16 @@ def forward_return(horizon: int, shift: int = 0, x="close") -> Column:
     return ratio(F.lead(x, horizon + shift - 1).over(w), F.lead(x, shift).over(w)) - 1
 
 
-def ema(df: DataFrame, x: str, out: str, alpha: float = 0.1, longest: int | None = None) -> DataFrame:
+def ema(df: DataFrame, x: str, out: str, alpha: float = 0.1) -> DataFrame:
     """Exponential mean seeded with the first value; old weight keeps decaying over gaps.
 
-    A fold over each asset's sorted array.  ``longest`` (the measured number of dates,
-    if known) switches very long series to a linear-time pass in pandas.
+    One linear pass over each asset's dates; the recurrence has no window form.
     """
-    if longest is not None and longest > FOLD_LIMIT:
-        return _ema_long(df, x, out, alpha)
-    keep = 1.0 - alpha
-    empty = F.struct(
-        F.lit(None).cast("double").alias("y"),
-        F.lit(1.0).alias("w"),
-        F.array().cast("array<double>").alias("ys"),
-    )
-
-    def step(acc: Column, row: Column) -> Column:
-        v, old = row["v"], acc["w"] * keep
-        mixed = (
-            F.when(acc["y"].isNull(), v)
-            .when(v.isNull(), acc["y"])
-            .otherwise((old * acc["y"] + alpha * v) / (old + alpha))
-        )
-        weight = F.when(v.isNotNull() | acc["y"].isNull(), F.lit(1.0)).otherwise(old)
-        return F.struct(mixed.alias("y"), weight.alias("w"), F.concat(acc["ys"], F.array(mixed)).alias("ys"))
-
-    rows = F.sort_array(F.collect_list(F.struct("date", F.col(x).alias("v"), F.struct(*df.columns).alias("r"))))
-    folded = df.groupBy("asset").agg(rows.alias("_rows")).withColumn("_e", F.aggregate("_rows", empty, step)["ys"])
-    flat = folded.select(F.explode(F.arrays_zip("_rows", "_e")).alias("z"))
-    return flat.select("z._rows.r.*", F.col("z._e").alias(out))
-
-
-def _ema_long(df: DataFrame, x: str, out: str, alpha: float) -> DataFrame:
     schema = df.withColumn(out, F.lit(None).cast("double")).schema
 
-    def run(pdf):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
-        return pdf.assign(**{out: pdf[x].ewm(alpha=alpha, adjust=False).mean()})
+        return pdf.assign(**{out: pdf[x].astype(float).ewm(alpha=alpha, adjust=False).mean()})
 
     return df.groupBy("asset").applyInPandas(run, schema)
 

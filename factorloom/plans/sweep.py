@@ -14,47 +14,54 @@ from .tree import children
 
 # The search space of each parameter name.
 SPACES = {
-    "window": [5, 10, 20, 40, 60],
+    "window": [3, 5, 10, 20, 40, 60],
     "alpha": [0.05, 0.1, 0.2, 0.3],
-    "threshold": [-0.5, 0.0, 0.5],
+    "threshold": [0.0, 0.01, 0.02, 0.05],
     "n": [3, 5, 10],
     "lo": [-3.0, -2.0, -1.5],
     "hi": [1.5, 2.0, 3.0],
 }
 
 
-def parameters(tree: Mapping) -> dict[str, float]:
-    """Numeric parameters anywhere in the tree (the constant's own value aside)."""
-    found = {}
-    if tree.get("op") != "constant":
-        found = {k: v for k, v in (tree.get("params") or {}).items() if isinstance(v, (int, float))}
-    for child in children(tree):
-        found |= {k: v for k, v in parameters(child).items() if k not in found}
-    return found
+def key_of(node: Mapping, name: str) -> str:
+    """A parameter is searched for each operator by itself."""
+    return f"{node['op']}__{name}" if node.get("op") else name
+
+
+def nodes_of(tree: Mapping) -> list[Mapping]:
+    out, todo = [], [tree]
+    while todo:
+        node = todo.pop()
+        out.append(node)
+        todo.extend(children(node))
+    return out
 
 
 def default_space(tree: Mapping) -> dict[str, list]:
-    """Known parameters use their listed space, others half / same / one and a half or double."""
+    """Known parameters use their listed space, others half / same / one and a half or double; keyed operator__parameter."""
     space = {}
-    for name, value in parameters(tree).items():
-        if name in SPACES:
-            space[name] = SPACES[name]
-        elif isinstance(value, int):
-            space[name] = sorted({max(1, value // 2), value, value * 2})
-        else:
-            space[name] = [value * 0.5, value, value * 1.5]
+    for node in nodes_of(tree):
+        for name, value in (node.get("params") or {}).items():
+            if name in SPACES:
+                space[key_of(node, name)] = SPACES[name]
+            elif isinstance(value, bool) or not isinstance(value, (int, float)):
+                continue
+            elif isinstance(value, float):
+                space[key_of(node, name)] = [value * 0.5, value, value * 1.5]
+            elif value > 0:
+                space[key_of(node, name)] = [max(1, value // 2), value, value * 2]
     return space
 
 
 def with_parameters(tree: Mapping, values: Mapping) -> dict:
+    """The tree with values set by operator__parameter; a bare name sets it on every operator."""
     out = copy.deepcopy(dict(tree))
-    todo = [out]
-    while todo:
-        node = todo.pop()
-        if node.get("op") != "constant":
-            for k in set(node.get("params") or {}) & set(values):
-                node["params"][k] = values[k]
-        todo.extend(children(node))
+    for node in nodes_of(out):
+        params = node.get("params") or {}
+        for name in params:
+            for key in (name, key_of(node, name)):
+                if key in values:
+                    params[name] = values[key]
     return out
 
 

@@ -155,7 +155,7 @@ def _collect(node: Mapping, seen: dict[str, Mapping]) -> None:
     seen.setdefault(_key(node), node)
 
 
-def evaluate(df: DataFrame, trees: Mapping[str, Mapping], wide: bool = False, longest: int | None = None) -> DataFrame:
+def evaluate(df: DataFrame, trees: Mapping[str, Mapping], wide: bool = False) -> DataFrame:
     """Add one column per named tree to the panel."""
     nodes: dict[str, Mapping] = {}
     for tree in trees.values():
@@ -181,7 +181,7 @@ def evaluate(df: DataFrame, trees: Mapping[str, Mapping], wide: bool = False, lo
             moved = _fold_scalars(df, todo, done, value, ready)
         batch = {k: n for k, n in todo.items() if ready(n) and _kind(n) == "asset"}
         if batch:
-            df = _asset_stage(df, batch, done, names, value, longest)
+            df = _asset_stage(df, batch, done, names, value)
         else:
             batch = {k: n for k, n in todo.items() if ready(n)}
             df = _date_stage(df, batch, done, names, value, wide)
@@ -190,6 +190,13 @@ def evaluate(df: DataFrame, trees: Mapping[str, Mapping], wide: bool = False, lo
     return df.select(*base, *[value(tree).alias(name) for name, tree in trees.items()])
 
 
+def crosses(tree: Mapping) -> bool:
+    """Whether a tree has an operator over whole dates."""
+    nodes: dict[str, Mapping] = {}
+    _collect(tree, nodes)
+    return any(_kind(n) == "date" for n in nodes.values())
+
+
 def _kind(node: Mapping) -> str:
     op = node.get("op")
     if op in TS_WINDOWS or op in TS_PAIRS or op in ("ema", "event_filter"):
@@ -222,7 +229,7 @@ def _fold_scalars(df, todo, done, value, ready) -> bool:
     return moved
 
 
-def _asset_stage(df, batch, done, names, value, longest) -> DataFrame:
+def _asset_stage(df, batch, done, names, value) -> DataFrame:
     cols: dict[str, Column] = {}
     folds = {}
     for key, node in batch.items():
@@ -241,7 +248,7 @@ def _asset_stage(df, batch, done, names, value, longest) -> DataFrame:
             folds[key] = (x, float(params.get("alpha", 0.1)))
     df = df.withColumns(cols) if cols else df
     for key, (x, alpha) in folds.items():
-        df = ts.ema(df.withColumn("_ema_in", x), "_ema_in", names[key], alpha, longest).drop("_ema_in")
+        df = ts.ema(df.withColumn("_ema_in", x), "_ema_in", names[key], alpha).drop("_ema_in")
     for key in batch:
         done[key] = F.col(names[key])
     return df

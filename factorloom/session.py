@@ -26,12 +26,18 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 def settle(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the reliable checkpoint folder.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
-    session that names none (a local test) gets a temporary one.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; a local session that names none (a test) gets a temporary one, others may not."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="factorloom-ckpt-"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()

@@ -51,21 +51,26 @@ def dedup_keep(df: DataFrame, keys: Sequence[str], order: Sequence[str], last: b
     return df.groupBy(*keys).agg(pick.alias("_r")).select(*keys, "_r.*").select(*df.columns)
 
 
-def clean_price_series(df: DataFrame) -> DataFrame:
-    """One asset's OHLCV: coerce, one row per date, complete rows only."""
+def _first_usable(df: DataFrame, keys: Sequence[str], needed: Sequence[str], rest: Sequence[str], arrival: Sequence[str]) -> DataFrame:
+    """The first complete row of each key by arrival; without an arrival column, by its values."""
+    return dedup_keep(df.dropna(subset=[*keys, *needed]), keys, [*arrival, *rest]).drop(*arrival)
+
+
+def clean_price_series(df: DataFrame, arrival: Sequence[str] = ()) -> DataFrame:
+    """One asset's OHLCV: coerce, one complete row per date, the first by ``arrival`` (file and row number, say)."""
     cols = ["open", "high", "low", "close", "volume"]
     require(df, ["date", *cols])
-    d = df.select(compact_date("date").alias("date"), *[coerce(c).alias(c) for c in cols])
-    return dedup_keep(d, ["date"], cols).dropna(subset=["date", *cols])
+    d = df.select(compact_date("date").alias("date"), *[coerce(c).alias(c) for c in cols], *arrival)
+    return _first_usable(d, ["date"], cols, cols, arrival)
 
 
-def clean_panel(df: DataFrame) -> DataFrame:
-    """A raw panel: asset from its code, numbers coerced, industry and cap defaulted, one row per key."""
+def clean_panel(df: DataFrame, arrival: Sequence[str] = ()) -> DataFrame:
+    """A raw panel: asset from its code, numbers coerced, industry and cap defaulted, one complete row per key."""
     if "asset" not in df.columns:
         require(df, ["ts_code"])
         df = df.withColumn("asset", F.substring_index("ts_code", ".", 1))
     require(df, ["date", "asset", "close", "volume"])
-    text = {"date", "asset", "industry", "ts_code"}
+    text = {"date", "asset", "industry", "ts_code", *arrival}
     d = df.withColumns({c: coerce(c) for c in df.columns if c not in text})
     d = d.withColumns({"date": compact_date("date"), "asset": zero_pad("asset")})
     industry = F.coalesce(known_industry("industry"), F.lit("unknown")) if "industry" in d.columns else F.lit("unknown")
@@ -73,8 +78,8 @@ def clean_panel(df: DataFrame) -> DataFrame:
     d = d.withColumns(
         {"industry": industry, "market_cap": F.coalesce("market_cap", size) if "market_cap" in d.columns else size}
     )
-    order = [c for c in d.columns if c not in ("date", "asset")]
-    return dedup_keep(d, ["date", "asset"], order).dropna(subset=["date", "close", "volume"])
+    order = [c for c in d.columns if c not in ("date", "asset", *arrival)]
+    return _first_usable(d, ["date", "asset"], ["close", "volume"], order, arrival)
 
 
 def summarize_panel(df: DataFrame) -> DataFrame:

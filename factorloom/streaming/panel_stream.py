@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.ingest import upsert
+from ..sources.ingest import dedup_keep, upsert
 
 IC_LOG = T.StructType(
     [T.StructField("factor_id", T.StringType()), T.StructField("date", T.DateType()), T.StructField("rank_ic", T.DoubleType())]
@@ -49,9 +49,11 @@ def run_ic_log(spark: SparkSession, log_path: str, checkpoint: str, out_path: st
     )
 
 
-def run_panel_upsert(spark: SparkSession, schema: T.StructType, in_path: str, table_path: str, checkpoint: str, files_per_batch: int | None = None):
+def run_panel_upsert(spark: SparkSession, schema: T.StructType, in_path: str, table_path: str, checkpoint: str, files_per_batch: int | None = None, arrived: str | None = None):
     """Merge arriving panel rows into a table laid out by month; newer rows win per (date, asset).
 
+    Within a batch the row with the largest ``arrived`` wins; without that column, the largest row.
+
     Only the months a batch touches are read and rewritten, through dynamic partition
     overwrite.  The merged rows are written to a side folder first, because Spark cannot
     overwrite the files it is reading.
@@ -62,8 +64,7 @@ def run_panel_upsert(spark: SparkSession, schema: T.StructType, in_path: str, ta
     def merge(batch: DataFrame, epoch: int) -> None:
         session = batch.sparkSession
         new = batch.withColumn("month", F.date_format("date", "yyyy-MM"))
-        # Within a batch the arrival order is unknown: the largest row of a key wins.
-        new = upsert(new, new.limit(0))
+        new = dedup_keep(new, ["date", "asset"], [arrived], last=True) if arrived else upsert(new, new.limit(0))
         table = session.createDataFrame([], new.schema)
         if _exists(session, table_path):
             months = new.select("month").distinct()

@@ -36,12 +36,11 @@ def test_rolling_operators_match_pandas(panel, panel_pdf):
         assert np.allclose(got[k].to_numpy(float), want, atol=1e-6, equal_nan=True), k
 
 
-def test_ema_both_paths_match_pandas(panel, panel_pdf):
+def test_ema_matches_pandas(panel, panel_pdf):
     pdf = panel_pdf.sort_values(["asset", "date"], ignore_index=True)
     want = pdf.groupby("asset")["x"].transform(lambda s: s.ewm(alpha=0.3, adjust=False).mean())
-    for longest in (None, ts.FOLD_LIMIT + 1):
-        got = by_asset(ts.ema(panel, "x", "e", 0.3, longest), "e")["e"]
-        assert np.allclose(got, want, atol=1e-12, equal_nan=True)
+    got = by_asset(ts.ema(panel, "x", "e", 0.3), "e")["e"]
+    assert np.allclose(got, want, atol=1e-12, equal_nan=True)
 
 
 def test_forward_return_with_shift_one_is_zero(panel):
@@ -261,3 +260,45 @@ def test_ic_log_stream_replay(spark, tmp_path):
         panel_stream.run_ic_log(spark, log, ckpt, out).awaitTermination()
     got = {r["factor_id"]: (r["n"], r["mean_ic"]) for r in spark.read.parquet(out).collect()}
     assert got["a"][0] == 3 and abs(got["a"][1] - 0.2) < 1e-12 and got["b"][0] == 0
+
+
+def test_survivorship_ends_with_all_rows(spark):
+    """Assets that end 40 days before a late lister are delisted, though the late lister is dropped itself."""
+    from factorloom.operators import quality
+
+    days = [(f"2024-{m:02d}-{d:02d}") for m in range(1, 7) for d in range(1, 29)]
+    rows = [(t, a, 10.0) for t in days[:100] for a in "abcd"] + [(t, "late", 10.0) for t in days[90:140]]
+    df = spark.createDataFrame(rows, "date string, asset string, close double").withColumn("date", F.col("date").cast("date"))
+    assert quality.survivorship_filter(df, 60, 20, 1).count() == 0
+    assert quality.survivorship_filter(df.filter("asset != 'late'"), 60, 20, 1).select("asset").distinct().count() == 4
+
+
+def test_clean_panel_keeps_the_first_usable_copy(spark):
+    from factorloom.sources import ingest
+
+    rows = [("2024-01-01", "1", "n/a", "5", 1), ("2024-01-01", "1", "10.5", "5", 2), ("2024-01-02", "1", "3", "5", 1), ("2024-01-02", "1", "n/a", "5", 2), ("2024-01-03", "1", "9", "5", 1), ("2024-01-03", "1", "8", "5", 2)]
+    df = spark.createDataFrame(rows, "date string, asset string, close string, volume string, seq int")
+    got = [r["close"] for r in ingest.clean_panel(df, arrival=["seq"]).orderBy("date").collect()]
+    assert got == [10.5, 3.0, 9.0]
+    assert [r["close"] for r in ingest.clean_panel(df.drop("seq")).orderBy("date").collect()] == [10.5, 3.0, 8.0]
+
+
+def test_decay_curve_counts_a_window_without_dates_as_zero(panel):
+    from factorloom.operators import ic
+
+    long = panel.select(F.lit("f").alias("factor_id"), "date", "asset", F.col("x").alias("factor_value"), F.col("y").alias("l1"), F.lit(None).cast("double").alias("l2"))
+    got = {r["horizon"]: (r["ic_mean"], r["n_dates"]) for r in ic.decay_curve(long, {1: "l1", 2: "l2"}).collect()}
+    assert got[2] == (0.0, 0) and got[1][1] == 25
+    assert {r["half_life"] for r in ic.decay_curve(long, {1: "l1", 2: "l2"}).collect()} == {2}
+
+
+def test_sweep_searches_each_operator_by_itself():
+    from factorloom.plans import sweep
+    from factorloom.plans.factors import field, over, rank
+
+    t = rank(over("ts_mean", over("delta", field("close"), 5), 20)).node
+    space = sweep.default_space(t)
+    assert space == {"ts_mean__window": sweep.SPACES["window"], "delta__window": sweep.SPACES["window"]}
+    assert len(sweep.variants(t, space)) == 36
+    both = sweep.with_parameters(t, {"delta__window": 3})
+    assert {n["op"]: n["params"].get("window") for n in sweep.nodes_of(both) if n.get("params")} == {"ts_mean": 20, "delta": 3}
