@@ -67,7 +67,7 @@ def luhn(number: Column) -> Column:
 def valid(kind: Column, value: Column) -> Column:
     """The checks behind the base patterns; candidates for secrets pass."""
     parts = F.split(value, r"\.")
-    octets = F.forall(parts, lambda p: F.length(F.ltrim(F.lit("0"), p)).between(0, 3) & (F.coalesce(F.ltrim(F.lit("0"), p).try_cast("int"), F.lit(0)) <= 255))
+    octets = F.forall(parts, lambda p: F.coalesce(F.ltrim(p, F.lit("0")).try_cast("int"), F.lit(0)).between(0, 255) & (F.length(F.ltrim(p, F.lit("0"))) <= 3))
     number = digits(value)
     n = F.length(number)
     return (
