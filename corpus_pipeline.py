@@ -24,7 +24,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents scored under 0.5 by a classifier learnt from the labels that aren't held out."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     name = fresh(docs, "_toxicity_")
-    return toxicity.score(docs, model, to=name).filter(F.col(name) < 0.5).select(*docs.columns)
+    return toxicity.score(docs, model, to=name).filter(F.col(name) < 0.5).drop(name)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents of which windows of benchmark items cover under a twentieth of the words."""
     names = tuple(fresh(docs, f"_{c}_") for c in decontaminate.RESULTS)
     got = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), results=names)
-    return got.filter(~F.col(names[-1])).select(*docs.columns)
+    return got.filter(~F.col(names[-1])).drop(*names)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

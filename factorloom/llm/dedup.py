@@ -135,4 +135,4 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     except AnalysisException:
         docs = written(docs, "landed")
     stay = decisions(docs, doc_id, text).filter("kept").select(*PLACE)
-    return placed(docs).join(stay, PLACE, "left_semi").select(*docs.columns)
+    return placed(docs).join(stay, PLACE, "left_semi").drop(*PLACE)
