@@ -25,12 +25,12 @@ def dates(df, *cols):
 # -- scans and keys ----------------------------------------------------------------------------
 
 
-@query(
-    "s_scan_panel",
-    f"""WITH {PANEL_SQL} SELECT CAST(date AS VARCHAR) AS date, asset, CASE WHEN industry = 'NATION_3' THEN 'unknown' ELSE industry END AS industry,
- {r6('close', 'close', 4)}, {r6('close * volume', 'market_cap', 2)} FROM panel WHERE volume <> 7""",
-)
-def scan_panel(spark, sf_dir):
+CLEAN_SQL = f"""WITH {PANEL_SQL} SELECT CAST(date AS VARCHAR) AS date, asset, CASE WHEN industry = 'NATION_3' THEN 'unknown' ELSE industry END AS industry,
+ {r6('close', 'close', 4)}, {r6('close * volume', 'market_cap', 2)} FROM panel WHERE volume <> 7"""
+
+
+def raw_panel(spark, sf_dir):
+    """The panel as text, every row twice."""
     p = weekly_panel(spark, sf_dir, ["industry"])
     raw = p.select(
         F.date_format("date", "yyyyMMdd").alias("date"),
@@ -39,8 +39,19 @@ def scan_panel(spark, sf_dir):
         F.when(F.col("volume") == 7, "n/a").otherwise(F.col("volume").cast("string")).alias("volume"),
         F.when(F.col("industry") == "NATION_3", " NaN ").otherwise(F.col("industry")).alias("industry"),
     )
-    d = ingest.clean_panel(raw.unionByName(raw))
-    return show(d, ["date", "asset", "industry"], ["close"], 4, {"market_cap": 2})
+    return raw.unionByName(raw)
+
+
+@query("s_scan_panel", CLEAN_SQL)
+def scan_panel(spark, sf_dir):
+    return show(ingest.clean_panel(raw_panel(spark, sf_dir)), ["date", "asset", "industry"], ["close"], 4, {"market_cap": 2})
+
+
+@query("s_normalize_vendor", CLEAN_SQL)
+def normalize_vendor(spark, sf_dir):
+    names = {"trade_date": "date", "vol": "volume", "sector": "industry"}
+    vendor = raw_panel(spark, sf_dir).withColumnsRenamed({v: k for k, v in names.items()})
+    return show(ingest.normalize_vendor(vendor, names), ["date", "asset", "industry"], ["close"], 4, {"market_cap": 2})
 
 
 @query(
@@ -352,6 +363,13 @@ def semi_anti(spark, sf_dir):
     return show(p.join(big, "asset", "left_semi").join(thin, "date", "left_anti"), ["date", "asset"], ["close"], 4)
 
 
+@query("j_align_factor_by_date", f"WITH {PANEL_SQL}, f AS (SELECT date, avg(turnover) AS factor FROM panel GROUP BY date HAVING count(*) >= 80) SELECT CAST(date AS VARCHAR) AS date, asset, {r6('factor', 'factor')} FROM panel LEFT JOIN f USING (date)")
+def align_by_date(spark, sf_dir):
+    p = weekly_panel(spark, sf_dir)
+    f = p.groupBy("date").agg(F.avg("turnover").alias("factor"), F.count(F.lit(1)).alias("n")).filter("n >= 80").drop("n")
+    return show(p.join(f, "date", "left"), ["date", "asset"], ["factor"])
+
+
 @query("j_align_factor", f"WITH {PANEL_SQL}, f AS (SELECT date, asset, turnover AS factor FROM panel WHERE volume > 20) SELECT CAST(date AS VARCHAR) AS date, asset, {r6('factor', 'factor')} FROM panel LEFT JOIN f USING (date, asset)")
 def align(spark, sf_dir):
     p = weekly_panel(spark, sf_dir)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from . import NUDGE, query, r6, show
 from .dsl import A
-from .sqlkit import FOUR, corr, ic_daily, ic_stats, long_factors, named_factors, pairs_of_four, wide_factors
+from .sqlkit import FOUR, corr, ic_daily, ic_stats, long_factors, named_factors, pairs_of_four, t_tail, wide_factors
 from ..functions.stats import t_two_sided_p
 from ..operators import gram, hypothesis, ic, scorecard
 from ..operators.ts import forward_return, pct_change
@@ -39,7 +39,7 @@ def flagship(spark, sf_dir, min_n: int = 20):
     """All named factors scored by rank IC in one job."""
     long, wide = factor_long(spark, sf_dir, list(NAMED), ordinal=True)
     scored = ic.batch_rank_ic(long, ic.Convention(min_n=min_n), wide=wide)
-    return show(scored, ["factor_id", "n_dates"], ["ic_mean", "ic_ir", "coverage"], 4)
+    return show(scored, ["factor_id", "n_dates"], ["ic_mean", "ic_ir"], 3, {"coverage": 4})
 
 
 STATS = ["ic_mean", "ic_std", "ic_ir", "positive_ratio"]
@@ -62,23 +62,24 @@ def batch_rank_ic(spark, sf_dir):
     return show(ic.batch_rank_ic(long, wide=wide), ["factor_id", "n_dates"], [*STATS, "coverage"])
 
 
-@query("i_evaluate_named")
+@query(
+    "i_evaluate_named",
+    f"""WITH {named_factors(NAMED, f'lead(close, 5) OVER ({A}) / close - 1')}, {ic_daily('facs')},
+s AS (SELECT factor_id, {ic_stats()} FROM daily GROUP BY 1), c AS (SELECT factor_id, count(factor_value) / count(*) AS coverage FROM facs GROUP BY 1)
+SELECT factor_id, n_dates, {r6('ic_mean', 'ic_mean', 3)}, {r6('ic_ir', 'ic_ir', 3)}, {r6('coverage', 'coverage', 4)} FROM s JOIN c USING (factor_id)""",
+)
 def evaluate_named(spark, sf_dir):
     return flagship(spark, sf_dir)
 
 
-# All named factors but the rolling correlation, whose +-1 ties on two-row windows depend on the last bit.
-STEADY = {k: t for k, t in NAMED.items() if k != "A_Share_Vol_Price_Coupling"}
-
-
 @query(
     "i_named_factors_ic",
-    f"""WITH {named_factors(STEADY, f'lead(close, 5) OVER ({A}) / close - 1')}, {ic_daily('facs')},
+    f"""WITH {named_factors(NAMED, f'lead(close, 5) OVER ({A}) / close - 1')}, {ic_daily('facs')},
 s AS (SELECT factor_id, count(*) AS n_dates, avg(rank_ic) AS ic_mean FROM daily GROUP BY 1), c AS (SELECT factor_id, count(factor_value) / count(*) AS coverage FROM facs GROUP BY 1)
 SELECT factor_id, n_dates, {r6('ic_mean', 'ic_mean', 3)}, {r6('coverage', 'coverage', 4)} FROM s JOIN c USING (factor_id)""",
 )
 def named_factors_ic(spark, sf_dir):
-    long, wide = factor_long(spark, sf_dir, list(STEADY), ordinal=True)
+    long, wide = factor_long(spark, sf_dir, list(NAMED), ordinal=True)
     scored = ic.batch_rank_ic(long, wide=wide)
     share = F.round(F.col("coverage") + NUDGE * 1e-4, 4).alias("coverage")
     return show(scored.withColumn("coverage", share), ["factor_id", "n_dates", "coverage"], ["ic_mean"], 3)
@@ -326,11 +327,25 @@ def library_correlation(spark, sf_dir):
     return show(near, ["factor_id", "closest", "n_compared"], ["max_corr"])
 
 
-@query("i_benchmark_correlation")
+def all_pairs(out: str = "pairs", min_n: int = 20) -> str:
+    """CTE ``out``: pairwise-complete correlation of all named factors."""
+    x, y = "a.factor_value", "b.factor_value"
+    return f"""{named_factors(NAMED, 'CAST(NULL AS DOUBLE)')}, fv AS (SELECT factor_id, date, asset, factor_value FROM facs WHERE factor_value IS NOT NULL),
+{out} AS (SELECT a.factor_id AS f1, b.factor_id AS f2, count(*) AS n, CASE WHEN count(*) >= {min_n} THEN {corr(x, y)} END AS corr
+  FROM fv a JOIN fv b ON a.date = b.date AND a.asset = b.asset AND a.factor_id < b.factor_id GROUP BY 1, 2)"""
+
+
+EQUITY_SQL = "(" + ", ".join(f"'{f}'" for f in EQUITY) + ")"
+
+
+@query(
+    "i_benchmark_correlation",
+    f"WITH {all_pairs()} SELECT f1, f2, n, {r6('corr', 'corr', 5)} FROM pairs WHERE f1 IN {EQUITY_SQL} OR f2 IN {EQUITY_SQL}",
+)
 def benchmark_correlation(spark, sf_dir):
     df, _ = factor_frame(spark, sf_dir, list(NAMED))
     pairs = gram.pair_corr(df, list(NAMED)).filter(F.col("f1").isin(list(EQUITY)) | F.col("f2").isin(list(EQUITY)))
-    return show(pairs, ["f1", "f2", "n"], ["corr"])
+    return show(pairs, ["f1", "f2", "n"], ["corr"], 5)
 
 
 # -- tests ------------------------------------------------------------------------------------
@@ -348,12 +363,23 @@ def ic_t_stat(spark, sf_dir):
     return show(hypothesis.ic_p_value(ic.daily_ic(long, wide=wide)), ["factor_id", "n_dates"], ["ic_mean", "ic_std", "t_stat"])
 
 
-@query("h_ic_p_value_fdr")
+# The second p is that of the mean IC and its spread over a hundred dates; its family is all factors.
+FDR = f"""s AS (SELECT factor_id, avg(rank_ic) AS m, coalesce(stddev_samp(rank_ic), 0) AS sd, count(*) AS n FROM daily GROUP BY 1),
+q AS (SELECT factor_id, m / greatest(sd, 1e-10) * sqrt(n) AS t, greatest(n - 1, 1) AS nu, m / greatest(sd, 1e-10) * 10 AS t2, 99 AS nu2 FROM s),
+pv AS (SELECT factor_id, {t_tail('t', 'nu')} AS p, {t_tail('t2', 'nu2')} AS p2 FROM q),
+o AS (SELECT *, row_number() OVER (ORDER BY p2, factor_id) AS r, count(*) OVER () AS n FROM pv),
+j AS (SELECT *, min(least(1.0, p2 * n / r)) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS adj FROM o)"""
+
+
+@query(
+    "h_ic_p_value_fdr",
+    f"WITH {named_factors(NAMED, f'lead(close, 5) OVER ({A}) / close - 1')}, {ic_daily('facs')}, {FDR} SELECT factor_id, {r6('p', 'p_value', 5)}, {r6('adj', 'screened_p', 5)} FROM j",
+)
 def ic_p_value_fdr(spark, sf_dir):
     long, wide = factor_long(spark, sf_dir, list(NAMED), ordinal=True)
     tested = hypothesis.ic_p_value(ic.daily_ic(long, wide=wide))
     out = hypothesis.screen_with_fdr(hypothesis.apply_fdr(tested, "p_value").select("factor_id", "ic_mean", "ic_std", "p_value", "adjusted_p"), 100)
-    return show(out.withColumnRenamed("adjusted_p", "screened_p"), ["factor_id"], ["p_value", "screened_p"])
+    return show(out.withColumnRenamed("adjusted_p", "screened_p"), ["factor_id"], ["p_value", "screened_p"], 5)
 
 
 # A p-like score per factor and date: each factor's dates are one family, as long as the calendar.
@@ -391,7 +417,12 @@ def bonf(spark, sf_dir):
     return show(out, ["factor_id", "date", "rejected"], ["adjusted_p", "threshold"])
 
 
-@query("h_t_two_sided_p")
+@query(
+    "h_t_two_sided_p",
+    f"""WITH {PANEL_SQL}, r AS (SELECT asset, close / lag(close) OVER ({A}) - 1 AS r FROM panel),
+q AS (SELECT asset, count(r) AS n, avg(r) / greatest(stddev_samp(r), 1e-10) * sqrt(count(r)) AS t, count(r) - 1 AS nu FROM r GROUP BY 1)
+SELECT asset, n, {r6('t', 't')}, {r6(t_tail('t', 'nu'), 'p_value')} FROM q""",
+)
 def t_tail(spark, sf_dir):
     p = weekly_panel(spark, sf_dir).withColumn("r", pct_change("close"))
     per = p.groupBy("asset").agg(F.avg("r").alias("m"), F.stddev_samp("r").alias("s"), F.count("r").alias("n"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from . import query, r6, show
 from .dsl import A, D, G
-from .evaluation import LONG_SHORT, factor_frame, factor_long
-from .sqlkit import FOUR, corr, ic_daily, long_factors, pairs_of_four, wide_factors
+from .evaluation import LONG_SHORT, all_pairs, factor_frame, factor_long
+from .sqlkit import FOUR, corr, ic_daily, long_factors, named_factors, pairs_of_four, t_tail, wide_factors
 from ..operators import combine, gram, health, ic, oos, regime
 from ..operators.ts import forward_return, running_product
 from ..plans import sweep, tree
@@ -184,15 +184,23 @@ def sensitivity(spark, sf_dir):
     return show(sweep.ranked(scored), ["params", "best"], ["ic_mean", "ic_ir"])
 
 
-@query("o_parameter_sweep")
+SWEPT = sweep.variants(NAMED["A_Share_Vol_Price_Coupling"], sweep.default_space(NAMED["A_Share_Vol_Price_Coupling"]))
+
+
+@query(
+    "o_parameter_sweep",
+    f"""WITH {named_factors(SWEPT, f'lead(close, 5) OVER ({A}) / close - 1')}, {ic_daily('facs')},
+s AS (SELECT factor_id, avg(rank_ic) AS ic_mean, coalesce(avg(rank_ic) / nullif(stddev_pop(rank_ic), 0), 0) AS ic_ir FROM daily GROUP BY 1)
+SELECT factor_id AS params, {r6('ic_mean', 'ic_mean', 4)}, {r6('ic_ir', 'ic_ir', 4)}, CAST(row_number() OVER (ORDER BY ic_ir DESC, ic_mean DESC, factor_id) = 1 AS INT) AS best FROM s""",
+)
 def parameter_sweep(spark, sf_dir):
     base = NAMED["A_Share_Vol_Price_Coupling"]
-    return show(sweep.ranked(swept(spark, sf_dir, base, sweep.default_space(base))), ["params", "best"], ["ic_mean", "ic_ir"])
+    return show(sweep.ranked(swept(spark, sf_dir, base, sweep.default_space(base))), ["params", "best"], ["ic_mean", "ic_ir"], 4)
 
 
 @query("o_template_grid")
 def template_grid(spark, sf_dir):
-    trees = sweep.template_grid(["close", "volume", "turnover"], [5, 20])
+    trees = sweep.template_grid(["close", "volume", "turnover"], [5, 10, 20])
     p = ic.with_label(weekly_panel(spark, sf_dir, ["industry"]))
     wide = date_is_wide(spark, sf_dir)
     df = tree.evaluate(p, {k: tree.order_core(t) for k, t in trees.items()}, wide=wide)
@@ -288,14 +296,31 @@ def penalty(spark, sf_dir):
     return show(combine.crowding_penalty(w, combine.crowding_scores(gram.pair_corr(df, FOUR)), 0.2), ["factor_id"], ["weight"], 4)
 
 
-@query("c_crowding_clusters")
+@query(
+    "c_crowding_clusters",
+    f"""WITH RECURSIVE {all_pairs()}, e AS (SELECT f1 AS a, f2 AS b FROM pairs WHERE abs(corr) > 0.6), ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(node, other) AS (SELECT DISTINCT a, a FROM ways UNION SELECT reach.node, ways.b FROM reach JOIN ways ON reach.other = ways.a),
+l AS (SELECT node AS factor_id, min(other) AS cluster FROM reach GROUP BY 1)
+SELECT cluster, factor_id, count(*) OVER (PARTITION BY cluster) AS size FROM l""",
+)
 def crowding_clusters(spark, sf_dir):
     names = list(NAMED)
     df, _ = factor_frame(spark, sf_dir, names)
     return combine.clusters(gram.pair_corr(df, names).filter(F.abs("corr") > 0.6))
 
 
-@query("c_orthogonal_select")
+# A fold over the factors in order; the state is the list of kept ones.
+KEPT = """nb AS (SELECT f, list(g) AS near FROM (SELECT f1 AS f, f2 AS g FROM pairs WHERE abs(corr) > 0.6 UNION ALL SELECT f2, f1 FROM pairs WHERE abs(corr) > 0.6) GROUP BY f),
+ord AS (SELECT o.f, coalesce(near, []) AS near, row_number() OVER (ORDER BY o.f) AS i FROM (SELECT DISTINCT factor_id AS f FROM facs) o LEFT JOIN nb ON nb.f = o.f),
+fold(i, kept) AS (SELECT 0::BIGINT, []::VARCHAR[] UNION ALL
+  SELECT ord.i, CASE WHEN list_has_any(kept, near) THEN kept ELSE list_append(kept, ord.f) END FROM fold JOIN ord ON ord.i = fold.i + 1),
+kept AS (SELECT unnest(kept) AS factor_id FROM fold WHERE i = (SELECT max(i) FROM ord))"""
+
+
+@query(
+    "c_orthogonal_select",
+    f"WITH RECURSIVE {all_pairs()}, {CROWD}, {KEPT} SELECT factor_id, n_pairs FROM kept JOIN cr USING (factor_id)",
+)
 def orthogonal(spark, sf_dir):
     names = list(NAMED)
     df, _ = factor_frame(spark, sf_dir, names)
@@ -427,12 +452,15 @@ def regime_ic(spark, sf_dir):
 NEXT = f", lead(close, 1) OVER ({A}) / close - 1 AS lab"
 
 
-@query("m_ic_trend", f"""WITH {long_factors(NEXT, ', lab')}, {ic_daily('facs', 5, 'lab')}, k AS (SELECT factor_id, rank_ic AS y, row_number() OVER (PARTITION BY factor_id ORDER BY date) AS x FROM daily)
-SELECT factor_id, count(*) AS n, {r6('regr_slope(y, x)', 'slope', 8)}, {r6('regr_r2(y, x)', 'r2')} FROM k GROUP BY 1""")
+@query("m_ic_trend", f"""WITH {long_factors(NEXT, ', lab')}, {ic_daily('facs', 5, 'lab')}, k AS (SELECT factor_id, rank_ic AS y, row_number() OVER (PARTITION BY factor_id ORDER BY date) AS x FROM daily),
+f AS (SELECT factor_id, count(*) AS n, regr_slope(y, x) AS slope, regr_r2(y, x) AS r2 FROM k GROUP BY 1),
+t AS (SELECT *, sqrt(r2 * (n - 2) / (1 - r2)) AS t, n - 2 AS nu FROM f), p AS (SELECT *, {t_tail('t', 'nu')} AS p FROM t)
+SELECT factor_id, n, CASE WHEN n < 20 THEN 'insufficient' WHEN round(slope, 6) < -0.001 AND round(p, 6) < 0.05 THEN 'decaying' ELSE 'stable' END AS trend_status,
+ {r6('slope', 'slope', 8)}, {r6('r2', 'r2')}, {r6('p', 'p_value')} FROM p""")
 def ic_trend(spark, sf_dir):
     long, wide = factor_long(spark, sf_dir, labels={"label": 1})
     out = health.ic_trend(ic.daily_ic(long, ic.DECAY, wide=wide))
-    return show(out, ["factor_id", "n"], ["slope"], 8, {"r2": 6})
+    return show(out, ["factor_id", "n", "trend_status"], ["slope"], 8, {"r2": 6, "p_value": 6})
 
 
 @query("m_decay_check")

@@ -61,6 +61,14 @@ def ic_stats(std: str = "stddev_pop") -> str:
     )
 
 
+def t_tail(t: str, nu: str) -> str:
+    """P(|T| >= |t|) for whole degrees of freedom: the two finite sums, their coefficients by gamma functions."""
+    a, cos, sin = f"atan(abs({t}) / sqrt({nu}))", f"(1 / sqrt(1 + ({t}) ** 2 / ({nu})))", f"(abs({t}) / sqrt(({nu}) + ({t}) ** 2))"
+    odd = f"(SELECT sum(exp(lgamma(k + 1) + lgamma(1.5) - lgamma(k + 1.5)) * pow({cos}, 2 * k + 1)) FROM (SELECT unnest(range(0, CAST(({nu} - 1) // 2 AS BIGINT))) AS k))"
+    even = f"(SELECT sum(exp(lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1)) * pow({cos}, 2 * k)) FROM (SELECT unnest(range(0, CAST({nu} // 2 AS BIGINT))) AS k))"
+    return f"least(1.0, greatest(0.0, 1 - CASE WHEN {nu} % 2 = 1 THEN 2 / pi() * ({a} + {sin} * coalesce({odd}, 0)) ELSE {sin} * {even} END))"
+
+
 def pairs_of_four(out: str = "pairs", min_n: int = 20) -> str:
     """CTE ``out``: pairwise-complete correlation of the four factor columns."""
     rows = []
@@ -123,6 +131,11 @@ def named_factors(trees: dict[str, dict], label: str) -> str:
         if op in ("delta", "lag"):
             back = f"lag({x}, {w}) OVER ({A})"
             return column(f"{x} - {back}" if op == "delta" else back, level)
+        if op == "ts_corr":
+            y, other = build(p["_right_block"])
+            a, b = f"(CASE WHEN {y} IS NOT NULL THEN {x} END)", f"(CASE WHEN {x} IS NOT NULL THEN {y} END)"
+            c = f"covar_pop({a}, {b}) {frame(w)} / nullif(stddev_pop({a}) {frame(w)} * stddev_pop({b}) {frame(w)}, 0)"
+            return column(f"CASE WHEN {c} IS NOT NULL THEN round(least(greatest({c}, -1), 1), 12) END", max(level, other))
         return column(f"{ROLLING_SQL[op]}({x}) {frame(w)}", level)
 
     refs = {name: build(tree)[0] for name, tree in trees.items()}

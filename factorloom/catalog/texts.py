@@ -427,6 +427,13 @@ def lineage(spark, sf_dir):
     return d.withColumn("cyclic", F.col("cyclic").cast("int"))
 
 
+@query("m_lineage_roots", "SELECT p_partkey AS id FROM part WHERE p_partkey % 100 = 0")
+def lineage_roots(spark, sf_dir):
+    k = F.col("p_partkey")
+    parent = F.when(k % 10 > 0, k - 1).when(k % 100 > 0, k - 10)
+    return lifecycle.roots(table(spark, sf_dir, "part").select(k.alias("id"), parent.alias("parent"))).select("id")
+
+
 @query("m_latest_version", "SELECT o_custkey AS factor_id, o_orderkey AS version FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1")
 def latest_version(spark, sf_dir):
     v = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("factor_id"), F.col("o_orderkey").alias("version"), F.col("o_orderdate").alias("ts"))
@@ -449,6 +456,16 @@ def user_factor(spark, sf_dir):
     return show(ic.batch_rank_ic(long, wide=date_is_wide(spark, sf_dir)), ["factor_id", "n_dates"], ["ic_mean"])
 
 
+@query(
+    "u_common_dates",
+    f"WITH {long_factors()} SELECT CAST(date AS VARCHAR) AS date, count(*) AS n FROM facs WHERE factor_value IS NOT NULL GROUP BY date HAVING count(DISTINCT factor_id) = 4",
+)
+def common_dates(spark, sf_dir):
+    long, _ = factor_long(spark, sf_dir)
+    d = long.filter(F.col("factor_value").isNotNull()).groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("factor_id").alias("k"))
+    return show(d.filter("k = 4"), ["date", "n"], [])
+
+
 @query(
     "z_stream_ic_log",
     f"""WITH {long_factors()}, {ic_daily('facs')} SELECT factor_id, count(*) AS n, CAST(max(date) AS VARCHAR) AS last_date, {r6('avg(rank_ic)', 'mean_ic')} FROM daily GROUP BY 1""",

@@ -77,7 +77,9 @@ def ts_argmin(x, w: int = 20) -> Column:
 
 
 def ts_corr(x, y=None, w: int = 20) -> Column:
-    return safe_corr(x, x if y is None else y, rolling(w))
+    """Correlation of the window's pairs, bounded and rounded: that of two rows is +-1 and must tie with its like."""
+    c = safe_corr(x, x if y is None else y, rolling(w))
+    return F.when(c.isNotNull(), F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)), 12))
 
 
 def ts_cov(x, y=None, w: int = 20) -> Column:

@@ -80,19 +80,32 @@ def ranked(scored: DataFrame) -> DataFrame:
     return scored.withColumn("best", (F.row_number().over(order) == 1).cast("int")).withColumnRenamed("factor_id", "params")
 
 
+# The rolling operators of the first template, and the shapes of the last two.
+ROLLING = (
+    "delta", "lag", "ts_mean", "ts_std", "ts_rank", "ts_min", "ts_max", "ts_sum", "ts_argmax", "ts_argmin", "ema", "rolling_ols_residual",
+    "ts_skew", "ts_kurt", "ts_cov",
+)
+CROSSED = ("sub", "div", "mul")
+GROUPED = ("group_neutralize", "group_rank", "group_zscore", "quantile")
+SHAPED = ("abs", "log", "sigmoid", "sign")
+
+
 def template_grid(fields: Sequence[str], windows: Sequence[int]) -> dict[str, dict]:
-    """Ranked rolling operators over fields and windows, pairs, volatility-scaled, grouped and shaped templates."""
-    rolling = ("delta", "ts_mean", "ts_std", "ts_rank", "ts_max", "ts_min")
+    """Every tree of the five templates, ranked: rolling, crossed pair, change over spread, grouped and shaped change.
+
+    The first three windows are used for rolling operators, two for the pair of the
+    first two fields; changes over spread take 3 and 5 over 20 and 60 rows of the first field.
+    """
     out: dict[str, E] = {}
-    for f, w, o in product(fields, windows, rolling):
-        out[f"{o}_{f}_{w}"] = rank(over(o, field(f), w))
-    for (a, b), w in product([(a, b) for i, a in enumerate(fields) for b in fields[i + 1 :]], windows):
-        out[f"corr_{a}_{b}_{w}"] = rank(op("ts_corr", field(a), field(b), window=w))
-        out[f"ratio_{a}_{b}_{w}"] = rank(over("ts_mean", field(a) / field(b), w))
-    for f, w in product(fields, windows):
-        out[f"scaled_{f}_{w}"] = rank(over("delta", field(f), w) / over("ts_std", field(f), w))
-        out[f"grouped_{f}_{w}"] = rank(op("group_neutralize", over("ts_mean", field(f), w)))
-    for f in fields:
-        for o in ("log", "sqrt", "abs"):
-            out[f"{o}_{f}"] = rank(op(o, field(f)))
+    for f, w, o in product(fields, windows[:3], ROLLING):
+        out[f"{o}_{f}_{w}"] = rank(op(o, field(f), **({"alpha": 0.2} if o == "ema" else {"window": w})))
+    if len(fields) > 1:
+        a, b = fields[:2]
+        for w, o in product(windows[:2], CROSSED):
+            x, y = (op("zscore", over("delta", field(f), w)) for f in (a, b))
+            out[f"cross_{o}_{a}_{b}_{w}"] = rank({"sub": x - y, "div": x / y, "mul": x * y}[o])
+    for f, short, long in product(fields[:1], (3, 5), (20, 60)):
+        out[f"vol_adj_{f}_{short}_{long}"] = rank(over("delta", field(f), short) / over("ts_std", field(f), long))
+    for f, o in product(fields[:2], (*GROUPED, *SHAPED)):
+        out[f"{o}_{f}"] = rank(op(o, over("delta", field(f), 5), **({"n": 5} if o == "quantile" else {})))
     return {k: v.node for k, v in out.items()}
