@@ -128,9 +128,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     opened = by_text.select("key", F.filter("paths", lambda p: p["open"]).alias("paths")).filter(F.size("paths") > 0)
     opened = opened.select("key", F.col("paths.start").alias("start"), F.col("paths.size").alias("size"))
-    # rows of equal id and text have one key: one of them is enough
     texts = base.select(F.col("_key_").alias("key"), "_text_").join(opened, "key").select("key", "_text_", "start", "size")
-    window = written(windows(texts, width), "debruijn-windows").distinct()
+    # Rows of equal id and text give their windows once each: they are two places.
+    window = written(windows(texts, width), "debruijn-windows")
     twice = window.groupBy("h1", "h2").agg(F.count("*").alias("times")).filter("times > 1").select("h1", "h2")
     single = window.join(twice, ["h1", "h2"]).groupBy("key").agg(F.collect_list("pos").alias("single"))
 
