@@ -44,7 +44,8 @@ from .store import fresh, written
 from .words import LOWER, NOT_SPACE, U, mix, slices, words
 
 BITS = 22  # entries of the rarity table: 4 MB whatever the corpus
-SIGNS = 3  # min-hashes for the first groups
+SIGNS = 3  # pairs of min-hashes for the first groups
+BROADCAST_CLASSES = 250_000  # names of classes sent to every task at most (about 40 bytes each)
 SALTED = 64  # members compared with one sent copy of a leader's set
 
 
@@ -127,9 +128,9 @@ def rarity(docs: DataFrame, text: str, width: int, bits: int = BITS) -> np.ndarr
 
 
 def prefixes(docs: DataFrame, doc_id: str, text: str, rule: Rule, level: np.ndarray) -> DataFrame:
-    """(id, n, digests, min-hashes, first tokens) of every row."""
+    """(id, n, number of rare tokens, digests, min-hashes, first tokens) of every row."""
     bits = int(len(level)).bit_length() - 1
-    names = ["id", "n", "d1", "d2", *(f"sign{i}" for i in range(SIGNS)), "prefix"]
+    names = ["id", "n", "rare", "d1", "d2", *(f"sign{i}" for i in range(SIGNS)), "prefix"]
     schema = T.StructType([
         T.StructField("id", docs.schema[doc_id].dataType),
         *(T.StructField(c, T.LongType()) for c in names[1:-1]),
@@ -143,26 +144,58 @@ def prefixes(docs: DataFrame, doc_id: str, text: str, rule: Rule, level: np.ndar
                 size = hi - lo
                 n = np.bincount(row, minlength=size)
                 signs = []
+                some = np.flatnonzero(n)
+                heads = np.searchsorted(row, some)
                 for i in range(SIGNS):
-                    s = np.full(size, np.iinfo(np.uint64).max, np.uint64)
-                    if len(h):
-                        some = np.flatnonzero(n)
-                        s[some] = np.minimum.reduceat(mix(h + U(7919 * (i + 1))), np.searchsorted(row, some))
+                    s = np.zeros(size, np.uint64)
+                    if len(h):  # both min-hashes of a pair have to agree: one alone may come from a passage that many texts share
+                        for k in (2 * i + 1, 2 * i + 2):
+                            s[some] = mix(s[some] + np.minimum.reduceat(mix(h + U(7919 * k)), heads))
                     signs.append(pa.array(s.view(np.int64)))
-                order = np.lexsort((h, level[h >> U(64 - bits)], row))
+                often = level[h >> U(64 - bits)]
+                order = np.lexsort((h, often, row))
+                rare = np.bincount(row[often == 0], minlength=size)
                 place = np.arange(len(row)) - np.searchsorted(row, np.arange(size))[row]  # place in the row's order
                 first = order[place < np.where(n > 0, rule.probe(n), 0)[row]]
                 bounds = np.concatenate([[0], np.cumsum(np.bincount(row[first], minlength=size))]).astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(bounds), pa.array(h[first].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, size), pa.array(n), *map(pa.array, digests(row, h, size)), *signs, prefix], names=names
+                    [batch.column(0).slice(lo, size), pa.array(n), pa.array(rare), *map(pa.array, digests(row, h, size)), *signs, prefix], names=names
                 )
 
     return docs.select(F.col(doc_id).alias("id"), text).mapInArrow(run, schema)
 
 
+def among(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """Rows whose column is one of the keys, without dealing out the other rows if the keys are few."""
+    keys = written(keys.distinct(), "jaccard-keys")
+    if keys.count() <= BROADCAST_CLASSES:
+        keys = F.broadcast(keys)
+    return rows.join(keys, name, "left_semi")
+
+
+def either(pairs: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    return pairs.select(F.col(a).alias(name)).unionByName(pairs.select(F.col(b).alias(name)))
+
+
+def likely(pairs: DataFrame, reps: DataFrame, rule: Rule) -> DataFrame:
+    """Of the pairs (a, b) those whose kept first tokens leave a link possible.
+
+    The tokens up to the smaller of the two last kept ones are known on both sides,
+    so at most the shared kept tokens and what follows the kept ones can be shared.
+    """
+    pairs = written(pairs, "jaccard-pairs")
+    kept = among(reps.select("cls", "n", "prefix"), either(pairs, "a", "b", "cls"), "cls")
+    rows = pairs.join(kept.toDF("a", "n", "own"), "a").join(kept.toDF("b", "m", "others"), "b")
+    n, m = F.col("n"), F.col("m")
+    most = F.size(F.array_intersect("own", "others")) + F.greatest(n - F.size("own"), m - F.size("others"))
+    return rows.filter(rule.sizes_fit(F.least(n, m), F.greatest(n, m)) & (most >= rule.needed(n, m))).select("a", "b")
+
+
 def full_sets(docs: DataFrame, doc_id: str, text: str, rule: Rule, wanted: DataFrame) -> DataFrame:
     """(cls, n, tokens) of the classes in ``wanted`` (cls, id, d1, d2), read from their texts."""
+    if wanted.count() <= BROADCAST_CLASSES:
+        wanted = F.broadcast(wanted)
     texts = docs.select(F.col(doc_id).alias("own"), F.col(text).alias("text")).join(wanted, F.col("own").eqNullSafe(F.col("id")))
 
     def run(stream):
@@ -193,34 +226,48 @@ def compared(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 
 def opened(members: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b) of classes of different groups that may link; ``members`` has cls, comp, n and prefix."""
-    posted = members.select("cls", "comp", "n", F.posexplode("prefix").alias("pos", "token"))
-    low = posted.filter(F.col("pos") < rule.index(F.col("n")))
+    """Pairs (a, b) of classes of different groups that may link; ``members`` has cls, comp, alone, n and prefix."""
+
+    def postings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of the probe prefixes, and of the shorter index prefixes."""
+        all_of = rows.select("cls", "comp", "alone", "n", F.posexplode("prefix").alias("pos", "token"))
+        return all_of, all_of.filter(F.col("pos") < rule.index(F.col("n")))
 
-    def matrix(rows: DataFrame, side: str) -> DataFrame:
-        got = rows.groupBy("token", "comp").agg(F.min("n"), F.max("n"), F.min("pos"), F.count("*"))
-        return got.toDF("token", side, f"{side}_min", f"{side}_max", f"{side}_pos", f"{side}_rows")
+    # Rows of groups of one class are the matrix already. A row counts below zero if none of its members has the
+    # token in the index prefix.
+    all_of = members.select("comp", "alone", "n", F.posexplode("prefix").alias("pos", "token"))
+    low = F.col("pos") < rule.index(F.col("n"))
+    one = all_of.filter("alone").select("token", "comp", "n", F.col("n").alias("n2"), "pos", F.when(low, 1).otherwise(-1).cast("long").alias("rows"))
+    many = all_of.filter("NOT alone").groupBy("token", "comp").agg(F.min("n"), F.max("n"), F.min("pos"), F.count("*") * F.when(F.max(low), 1).otherwise(-1))
+    matrix = one.union(many)
 
     # y has the larger sets of a pair and looks up x
-    met = matrix(posted, "y").join(matrix(low, "x"), "token")
-    met = met.filter((F.col("x") != F.col("y")) & (F.col("x_min") <= F.col("y_max")) & rule.sizes_fit(F.col("x_max"), F.col("y_min")))
-    met = written(met, "matrix-met")
+    sides = [matrix.toDF("token", s, f"{s}_min", f"{s}_max", f"{s}_pos", f"{s}_rows") for s in "yx"]
+    fit = (F.col("x") != F.col("y")) & (F.col("x_min") <= F.col("y_max")) & rule.sizes_fit(F.col("x_max"), F.col("y_min"))
+    # Written as a condition on both sides (y_min is positive), so that it isn't pushed below the exchange and both sides share one.
+    indexed = F.when(F.col("y_min") > 0, F.col("x_rows") > 0)
+    met = written(sides[0].join(sides[1], "token").filter(fit & indexed), "matrix-met")
     bound = F.least(F.max("x_max") - F.min("x_pos"), F.max("y_max") - F.min("y_pos"))
     least = rule.needed(F.greatest(F.min("x_min"), F.floor(F.min("y_min") * rule.above / rule.below)), F.min("y_min"))
-    pairs = met.groupBy("x", "y").agg(bound.alias("bound"), least.alias("least")).filter("bound >= least").select("x", "y")
-    met = met.join(pairs, ["x", "y"]).select("x", "y", "token", (F.col("x_rows") <= F.col("y_rows")).alias("x_first"))
+    firsts = F.min("x_pos").alias("fx"), F.min("y_pos").alias("fy")
+    pairs = met.groupBy("x", "y").agg(bound.alias("bound"), least.alias("least"), *firsts).filter("bound >= least")
+    pairs = written(pairs.select("x", "y", "fx", "fy"), "matrix-pairs")
+    met = met.join(pairs, ["x", "y"]).select("x", "y", "fx", "fy", "token", (F.abs("x_rows") <= F.abs("y_rows")).alias("x_first"))
 
-    held = members.select("cls", "prefix")
+    posted, low = postings(among(members, either(pairs, "x", "y", "comp"), "comp"))
     sides = {"x": low, "y": posted}
     out = []
     for first, then in (("x", "y"), ("y", "x")):
         near = sides[first].select(F.col("comp").alias(first), "token", F.col("cls").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("pp"))
         far = sides[then].select(F.col("comp").alias(then), "token", F.col("cls").alias("q"), F.col("n").alias("qn"), F.col("pos").alias("qp"))
-        few = met.filter(F.col("x_first") == (first == "x")).select("x", "y", "token").join(near, [first, "token"])
+        few = met.filter(F.col("x_first") == (first == "x")).select("x", "y", "fx", "fy", "token").join(near, [first, "token"])
         small, large = (F.col("pn"), F.col("qn")) if first == "x" else (F.col("qn"), F.col("pn"))
         fits = (small <= large) & rule.sizes_fit(small, large)
         # At the first shared token of a pair these are all that can be shared; a later one may have as many before it as its smaller place.
+        # No member shares a token before the first one that its group shares with the other group.
+        fp, fq = ("fx", "fy") if first == "x" else ("fy", "fx")
         room = F.least("pp", "qp") + F.least(F.col("pn") - F.col("pp"), F.col("qn") - F.col("qp"))
+        room = F.least(room, F.col("pn") - F.col(fp), F.col("qn") - F.col(fq))
         right = far.withColumnRenamed(then, "other").withColumnRenamed("token", "far_token")
         few = few.withColumnRenamed("token", "near_token")
         met_rows = few.join(right, (F.col(then) == F.col("other")) & (F.col("near_token") == F.col("far_token")) & fits & (room >= rule.needed(F.col("pn"), F.col("qn"))))
@@ -241,16 +288,22 @@ def join(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "text"
 
     near = []
     for i in range(SIGNS):
-        leaders = reps.groupBy(f"sign{i}").agg(F.min("cls").alias("b"), F.count("*").alias("k")).filter("k > 1")
-        near.append(reps.select(F.col("cls").alias("a"), f"sign{i}", "n").join(leaders, f"sign{i}").filter("a != b").select("a", "b"))
-    near = written(near[0].unionByName(near[1]).unionByName(near[2]).distinct(), "jaccard-near")
+        # The class with the fewest tokens of its own is the likeliest to be what the others were made from.
+        first = F.min(F.struct("rare", F.col("cls").alias("b"), F.col("n").alias("m"))).alias("first")
+        leaders = reps.groupBy(f"sign{i}").agg(first, F.count("*").alias("k")).filter("k > 1").select(f"sign{i}", "first.b", "first.m")
+        rows_of = reps.select(F.col("cls").alias("a"), f"sign{i}", "n").join(leaders, f"sign{i}").filter("a != b")
+        near.append(rows_of.filter(rule.sizes_fit(F.least("n", "m"), F.greatest("n", "m"))).select("a", "b"))
+    near = written(likely(near[0].unionByName(near[1]).unionByName(near[2]).distinct(), reps, rule), "jaccard-near")
     names = reps.select("cls", "id", "d1", "d2")
-    wanted = lambda pairs: names.join(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct(), "cls")
+
+    def wanted(pairs: DataFrame) -> DataFrame:
+        return written(among(names, either(pairs, "a", "b", "cls"), "cls"), "jaccard-wanted")
+
     links = written(compared(near, full_sets(docs, doc_id, text, rule, wanted(near)), rule), "jaccard-links")
 
     groups = components(links)
-    members = reps.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"), "n", "prefix")
-    pairs = written(opened(members, rule), "jaccard-opened")
+    members = reps.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"), F.col("comp").isNull().alias("alone"), "n", "prefix")
+    pairs = written(likely(opened(members, rule), reps, rule), "jaccard-opened")
     more = compared(pairs, full_sets(docs, doc_id, text, rule, wanted(pairs)), rule)
     whole = components(written(links.unionByName(more), "jaccard-all"))
 
