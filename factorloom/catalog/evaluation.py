@@ -35,11 +35,11 @@ def factor_long(spark, sf_dir, names=FOUR, fields=(), labels=None, ordinal=False
     return tree.long_form(df, names, [*labels, *fields]), wide
 
 
-def flagship(spark, sf_dir, min_n: int = 20):
+def flagship(spark, sf_dir, min_n: int = 20, digits: int = 4):
     """All named factors scored by rank IC in one job."""
     long, wide = factor_long(spark, sf_dir, list(NAMED), ordinal=True)
     scored = ic.batch_rank_ic(long, ic.Convention(min_n=min_n), wide=wide)
-    return show(scored, ["factor_id", "n_dates"], ["ic_mean", "ic_ir"], 3, {"coverage": 4})
+    return show(scored, ["factor_id", "n_dates"], ["ic_mean", "ic_ir"], digits, {"coverage": 4})
 
 
 STATS = ["ic_mean", "ic_std", "ic_ir", "positive_ratio"]
@@ -69,7 +69,7 @@ s AS (SELECT factor_id, {ic_stats()} FROM daily GROUP BY 1), c AS (SELECT factor
 SELECT factor_id, n_dates, {r6('ic_mean', 'ic_mean', 3)}, {r6('ic_ir', 'ic_ir', 3)}, {r6('coverage', 'coverage', 4)} FROM s JOIN c USING (factor_id)""",
 )
 def evaluate_named(spark, sf_dir):
-    return flagship(spark, sf_dir)
+    return flagship(spark, sf_dir, digits=3)
 
 
 @query(
