@@ -218,7 +218,10 @@ def full_sets(docs: DataFrame, doc_id: str, text: str, rule: Rule, wanted: DataF
 def compared(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Of the pairs (a, b) of classes those that link; a class with many partners is sent once for each SALTED of them."""
     partners = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALTED).cast("int").alias("salts"))
+    small = pairs.count() <= BROADCAST_CLASSES
     pairs = pairs.join(partners, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"))
+    if small:  # the sets stay where they were read
+        pairs, partners = F.broadcast(pairs), F.broadcast(partners)
     sent = sets.join(partners, sets["cls"] == partners["b"]).select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("n").alias("m"), F.col("tokens").alias("others"))
     own = sets.join(pairs, sets["cls"] == pairs["a"]).select("a", "b", "salt", "n", "tokens")
     both = F.size(F.array_intersect("tokens", "others"))
@@ -244,15 +247,16 @@ def opened(members: DataFrame, rule: Rule) -> DataFrame:
     # y has the larger sets of a pair and looks up x
     sides = [matrix.toDF("token", s, f"{s}_min", f"{s}_max", f"{s}_pos", f"{s}_rows") for s in "yx"]
     fit = (F.col("x") != F.col("y")) & (F.col("x_min") <= F.col("y_max")) & rule.sizes_fit(F.col("x_max"), F.col("y_min"))
+    least_of = lambda x, y: rule.needed(F.greatest(x, F.floor(y * rule.above / rule.below)), y)
+    fit &= F.least(F.col("x_max") - F.col("x_pos"), F.col("y_max") - F.col("y_pos")) >= least_of(F.col("x_min"), F.col("y_min"))
     # Written as a condition on both sides (y_min is positive), so that it isn't pushed below the exchange and both sides share one.
     indexed = F.when(F.col("y_min") > 0, F.col("x_rows") > 0)
     met = written(sides[0].join(sides[1], "token").filter(fit & indexed), "matrix-met")
     bound = F.least(F.max("x_max") - F.min("x_pos"), F.max("y_max") - F.min("y_pos"))
-    least = rule.needed(F.greatest(F.min("x_min"), F.floor(F.min("y_min") * rule.above / rule.below)), F.min("y_min"))
-    firsts = F.min("x_pos").alias("fx"), F.min("y_pos").alias("fy")
-    pairs = met.groupBy("x", "y").agg(bound.alias("bound"), least.alias("least"), *firsts).filter("bound >= least")
-    pairs = written(pairs.select("x", "y", "fx", "fy"), "matrix-pairs")
-    met = met.join(pairs, ["x", "y"]).select("x", "y", "fx", "fy", "token", (F.abs("x_rows") <= F.abs("y_rows")).alias("x_first"))
+    least = least_of(F.min("x_min"), F.min("y_min"))
+    pairs = met.groupBy("x", "y").agg(bound.alias("bound"), least.alias("least")).filter("bound >= least")
+    pairs = written(pairs.select("x", "y"), "matrix-pairs")
+    met = met.join(pairs, ["x", "y"]).select("x", "y", "token", (F.abs("x_rows") <= F.abs("y_rows")).alias("x_first"))
 
     posted, low = postings(among(members, either(pairs, "x", "y", "comp"), "comp"))
     sides = {"x": low, "y": posted}
@@ -260,14 +264,11 @@ def opened(members: DataFrame, rule: Rule) -> DataFrame:
     for first, then in (("x", "y"), ("y", "x")):
         near = sides[first].select(F.col("comp").alias(first), "token", F.col("cls").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("pp"))
         far = sides[then].select(F.col("comp").alias(then), "token", F.col("cls").alias("q"), F.col("n").alias("qn"), F.col("pos").alias("qp"))
-        few = met.filter(F.col("x_first") == (first == "x")).select("x", "y", "fx", "fy", "token").join(near, [first, "token"])
+        few = met.filter(F.col("x_first") == (first == "x")).select("x", "y", "token").join(near, [first, "token"])
         small, large = (F.col("pn"), F.col("qn")) if first == "x" else (F.col("qn"), F.col("pn"))
         fits = (small <= large) & rule.sizes_fit(small, large)
-        # At the first shared token of a pair these are all that can be shared; a later one may have as many before it as its smaller place.
-        # No member shares a token before the first one that its group shares with the other group.
-        fp, fq = ("fx", "fy") if first == "x" else ("fy", "fx")
-        room = F.least("pp", "qp") + F.least(F.col("pn") - F.col("pp"), F.col("qn") - F.col("qp"))
-        room = F.least(room, F.col("pn") - F.col(fp), F.col("qn") - F.col(fq))
+        # A pair that links has its first shared token where what follows on either side is still enough.
+        room = F.least(F.col("pn") - F.col("pp"), F.col("qn") - F.col("qp"))
         right = far.withColumnRenamed(then, "other").withColumnRenamed("token", "far_token")
         few = few.withColumnRenamed("token", "near_token")
         met_rows = few.join(right, (F.col(then) == F.col("other")) & (F.col("near_token") == F.col("far_token")) & fits & (room >= rule.needed(F.col("pn"), F.col("qn"))))
