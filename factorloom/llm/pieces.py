@@ -5,7 +5,8 @@ no merge can cross from one marked word into the next. A text then falls into
 chunks (a run of markers and what follows), each distinct chunk is segmented
 once, and ids are joined back by the chunks' positions.
 
-The table belongs to a task and is emptied when it holds ``most`` chunks: a
+The table belongs to a task and is emptied before a run of rows that would take
+it past ``most`` chunks; it always holds all chunks of the run at hand. A
 table of all distinct chunks would have to be joined to every word occurrence
 of the corpus through a shuffle several times as large as the texts.
 
@@ -63,8 +64,6 @@ class ChunkTable:
         self.used = 0
 
     def add(self, chunks: list[str]) -> None:
-        if len(self.number) + len(chunks) > self.most:
-            self.clear()
         for chunk, ids in zip(chunks, self.sp.encode(chunks), strict=True):
             k = len(self.number)
             if not chunk:
@@ -82,11 +81,13 @@ class ChunkTable:
         """Ids and decoded text of each text."""
         by_text = [keys(t) for t in texts]
         flat_keys = [k for ks in by_text for k in ks]
-        new = [k for k in dict.fromkeys(flat_keys) if k not in self.number]
+        distinct = dict.fromkeys(flat_keys)
+        new = [k for k in distinct if k not in self.number]
+        if new and len(self.number) + len(new) > self.most:  # one run may hold more than ``most`` by itself
+            self.clear()
+            new = list(distinct)
         if new:
             self.add(new)
-            if len(self.number) < len(new) or any(k not in self.number for k in flat_keys):  # emptied meanwhile
-                self.add([k for k in dict.fromkeys(flat_keys) if k not in self.number])
         at = np.fromiter(map(self.number.__getitem__, flat_keys), np.int64, len(flat_keys))
         sizes = self.size[at]
         ends = np.cumsum(sizes)

@@ -149,6 +149,26 @@ def test_pieces(docs, none, spark):
     assert pieces.round_trip(none, MODEL).count() == 0
 
 
+def test_pieces_over_several_runs(spark):
+    from sentencepiece import SentencePieceProcessor
+
+    sp = SentencePieceProcessor(model_file=MODEL)
+    # one run has more distinct chunks than the table's limit, and some of them are already in it
+    texts = ["a b c", "a d e f g h", "b", "h " + " ".join(f"{i:x}" for i in range(5000)), "1 2 3 x", "", "a b c"]
+    for most in (1, 4, 100):
+        table = pieces.ChunkTable(MODEL, most)
+        for t in texts:
+            ids, back = table.encode([t])
+            assert ids.to_pylist() == [sp.encode(t)] and back.to_pylist() == [sp.decode(sp.encode(t))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        got = by_id(pieces.round_trip(df, MODEL, most=4), "ids")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {i: (sp.encode(t),) for i, t in enumerate(texts)}
+
+
 def test_licenses(docs, none, spark):
     rows = ["Licensed under CC BY 4.0, cc-by!", "GNU General Public License; general  public license", "All rights reserved. all rights", "licensed under the Apache License, Version 2.0", "by cc by", "public license general", None]
     more = spark.createDataFrame([(i, t, "c", "t", i) for i, t in enumerate(rows)], DOC)
