@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass, field
-from zlib import crc32
+from hashlib import blake2b
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
@@ -145,16 +145,22 @@ class Shape:
     label: str
     depth: int
     text: int = 0  # characters below, skipped elements left out
-    mark: int = 0  # checksum of the text directly in it
+    marks: list = field(default_factory=list)  # (checksum, characters) of the text directly in each of its elements that has any
     children: list = field(default_factory=list)
 
 
+def said(node: Node) -> tuple[int, int]:
+    """Checksum and characters of the text directly in an element; (0, 0) without text."""
+    text = " ".join("".join([x for x in node.children if isinstance(x, str)]).split())
+    if not text:
+        return 0, 0
+    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) or 1, len(text)
+
+
 def shape(node: Node, depth: int = 0, most_deep: int = 60) -> Shape:
     out = Shape(node.label, depth)
-    own = []
     for x in node.children:
         if isinstance(x, str):
-            own.append(x)
             continue
         if x.skip or depth >= most_deep:
             kid = Shape("-" + x.label, depth + 1)
@@ -164,15 +170,15 @@ def shape(node: Node, depth: int = 0, most_deep: int = 60) -> Shape:
             merge(out.children[-1], kid)
         else:
             out.children.append(kid)
-    said = " ".join("".join(own).split())
-    out.text = len(said) + sum(k.text for k in out.children)
-    out.mark = crc32(said.encode("utf-8", "replace")) if said else 0
+    mark, chars = said(node)
+    out.text = chars + sum(k.text for k in out.children)
+    out.marks = [(mark, chars)] if chars else []
     return out
 
 
 def merge(into: Shape, more: Shape) -> None:
     into.text += more.text
-    into.mark = crc32(more.mark.to_bytes(4, "little"), into.mark)
+    into.marks += more.marks
     for kid in more.children:
         same = next((k for k in into.children if k.label == kid.label), None)
         merge(same, kid) if same else into.children.append(kid)

@@ -1,18 +1,19 @@
 """Main text of web pages by wrapper induction.
 
 1. Every page becomes a small template tree (siblings of one label in a row are one
-   node, text is kept as length and checksum).
-2. Pages of one host are dealt into blocks of about ``BLOCK`` pages; in a block
-   every tree is aligned with the block's first by simple tree matching. A pair of
-   nodes votes for its path: how much text stands below it, and whether the text
-   is the same on both pages. Votes are summed by host.
+   node, text is kept as length and checksum). Equal trees of a host count once.
+2. Trees of one host are dealt into blocks of about ``BLOCK``; near copies in a
+   block count once, and every tree is aligned with the block's first by simple
+   tree matching. A pair of nodes votes for its path: how much text stands below
+   it, and which texts stand directly in it. Votes are summed by host.
 3. The host's wrapper is the path of the container that holds its content: the
    deepest holder of most of the varying text, an article or main element before
-   any other. Text slots that nearly all aligned pages share are template.
-4. Each page gives the blocks below the wrapper's path. Template slots are left out
-   unless they stand in an article or main element, where copies of one article on
-   a host would look the same. A page without that path, or without text there,
-   gives its own article, main or body.
+   any other. A text that nearly all aligned pages have at one path is template;
+   a block of near copies alone can't tell template from article and has no say.
+4. Each page gives the blocks below the wrapper's path. Texts that are template at
+   their path are left out, unless the wrapper is an article or main element; other
+   text at that path stays. A page without the wrapper's path, or without text
+   there, gives its own article, main or body.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 comments are skipped by tag, role or name wherever they stand (``html_tree``).
@@ -25,6 +26,7 @@ columns are passed on.
 from __future__ import annotations
 
 from collections import defaultdict
+from hashlib import blake2b
 
 import pandas as pd
 import pyarrow as pa
@@ -32,11 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .html_tree import HOLDERS, MAIN, Node, Shape, blocks, matched, parse, shape
+from .html_tree import HOLDERS, MAIN, Node, Shape, blocks, matched, parse, said, shape
 from .store import carried, written
 from .words import flat
 
 BLOCK = 16  # pages aligned with one another
+COPY = 0.9  # share of equal text from which two pages of a block count as one
+SHARED = 0.8  # share of aligned pages that have a template text
+LEAST = 4  # pages that a template text needs
 BROADCAST_HOSTS = 20_000  # wrappers sent to every task at most (some hundred bytes each)
 WRAPPER = "host string, root string, template array<string>"
 
@@ -46,11 +51,12 @@ def host(url: str):
 
 
 def trees(pages: DataFrame, url: str, page: str) -> DataFrame:
-    """(host, pick, depth, label, text, mark): template trees in preorder."""
+    """(host, pick, depth, label, text, marks, chars): template trees in preorder; pick is the tree's checksum."""
 
     def run(stream):
+        kinds = {"depth": pa.list_(pa.int32()), "label": pa.list_(pa.string()), "text": pa.list_(pa.int64()), "marks": pa.list_(pa.list_(pa.int64())), "chars": pa.list_(pa.list_(pa.int64()))}
         for batch in stream:
-            html = flat(batch.column(2))
+            html = flat(batch.column(1))
             for lo in range(0, batch.num_rows, 64):
                 out = defaultdict(list)
                 for text in html[lo : lo + 64].to_pylist():
@@ -60,21 +66,25 @@ def trees(pages: DataFrame, url: str, page: str) -> DataFrame:
                         s = todo.pop()
                         order.append(s)
                         todo.extend(reversed(s.children))
-                    for name in ("depth", "label", "text", "mark"):
-                        out[name].append([getattr(s, name) for s in order])
-                kinds = {"depth": pa.int32(), "label": pa.string(), "text": pa.int64(), "mark": pa.int64()}
+                    out["depth"].append([s.depth for s in order])
+                    out["label"].append([s.label for s in order])
+                    out["text"].append([s.text for s in order])
+                    out["marks"].append([[m for m, _ in s.marks] for s in order])
+                    out["chars"].append([[n for _, n in s.marks] for s in order])
+                    sign = repr((out["depth"][-1], out["label"][-1], out["text"][-1], out["marks"][-1])).encode("utf-8", "replace")
+                    out["pick"].append(int.from_bytes(blake2b(sign, digest_size=8).digest(), "little", signed=True))
                 part = batch.slice(lo, 64)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(out[c], pa.list_(k)) for c, k in kinds.items())], names=["host", "pick", *kinds])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out["pick"], pa.int64()), *(pa.array(out[c], k) for c, k in kinds.items())], names=["host", "pick", *kinds])
 
-    rows = pages.select(host(url).alias("host"), F.xxhash64(url, page).alias("pick"), page)
-    return rows.mapInArrow(run, "host string, pick long, depth array<int>, label array<string>, text array<long>, mark array<long>")
+    rows = pages.select(host(url).alias("host"), page)
+    return rows.mapInArrow(run, "host string, pick long, depth array<int>, label array<string>, text array<long>, marks array<array<long>>, chars array<array<long>>")
 
 
 def rebuilt(row) -> Shape:
     """The tree of a preorder listing."""
     root, stack = None, []
-    for depth, label, text, mark in zip(row.depth, row.label, row.text, row.mark, strict=True):
-        s = Shape(label, int(depth), int(text), int(mark))
+    for depth, label, text, marks, chars in zip(row.depth, row.label, row.text, row.marks, row.chars, strict=True):
+        s = Shape(label, int(depth), int(text), [(int(m), int(n)) for m, n in zip(marks, chars, strict=True)])
         del stack[int(depth) :]
         if stack:
             stack[-1].children.append(s)
@@ -84,52 +94,76 @@ def rebuilt(row) -> Shape:
     return root
 
 
+def slots(root: Shape) -> dict[tuple[str, int], int]:
+    """Characters of each text (path, mark) of a page."""
+    out: dict[tuple[str, int], int] = defaultdict(int)
+    todo = [(root, "/")]
+    while todo:
+        s, at = todo.pop()
+        for mark, chars in s.marks:
+            out[at, mark] += chars
+        todo.extend((k, f"{at}/{k.label}") for k in s.children)
+    return out
+
+
+def folded(shapes: list[Shape]) -> list[Shape]:
+    """Pages of which none shares ``COPY`` of its text with an earlier one."""
+    out, kept = [], []
+    for s in shapes:
+        own = slots(s)
+        for other, text in kept:
+            same = sum(min(n, other[k]) for k, n in own.items() if k in other)
+            if same >= COPY * max(text, s.text):
+                break
+        else:
+            out.append(s)
+            kept.append((own, s.text))
+    return out
+
+
 def votes(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Votes of one block of pages: (host, path, mark, pages, aligned, same, text, varying)."""
-    pdf = pdf.sort_values("pick")
-    shapes = [rebuilt(r) for r in pdf.itertuples()]
+    """Votes of one block of pages: (host, path, mark, pages, text); mark 0 is all text below a path."""
+    shapes = folded([rebuilt(r) for r in pdf.sort_values("pick").itertuples()])
     pivot = shapes[0]
     path: dict[int, str] = {}
-
-    def name(s: Shape, above: str) -> None:
-        path[id(s)] = above + "/" + s.label
-        for k in s.children:
-            name(k, path[id(s)])
-
-    name(pivot, "")
-    out: dict[str, list] = {}
+    todo = [(pivot, "/")]
+    while todo:
+        s, at = todo.pop()
+        path[id(s)] = at
+        todo.extend((k, f"{at}/{k.label}") for k in s.children)
+    out: dict[tuple[str, int], list[int]] = {}
+    alone = len(shapes) == 1
     for other in shapes:
-        pairs = matched(pivot, other)[1] if len(shapes) > 1 else [(pivot, pivot)]
-        if len(shapes) == 1:
-            todo = list(pivot.children)
-            while todo:
-                s = todo.pop()
-                pairs.append((s, s))
-                todo.extend(s.children)
-        for a, b in pairs:
-            v = out.setdefault(path[id(a)], [0, 0, 0, 0, a.mark])
-            alone = other is pivot
-            v[0] += 1
-            v[1] += not alone
-            v[2] += not alone and a.mark == b.mark and a.mark != 0
-            v[3] += b.text
-    rows = [(key[0], p, v[0], v[1], v[2], v[3]) for p, v in out.items()]
-    return pd.DataFrame(rows, columns=["host", "path", "pages", "aligned", "same", "text"])
+        seen: dict[tuple[str, int], int] = defaultdict(int)
+        for a, b in matched(pivot, other)[1]:
+            at = path[id(a)]
+            seen[at, 0] += b.text
+            for mark, chars in b.marks:
+                seen[at, mark] += chars
+        for k, text in seen.items():
+            if alone and k[1]:
+                continue
+            v = out.setdefault(k, [0, 0])
+            v[0] += not alone
+            v[1] += text
+    return pd.DataFrame([(key[0], p, m, *v) for (p, m), v in out.items()], columns=["host", "path", "mark", "pages", "text"])
 
 
 def wrapper(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """The wrapper of one host from its summed votes."""
-    text = dict(zip(pdf["path"], pdf["text"], strict=True))
-    template = sorted(p for p, a, s in zip(pdf["path"], pdf["aligned"], pdf["same"], strict=True) if a >= 3 and s >= 0.8 * a)
-    fixed = set(template)
-    # text of template slots is no content: take it from all holders above
-    varying = {p: t for p, t in text.items()}
-    for p in fixed:
+    """The wrapper of one host from its summed votes and template texts."""
+    varying: dict[str, int] = {}
+    template, cut = [], defaultdict(int)
+    for p, mark, text in zip(pdf["path"], pdf["mark"], pdf["text"], strict=True):
+        if not mark:
+            varying[p] = text
+            continue
+        template.append(slot(p, mark))
+        # template text is no content: take it from all holders above
         parts = p.split("/")
         for k in range(2, len(parts) + 1):
-            above = "/".join(parts[:k])
-            if above in varying and not any(q in fixed for q in ("/".join(parts[:j]) for j in range(2, len(parts)))):
-                varying[above] -= text[p]
+            cut["/".join(parts[:k])] += text
+    for p, text in cut.items():
+        varying[p] -= text
     total = max((t for t in varying.values()), default=0)
     tag = lambda p: p.rpartition("/")[2].partition(".")[0]
     main = [p for p in varying if tag(p) in MAIN and varying[p] >= 0.3 * total and varying[p] > 0]
@@ -138,18 +172,20 @@ def wrapper(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         root = min(main, key=lambda p: (p.count("/"), -varying[p], p))  # the outermost
     else:
         root = max(holders, key=lambda p: (p.count("/"), varying[p], p), default="")
-    return pd.DataFrame([(key[0], root, template)], columns=["host", "root", "template"])
+    return pd.DataFrame([(key[0], root, sorted(template))], columns=["host", "root", "template"])
 
 
 def induce(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     """(host, root, template): the wrapper of every host."""
-    made = written(trees(pages, url, page), "page-trees")
+    made = written(trees(pages, url, page).dropDuplicates(["host", "pick"]), "page-trees")
     sizes = made.groupBy("host").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = made.join(sizes, "host").withColumn("block", F.pmod("pick", "blocks"))
-    kinds = "host string, path string, pages long, aligned long, same long, text long"
-    cast = dealt.groupBy("host", "block").applyInPandas(votes, kinds)
-    summed = cast.groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("pages", "aligned", "same", "text")))
-    return summed.groupBy("host").applyInPandas(wrapper, WRAPPER)
+    cast = dealt.groupBy("host", "block").applyInPandas(votes, "host string, path string, mark long, pages long, text long")
+    summed = written(cast.groupBy("host", "path", "mark").agg(F.sum("pages").alias("pages"), F.sum("text").alias("text")).filter((F.col("mark") == 0) | (F.col("pages") >= LEAST)), "page-votes")
+    paths = summed.filter("mark = 0")
+    fixed = summed.filter("mark != 0").join(paths.select("host", "path", F.col("pages").alias("of")), ["host", "path"])
+    fixed = fixed.filter(F.col("pages") >= SHARED * F.col("of")).select(*summed.columns)
+    return paths.unionByName(fixed).groupBy("host").applyInPandas(wrapper, WRAPPER)
 
 
 def found(root: Node, path: str) -> list[tuple[Node, str]]:
@@ -175,19 +211,36 @@ def first(root: Node, tag: str) -> Node | None:
     return None
 
 
+def slot(path: str, mark: int) -> str:
+    return f"{mark} {path}"
+
+
 def without(node: Node, at: str, template: set[str]) -> Node:
     """A copy of a tree without the text of template slots."""
-    keep = [k for k in node.children if not isinstance(k, str) or at not in template]
-    return Node(node.tag, node.label, node.skip, [k if isinstance(k, str) else without(k, f"{at}/{k.label}", template) for k in keep])
+    top = Node(node.tag, node.label, node.skip)
+    todo = [(node, at, top)]
+    while todo:
+        x, at, copy = todo.pop()
+        drop = slot(at, said(x)[0]) in template
+        for k in x.children:
+            if isinstance(k, str):
+                if not drop:
+                    copy.children.append(k)
+                continue
+            kid = Node(k.tag, k.label, k.skip)
+            copy.children.append(kid)
+            if not k.skip:
+                todo.append((k, f"{at}/{k.label}", kid))
+    return top
 
 
 def main_text(page: str, path: str, template: list[str]) -> str:
     root = parse(page)
     if path:
         got = []
-        slots = set(template)
+        fixed = set(template)
         for node, at in found(root, path):
-            own = node if node.label.partition(".")[0] in MAIN or not slots else without(node, at, slots)
+            own = node if node.label.partition(".")[0] in MAIN or not fixed else without(node, at, fixed)
             got += blocks(own)
         if got:
             return "\n\n".join(got)

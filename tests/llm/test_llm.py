@@ -255,6 +255,27 @@ def test_wrappers(spark):
     assert wrappers.extract(pages.limit(0)).count() == 0
 
 
+def test_wrappers_keep_text_that_differs_in_a_template_slot(spark):
+    page = lambda intro, body: f"<html><body><div class='top'><span>{intro}</span></div><div class='story'>{body}</div></body></html>"
+    own = lambda i: "".join(f"<p>part {k} of tale {i} tells of {i * 31 + k} ships</p>" for k in range(6))
+    flat = lambda body: body.replace("</p><p>", "\n\n").removeprefix("<p>").removesuffix("</p>")
+    welcome, rows = "Welcome to our site, dear visitor", []
+    # the slot's shared text goes, the text of the page that differs stays
+    for i in range(10):
+        body = f"<div class='lead'>{welcome if i else 'A lead of its own'}</div>{own(i)}"
+        rows.append((i, "http://a.example/", page("", body), ("" if i else "A lead of its own\n\n") + flat(own(i))))
+    # four in five pages are copies, half of them with another last line: theirs is no template for the rest or for themselves
+    for i in range(40):
+        body = own(7) + (f"<p>seen {i}</p>" if i % 2 else "") if i % 5 else own(i + 100)
+        rows.append((100 + i, "http://b.example/", page(welcome, body), flat(body)))
+    # copies alone
+    for i in range(5):
+        rows.append((200 + i, "http://c.example/", page("", own(3)), flat(own(3))))
+    pages = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(pages).collect()}
+    assert got == {r[0]: r[3] for r in rows}
+
+
 def test_simple_tree_matching():
     from factorloom.llm.html_tree import matched, parse, shape
 
