@@ -157,13 +157,25 @@ def said(node: Node) -> tuple[int, int]:
     return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) or 1, len(text)
 
 
+def below(node: Node) -> int:
+    """Characters in an element, skipped elements left out."""
+    n, todo = 0, [node]
+    while todo:
+        x = todo.pop()
+        n += said(x)[1]
+        todo.extend(k for k in x.children if not isinstance(k, str) and not k.skip)
+    return n
+
+
 def shape(node: Node, depth: int = 0, most_deep: int = 60) -> Shape:
     out = Shape(node.label, depth)
     for x in node.children:
         if isinstance(x, str):
             continue
-        if x.skip or depth >= most_deep:
+        if x.skip:
             kid = Shape("-" + x.label, depth + 1)
+        elif depth >= most_deep:  # no tree from here on, only text
+            kid = Shape(x.label, depth + 1, below(x))
         else:
             kid = shape(x, depth + 1, most_deep)
         if out.children and out.children[-1].label == kid.label:

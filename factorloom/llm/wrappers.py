@@ -6,10 +6,11 @@
    block count once, and every tree is aligned with the block's first by simple
    tree matching. A pair of nodes votes for its path: how much text stands below
    it, and which texts stand directly in it. Votes are summed by host.
-3. The host's wrapper is the path of the container that holds its content: the
-   deepest holder of most of the varying text, an article or main element before
-   any other. A text that nearly all aligned pages have at one path is template;
-   a block of near copies alone can't tell template from article and has no say.
+3. The host's wrapper is the path of the container that holds its content: an
+   article or main element before any other, else the deepest holder of all the
+   varying text, so that a headline or lead beside the body stays. A text that
+   nearly all aligned pages have at one path is template; a block of near copies
+   alone can't tell template from article and has no say.
 4. Each page gives the blocks below the wrapper's path. Texts that are template at
    their path are left out, unless the wrapper is an article or main element; other
    text at that path stays. A page without the wrapper's path, or without text
@@ -167,11 +168,14 @@ def wrapper(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     total = max((t for t in varying.values()), default=0)
     tag = lambda p: p.rpartition("/")[2].partition(".")[0]
     main = [p for p in varying if tag(p) in MAIN and varying[p] >= 0.3 * total and varying[p] > 0]
-    holders = [p for p in varying if tag(p) in HOLDERS and varying[p] >= 0.6 * total and varying[p] > 0]
+    root = "/"
     if main:
         root = min(main, key=lambda p: (p.count("/"), -varying[p], p))  # the outermost
     else:
-        root = max(holders, key=lambda p: (p.count("/"), varying[p], p), default="")
+        for p in sorted(varying, key=lambda p: (p.count("/"), p)):
+            # go down while one child holds all of the text
+            if p.rpartition("/")[0] == root and tag(p) in HOLDERS and varying[p] > 0 and varying[p] >= varying[root]:
+                root = p
     return pd.DataFrame([(key[0], root, sorted(template))], columns=["host", "root", "template"])
 
 

@@ -276,6 +276,21 @@ def test_wrappers_keep_text_that_differs_in_a_template_slot(spark):
     assert got == {r[0]: r[3] for r in rows}
 
 
+def test_wrappers_keep_headlines_and_deep_text(spark):
+    html = lambda body: f"<html><body><div class='top'><span>Welcome to our site</span></div>{body}</body></html>"
+    long = lambda i: " ".join(f"word{i * k}" for k in range(60))
+    rows = []
+    for i in range(8):  # most of the text is in one child, the rest is no less the article's
+        rows.append((i, "http://a.example/", html(f"<div class='post'><h1>Head {i}</h1><div class='lead'>Lead {i}</div><div class='body'><p>{long(i)}</p></div></div>"), f"Head {i}\n\nLead {i}\n\n{long(i)}"))
+    for i in range(8):  # the article is deeper than the template trees, the byline isn't
+        rows.append((100 + i, "http://b.example/", html(f"<div class='byline'>By author {i}</div>" + "<section>" * 70 + f"<p>{long(i)}</p>"), f"By author {i}\n\n{long(i)}"))
+    for i in range(8):  # deeper than Python recurses
+        rows.append((200 + i, "http://c.example/", html(f"<p>First {i}</p>" + "<div>" * 3000 + long(i)), f"First {i}\n\n{long(i)}"))
+    pages = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(pages).collect()}
+    assert got == {r[0]: r[3] for r in rows}
+
+
 def test_simple_tree_matching():
     from factorloom.llm.html_tree import matched, parse, shape
 
