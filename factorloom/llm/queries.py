@@ -219,3 +219,14 @@ WHERE NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90
 WINDOW w AS (PARTITION BY a, pos ORDER BY s.score DESC, s.id, s.b)
 QUALIFY row_number() OVER w <= 10
 """
+
+
+@query
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from the rows that aren't held out."""
+    from .language import fit, held_out, identify
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs.filter(~held_out()).select("doc_id", "text", "lang"))
+    got = identify(docs.select("doc_id", "text"), model)
+    return got.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
