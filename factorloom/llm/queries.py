@@ -230,3 +230,35 @@ def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit(docs.filter(~held_out()).select("doc_id", "text", "lang"))
     got = identify(docs.select("doc_id", "text"), model)
     return got.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far every source is from the others of its language, and the terms that set it off."""
+    from .divergence import audit
+
+    return audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+ORACLES["op13_source_divergence"] = rf"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), {FOLD}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+kept AS (SELECT lang, t FROM (SELECT lang, unnest(list_distinct(w)) AS t FROM d) GROUP BY lang, t HAVING count(*) >= 10),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+c AS (SELECT lang, source, t, count(*) AS n FROM (SELECT lang, source, unnest(w) AS t FROM d) JOIN kept USING (lang, t) GROUP BY lang, source, t),
+g AS (SELECT DISTINCT lang, source FROM d),
+a AS (SELECT g.lang, g.source, kept.t, coalesce(c.n, 0) AS n FROM g JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.t = kept.t),
+gp AS (SELECT lang, source, t, n, 1 + (1000000000 * (n + 2)::HUGEINT) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS p FROM a JOIN v USING (lang)),
+l AS (SELECT lang, t, sum(n) AS n FROM a GROUP BY lang, t),
+lp AS (SELECT lang, t, 1 + (1000000000 * (n + 2)::HUGEINT) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS q FROM l JOIN v USING (lang)),
+pair AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+         FROM gp x JOIN gp y ON x.lang = y.lang AND x.t = y.t AND x.source <> y.source GROUP BY ALL),
+pairs AS (SELECT x.lang, x.source, y.source AS item, coalesce(pair.value, 0) AS value
+          FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN pair ON pair.lang = x.lang AND pair.source = x.source AND pair.item = y.source),
+term AS (SELECT lang, source, t AS item, (p - q) * (p - q) // (p + q) AS value FROM gp JOIN lp USING (lang, t) WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value,
+       CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pairs
+UNION ALL
+SELECT lang, source, 'term', item, CAST(value AS BIGINT), CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM term
+QUALIFY rank <= 10
+"""
