@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -24,11 +23,30 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
-        base = os.environ.setdefault("FACTORLOOM_SHARED", tempfile.mkdtemp(prefix="factorloom-shared-"))
-        spark.sparkContext.setCheckpointDir(base)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factorloom-shared-"))
+        base = spark.sparkContext.getCheckpointDir()
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def _file(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _file(spark, path)
+    return fs.exists(at)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` whose last reader is done."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            fs, at = _file(df.sparkSession, folder)
+            fs.delete(at, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, read by several later steps, safe against lost executors."""
     path = shared_folder(df.sparkSession, name)

@@ -104,6 +104,53 @@ def test_exact_dedup(spark, docs, texts, none):
     assert [r["keep_id"] for r in got] == [7, 7, 7] and sum(r["kept"] for r in got) == 1
 
 
+def test_dedup_of_any_source(spark, tmp_path):
+    """Sources without row numbers are landed once; unions and results of Python too."""
+    rows = [(3, "a b"), (1, "a  b"), (2, "c"), (None, "c"), (2, "c"), (5, None), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    df.write.json(f"{tmp_path}/json")
+    df.write.option("header", True).option("quoteAll", True).csv(f"{tmp_path}/csv")
+    df.write.parquet(f"{tmp_path}/parquet")
+    file = spark.read.schema(df.schema).parquet(f"{tmp_path}/parquet")
+    sources = {
+        "json": spark.read.schema(df.schema).json(f"{tmp_path}/json"),
+        "csv": spark.read.schema(df.schema).option("header", True).csv(f"{tmp_path}/csv"),
+        "parquet": file,
+        "union": file.filter("doc_id = 3").unionByName(file.filter("doc_id <> 3 OR doc_id IS NULL")),
+        "python": file.mapInArrow(lambda it: it, file.schema),
+        "joined": file.join(spark.range(10).withColumnRenamed("id", "doc_id"), "doc_id", "left"),
+    }
+    for name, source in sources.items():
+        got = sorted((r["doc_id"], r["text"] or "") for r in dedup.dedup(source).collect())
+        assert got == [(1, "a  b"), (2, "c"), (5, "")], name
+
+
+@pytest.mark.parametrize("digest", [dedup.sha256, lambda c: F.lit("one for all")])
+def test_dedup_lasting_state(spark, tmp_path, digest):
+    """Later arrivals are looked up in the state of the earlier ones; an arrival given twice changes nothing."""
+    first = spark.createDataFrame([(5, "a b", 1), (7, "a  b", 2), (6, "c", 3)], "doc_id long, text string, c0_ int")
+    second = spark.createDataFrame([(1, "a\tb", "x"), (2, "d", "y"), (3, "d", "z"), (None, "e", "w")], "doc_id long, text string, other string")
+    at = lambda name: dedup.Lasting(f"file://{tmp_path}/state", name)
+    said = lambda df, name: sorted((r["doc_id"] or 99, r["keep_id"] or 99, r["group_size"], r["kept"]) for r in dedup.decisions(df, digest=digest, lasting=at(name)).collect())
+    one = [(5, 5, 2, True), (6, 6, 1, True), (7, 5, 2, False)]
+    assert said(first, "monday") == one
+    two = [(1, 5, 3, False), (2, 2, 2, True), (3, 2, 2, False), (99, 99, 1, True)]
+    assert said(second, "tuesday") == two
+    assert said(second, "tuesday") == two
+    stay = dedup.dedup(second, lasting=at("tuesday")) if digest is dedup.sha256 else second.limit(0)
+    assert stay.columns == second.columns and {r["doc_id"] for r in stay.collect()} <= {2, None}
+    assert said(first.limit(0), "wednesday") == []
+
+
+def test_near_copies_are_dropped_by_row(spark):
+    """Repeated ids and null ids: one row of each component stays."""
+    text, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(7, text), (7, text + " x"), (None, text), (None, other), (None, other + " y"), (None, None), (8, ""), (8, "")]
+    stay = jaccard.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), jaccard.Rule(width=3, above=90))
+    got = sorted(((r["doc_id"] or 0), (r["text"] or "")[:2]) for r in stay.collect())
+    assert got == [(0, ""), (0, "v0"), (7, "w0"), (8, ""), (8, "")]
+
+
 def test_dedup_places_may_clash(spark):
     df = spark.createDataFrame([(1, "a", "x"), (2, "a", "y")], "doc_id long, text string, _file_ string")
     assert [tuple(r) for r in dedup.dedup(df).collect()] == [(1, "a", "x")]
