@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import forget, written
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -37,4 +37,5 @@ def components(edges: DataFrame) -> DataFrame:
             )
         seen = state
         # in a star every edge ends in the smallest node of its component
-        now = written(_small(_large(now).filter("a != b").distinct()).filter("a != b").distinct(), "edges")
+        before, now = now, written(_small(_large(now).filter("a != b").distinct()).filter("a != b").distinct(), "edges")
+        forget(before)

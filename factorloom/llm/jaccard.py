@@ -5,12 +5,13 @@ component of every document; links inside a component that is already joined
 are not looked for again, links between different components are all found.
 
 1. Sets. A token is the 64-bit hash of k words. Documents with equal sets are one
-   class and only classes go on. Tokens are ordered by rarity, then hash, the same
-   way everywhere: ``rarity`` is a table of fixed size with the logarithm of the
-   count of tokens that are frequent somewhere (any order gives whole results).
-   A class keeps its first tokens: a set of n can only reach the similarity with a
-   set that has one of its first n - ceil(s n) + 1 tokens in common (its index
-   prefix is n - ceil(2s / (1 + s) n) + 1 for sets that are as large or larger).
+   class and only classes go on. Tokens under a fixed bound are the sample; in how
+   many classes each occurs is counted over all documents. The order of tokens is
+   the same everywhere: the sample by count, then the rest, equal ones by hash. A
+   set of n can only reach the similarity with a set that has one of its first
+   n - ceil(s n) + 1 tokens in common (its index prefix is n - ceil(2s / (1 + s) n) + 1
+   for sets that are as large or larger). A class with that many sampled tokens that
+   no other class has links with nothing and is done; the others keep their first tokens.
 2. Groups. Classes that agree in a min-hash are compared with the smallest of them;
    classes that link are one group. Copies of one text with few changes end in a
    few groups however many there are.
@@ -40,10 +41,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .store import fresh, written
+from .dedup import PLACE, landed, placed
+from .store import carried, forget, written
 from .words import LOWER, NOT_SPACE, U, mix, slices, words
 
-BITS = 22  # entries of the rarity table: 4 MB whatever the corpus
 SIGNS = 3  # pairs of min-hashes for the first groups
 BROADCAST_CLASSES = 250_000  # names of classes sent to every task at most (about 40 bytes each)
 SALTED = 64  # members compared with one sent copy of a leader's set
@@ -71,6 +72,14 @@ class Rule:
     def probe(self, n):
         return n - (self.above * n + self.below - 1) // self.below + 1
 
+    def probe_column(self, n: Column) -> Column:
+        return n - F.floor((F.lit(self.above) * n + (self.below - 1)) / self.below) + 1
+
+    @property
+    def sample(self) -> int:
+        """Tokens up to this hash are counted: twice the share of a set that may differ."""
+        return min(2**64 - 1, 2 * (self.below - self.above) * 2**64 // self.below)
+
     def index(self, n: Column) -> Column:
         k = self.above + self.below
         return n - F.floor((F.lit(2 * self.above) * n + (k - 1)) / k) + 1
@@ -105,36 +114,13 @@ def digests(row: np.ndarray, h: np.ndarray, n: int) -> list[np.ndarray]:
     return [sums(row, mix(h ^ U(k)), n).view(np.int64) for k in (0x1234567, 0x89ABCDEF0)]
 
 
-def rarity(docs: DataFrame, text: str, width: int, bits: int = BITS) -> np.ndarray:
-    """For the top bits of a token, the logarithm of the count of the most frequent such token; 0 for the rest.
-
-    A slice of texts reports tokens of at least three of its texts; the sum of the
-    reports is a lower bound of the count.
-    """
-
-    def run(stream):
-        for batch in stream:
-            for _, _, data, offsets in slices(batch.column(0), 4 << 20):
-                h, n = np.unique(tokens(data, offsets, width)[1], return_counts=True)
-                keep = n >= 3
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep])], names=["token", "n"])
-
-    frequent = docs.select(text).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter("n >= 8")
-    bucket = F.shiftrightunsigned("token", 64 - bits)
-    top = frequent.groupBy(bucket.alias("k")).agg(F.max(F.floor(F.log2("n"))).cast("int").alias("level")).toPandas()
-    table = np.zeros(1 << bits, np.uint8)
-    table[top["k"].to_numpy()] = top["level"].to_numpy()
-    return table
-
-
-def prefixes(docs: DataFrame, doc_id: str, text: str, rule: Rule, level: np.ndarray) -> DataFrame:
-    """(id, n, number of rare tokens, digests, min-hashes, first tokens) of every row."""
-    bits = int(len(level)).bit_length() - 1
-    names = ["id", "n", "rare", "d1", "d2", *(f"sign{i}" for i in range(SIGNS)), "prefix"]
+def sampled_sets(docs: DataFrame, doc_id: str, text: str, rule: Rule) -> DataFrame:
+    """(id, n, digests, min-hashes, k, first) of every row: its first tokens by hash, of which k are of the sample, no fewer than the prefix needs."""
+    names = ["id", "n", "d1", "d2", *(f"sign{i}" for i in range(SIGNS)), "k", "first"]
     schema = T.StructType([
         T.StructField("id", docs.schema[doc_id].dataType),
         *(T.StructField(c, T.LongType()) for c in names[1:-1]),
-        T.StructField("prefix", T.ArrayType(T.LongType())),
+        T.StructField("first", T.ArrayType(T.LongType())),
     ])
 
     def run(stream):
@@ -152,20 +138,49 @@ def prefixes(docs: DataFrame, doc_id: str, text: str, rule: Rule, level: np.ndar
                         for k in (2 * i + 1, 2 * i + 2):
                             s[some] = mix(s[some] + np.minimum.reduceat(mix(h + U(7919 * k)), heads))
                     signs.append(pa.array(s.view(np.int64)))
-                often = level[h >> U(64 - bits)]
-                order = np.lexsort((h, often, row))
-                rare = np.bincount(row[often == 0], minlength=size)
-                place = np.arange(len(row)) - np.searchsorted(row, np.arange(size))[row]  # place in the row's order
-                first = order[place < np.where(n > 0, rule.probe(n), 0)[row]]
-                bounds = np.concatenate([[0], np.cumsum(np.bincount(row[first], minlength=size))]).astype(np.int32)
-                prefix = pa.ListArray.from_arrays(pa.array(bounds), pa.array(h[first].view(np.int64)))
+                inside = h <= U(rule.sample)
+                k = np.bincount(row[inside], minlength=size)
+                place = np.arange(len(row)) - np.searchsorted(row, np.arange(size))[row]  # tokens are sorted by hash in each row
+                stay = place < np.where(n > 0, np.maximum(k, rule.probe(n)), 0)[row]
+                bounds = np.concatenate([[0], np.cumsum(np.bincount(row[stay], minlength=size))]).astype(np.int32)
+                first = pa.ListArray.from_arrays(pa.array(bounds), pa.array(h[stay].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, size), pa.array(n), pa.array(rare), *map(pa.array, digests(row, h, size)), *signs, prefix], names=names
+                    [batch.column(0).slice(lo, size), pa.array(n), *map(pa.array, digests(row, h, size)), *signs, pa.array(k), first], names=names
                 )
 
     return docs.select(F.col(doc_id).alias("id"), text).mapInArrow(run, schema)
 
 
+def tallies(rows: DataFrame) -> DataFrame:
+    """(own, key, n) of the sample: how many tokens of its own the class with digest ``key`` has, and how many rows hold the token ``key`` of several classes.
+
+    Classes count by their first digest; that two of them share it and a token too is no likelier than two equal token hashes.
+    """
+    marks = rows.filter("k > 0").select("d1", F.explode(F.slice("first", F.lit(1), F.col("k").cast("int"))).alias("token"))
+    counted = marks.groupBy("token").agg(F.min("d1").alias("a"), F.max("d1").alias("b"), F.count(F.lit(1)).alias("n"))
+    own = counted.filter("a = b").groupBy(F.col("a").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    shared = counted.filter("a != b").select(F.lit(False).alias("own"), F.col("token").alias("key"), "n")
+    return written(own.select(F.lit(True).alias("own"), "key", "n").unionByName(shared), "token-tallies")
+
+
+def open_classes(rows: DataFrame, classes: DataFrame, counts: DataFrame, rule: Rule) -> DataFrame:
+    """(cls, id, n, digests, min-hashes, rare, prefix) of the classes that may link; rare is the number of their own sampled tokens."""
+    own = counts.filter("own").select(F.col("key").alias("d1"), F.col("n").alias("rare"))
+    left = classes.join(own, "d1", "left").select("cls", F.coalesce("rare", F.lit(0)).alias("rare"), rule.probe_column(F.col("n")).alias("probe"))
+    left = written(left.filter("rare < probe"), "open-classes")
+    names = left.withColumnRenamed("cls", "row")
+    some = written(rows.join(F.broadcast(names) if left.count() <= BROADCAST_CLASSES else names, "row").withColumnRenamed("row", "cls"), "open-sets")
+    shared = counts.filter("NOT own").select(F.col("key").alias("token"), F.col("n").alias("often"))
+    late = (F.col("pos") >= F.col("k")).alias("late")
+    order = F.struct("late", F.when(~F.col("late"), F.coalesce("often", F.lit(0))).alias("often"), "token")
+    ordered = some.select("cls", "probe", "k", F.posexplode("first").alias("pos", "token")).select("cls", "probe", late, "token")
+    ordered = ordered.join(shared, "token", "left").groupBy("cls", "probe").agg(F.sort_array(F.collect_list(order)).alias("all"))
+    prefix = F.transform(F.slice("all", F.lit(1), F.col("probe").cast("int")), lambda x: x["token"]).alias("prefix")
+    reps = written(some.drop("probe", "k", "first").join(ordered.select("cls", prefix), "cls"), "shingle-reps")
+    forget(left, some)
+    return reps
+
+
 def among(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
     """Rows whose column is one of the keys, without dealing out the other rows if the keys are few."""
     keys = written(keys.distinct(), "jaccard-keys")
@@ -280,12 +295,12 @@ def opened(members: DataFrame, rule: Rule) -> DataFrame:
 
 def join(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component, d1, d2) of every row of ``docs``."""
-    rows = prefixes(docs, doc_id, text, rule, rarity(docs, text, rule.width))
-    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "shingle-prefixes")
+    rows = written(sampled_sets(docs, doc_id, text, rule).withColumn("row", F.monotonically_increasing_id()), "shingle-samples")
     classes = rows.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("row").alias("cls"), F.min("id").alias("least"))
     classes = written(classes, "shingle-classes")
-    reps = rows.join(classes.select(F.col("cls").alias("row")), "row").withColumnRenamed("row", "cls")
-    reps = written(reps, "shingle-reps")
+    counts = tallies(rows)
+    reps = open_classes(rows, classes, counts, rule)
+    forget(counts)
 
     near = []
     for i in range(SIGNS):
@@ -316,6 +331,12 @@ def join(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "text"
 
 
 def drop_near_copies(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component; rows without words stay."""
-    stay = join(docs, rule, doc_id, text).filter(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias(name := fresh(docs, "_stay_"))).distinct()
-    return docs.join(stay, docs[doc_id].eqNullSafe(stay[name]), "left_semi")
+    """One row of every component: the first by id (null ids last), then by file and row number; rows without words stay."""
+    if not {*PLACE}.isdisjoint(docs.columns):
+        cols, fields = carried(docs, docs.columns)
+        names = dict(zip(docs.columns, (f.name for f in fields), strict=True))
+        return drop_near_copies(docs.select(*cols), rule, names[doc_id], names[text]).toDF(*docs.columns)
+    docs = landed(docs)
+    rows = placed(docs).select(F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), *PLACE).alias("id"), F.col(text).alias("text"))
+    stay = join(rows, rule, "id", "text").filter(F.col("id") == F.col("component")).select(*(F.col(f"id.{c}").alias(c) for c in PLACE))
+    return placed(docs).join(stay, PLACE, "left_semi").drop(*PLACE)
