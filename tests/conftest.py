@@ -6,8 +6,6 @@ import pytest
 ROOT = Path(__file__).resolve().parents[1]
 sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
-SF_DIR = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():

@@ -4,7 +4,7 @@ import brute
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import SF_DIR
+from brute import SF_DIR
 
 from factorloom.catalog.evaluation import flagship
 from factorloom.plans import sweep, tree

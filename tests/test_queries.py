@@ -4,7 +4,7 @@ import os
 
 import pytest
 from check_queries import compare, connect
-from conftest import SF_DIR
+from brute import SF_DIR
 
 import __spark_entry__ as entry
 
