@@ -36,6 +36,7 @@ UNKNOWN = "und"
 SIZES = (2, 3, 4, 5)
 WINDOW = 1 << 20
 LEARN_WINDOW = 1 << 16
+BROADCAST_IDS = 250_000  # of the sample, sent to every task at most
 
 
 @dataclass(frozen=True)
@@ -44,13 +45,13 @@ class Rule:
     share: float = 0.01  # of a language's documents that hold an n-gram of it
     near: float = 0.2  # of the share in the language where it is most usual
     kept: int = 20_000  # n-grams of a language
-    slots: int = 1 << 19
-    hashes: int = 3
+    slots: int = 1 << 18  # a power of two, 2**21 at most
+    hashes: int = 3  # at most
 
 
 @dataclass(frozen=True)
 class Filter:
-    """Languages by learning rows, masks of all slots (one column for each 64 languages), false positive rates, slots of an n-gram."""
+    """Languages by learning rows, masks of all slots (a byte for each 8 languages), false positive rates, slots of an n-gram."""
 
     languages: list[str]
     masks: np.ndarray
@@ -117,15 +118,16 @@ def sampled(docs: DataFrame, rule: Rule) -> DataFrame:
     ids = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).groupBy("lang", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = ids.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= rule.per_language).select("lang", "doc_id")
+    ids = written(ids, "language-ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.join(ids, ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
     return texts.select("lang", letters(F.col("text")).alias("letters")).filter(F.col("letters") != "")
 
 
 def slot_numbers(gram: np.ndarray, hashes: int, slots: int) -> Iterator[np.ndarray]:
     h = mix(gram)
-    step = mix(h) | np.uint64(1)
     for i in range(hashes):
-        yield ((h + np.uint64(i) * step) & np.uint64(slots - 1)).astype(np.int64)
+        yield (h >> np.uint64(21 * i) & np.uint64(slots - 1)).astype(np.int64)
 
 
 def fit(docs: DataFrame, rule: Rule = Rule()) -> Filter:
@@ -134,9 +136,8 @@ def fit(docs: DataFrame, rule: Rule = Rule()) -> Filter:
     learn = written(sampled(docs, rule), "language-sample")
     sizes = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).orderBy(F.desc("docs"), "lang").collect()
     languages = [r["lang"] for r in sizes]
-    words = -(-len(languages) // 64)
     if not languages:
-        return Filter([], np.zeros((rule.slots, 1), np.uint64), np.zeros(0), rule.hashes)
+        return Filter([], np.zeros((0, rule.slots), np.uint8), np.zeros(0), rule.hashes)
     numbers = spark.createDataFrame([(i, r["lang"], r["docs"]) for i, r in enumerate(sizes)], "bit int, lang string, docs long")
     share = F.col("n") / F.col("docs")
     got = counted(learn).join(F.broadcast(numbers), "lang").withColumn("share", share).filter(F.col("share") >= rule.share)
@@ -148,33 +149,37 @@ def fit(docs: DataFrame, rule: Rule = Rule()) -> Filter:
         for batch in stream:
             bit, gram = np.asarray(batch.column(0)), np.asarray(batch.column(1)).view(np.uint64)
             for at in slot_numbers(gram, rule.hashes, rule.slots):
-                mask = (np.uint64(1) << (bit % 64).astype(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array((bit // 64).astype(np.int32)), pa.array(mask)], names=["slot", "word", "mask"])
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bit // 8), pa.array(1 << bit % 8)], names=["slot", "byte", "mask"])
 
-    filled = got.select("bit", "gram").mapInArrow(slots, "slot long, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
-    masks = np.zeros((rule.slots, words), np.uint64)
-    masks[np.asarray(filled.column("slot")), np.asarray(filled.column("word"))] = np.asarray(filled.column("mask")).view(np.uint64)
-    full = np.array([(masks[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)).mean() for i in range(len(languages))])
+    filled = got.select("bit", "gram").mapInArrow(slots, "slot long, byte int, mask int").groupBy("slot", "byte").agg(F.bit_or("mask").alias("mask")).toArrow()
+    masks = np.zeros((-(-len(languages) // 8), rule.slots), np.uint8)
+    masks[np.asarray(filled.column("byte")), np.asarray(filled.column("slot"))] = np.asarray(filled.column("mask"))
+    full = np.array([(masks[i // 8] >> i % 8 & 1).mean() for i in range(len(languages))])
     return Filter(languages, masks, full**rule.hashes, rule.hashes)
 
 
+BITS = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.int64)  # of each byte
+
+
 def votes(column, f: Filter) -> tuple[np.ndarray, np.ndarray]:
     """N-grams of each text, and how many of them the filter gives to each language."""
-    total, hits = np.zeros(len(column), np.int64), np.zeros((len(column), len(f.languages)), np.int64)
+    total, hits = np.zeros(len(column), np.int64), np.zeros((len(column), 8 * len(f.masks)), np.int64)
     for lo, data, row, starts in windows(column, WINDOW):
         for gram, at in grams(data, row, starts):
-            rows, n = lo + at[0] if len(at) else 0, int(at[-1] - at[0]) + 1 if len(at) else 0
-            if not n:
+            if not len(at):
                 continue
-            total[rows : rows + n] += np.bincount(at - at[0], minlength=n)
-            found = None
-            for slot in slot_numbers(gram, f.hashes, len(f.masks)):
-                found = f.masks[slot] if found is None else found & f.masks[slot]
-            bounds = np.searchsorted(at, np.arange(at[0], at[0] + n + 1))
-            for i in range(len(f.languages)):
-                seen = np.concatenate([[0], np.cumsum(found[:, i // 64] >> np.uint64(i % 64) & np.uint64(1))]).astype(np.int64)
-                hits[rows : rows + n, i] += seen[bounds[1:]] - seen[bounds[:-1]]
-    return total, hits
+            first, n = int(at[0]), int(at[-1] - at[0]) + 1
+            at = at - first
+            some = slice(lo + first, lo + first + n)
+            total[some] += np.bincount(at, minlength=n)
+            slots = list(slot_numbers(gram, f.hashes, f.masks.shape[1]))
+            for i, masks in enumerate(f.masks):
+                found = masks[slots[0]]
+                for slot in slots[1:]:
+                    found &= masks[slot]
+                # how often each byte of languages occurs in a text, then its bits
+                hits[some, 8 * i : 8 * i + 8] += np.bincount(at * 256 + found, minlength=256 * n).reshape(n, 256) @ BITS
+    return total, hits[:, : len(f.languages)]
 
 
 def decided(total: np.ndarray, hits: np.ndarray, f: Filter) -> tuple[np.ndarray, np.ndarray]:
