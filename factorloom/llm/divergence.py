@@ -28,10 +28,9 @@ from pyspark.sql import functions as F
 
 from .store import shared_folder, written
 from .transducer import Transducer, build
-from .words import LOWER, slices
+from .words import BYTE_CODE, LOWER, mix, run_hashes, slices
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER_CASE, LOWER_CASE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LETTER = np.zeros(256, bool)
 LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 PART = 20_000  # terms of one automaton
@@ -53,9 +52,56 @@ def plain(docs: DataFrame) -> DataFrame:
 
 def kept_terms(docs: DataFrame, rule: Rule) -> DataFrame:
     """(lang, term) of the terms in at least ``documents`` documents of a language."""
-    words = F.regexp_extract_all(F.translate("text", UPPER_CASE, LOWER_CASE), F.lit(TERM), F.lit(0))
-    seen = docs.select("lang", F.explode(F.array_distinct(words)).alias("term"))
-    return seen.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= rule.documents).drop("n")
+
+    def run(stream):
+        for batch in stream:
+            lang = batch.column(0).dictionary_encode()
+            langs, lang_of = lang.dictionary, np.asarray(lang.indices)
+            for lo, hi, data, offsets in slices(batch.column(1)):
+                data = LOWER[data]
+                word, code, n = document_counts(data, offsets, lang_of[lo:hi])
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(code)), texts(data, *word), pa.array(n)], names=["lang", "term", "n"])
+
+    seen = docs.select("lang", "text").mapInArrow(run, "lang string, term string, n long")
+    return seen.groupBy("lang", "term").agg(F.sum("n").alias("n")).filter(F.col("n") >= rule.documents).drop("n")
+
+
+def document_counts(data: np.ndarray, offsets: np.ndarray, lang_of: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+    """Starts and ends of the distinct words of each language, its code, and in how many of the rows the word occurs."""
+    starts, ends = runs(data, offsets)
+    row = np.searchsorted(offsets, starts, "right") - 1
+    word = word_numbers(data, starts, ends)
+    seen = np.unique(word * len(lang_of) + row)  # of each word and row, once
+    word_of, lang = seen // max(len(lang_of), 1), lang_of[seen % max(len(lang_of), 1)]
+    pair, n = np.unique(word_of * (int(lang_of.max(initial=0)) + 1) + lang, return_counts=True)
+    first = np.zeros(int(word.max(initial=-1)) + 1, np.int64)
+    first[word[::-1]] = np.arange(len(word))[::-1]
+    at = first[pair // (int(lang_of.max(initial=0)) + 1)]
+    return (starts[at], ends[at]), pair % (int(lang_of.max(initial=0)) + 1), n
+
+
+def word_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Equal words get equal numbers: words are grouped by a hash, then held against the first of their group byte for byte."""
+    h = mix(run_hashes(BYTE_CODE[data], starts, ends, "byte") + (ends - starts).astype(np.uint64))
+    _, first, number = np.unique(h, return_index=True, return_inverse=True)
+    size, head = ends - starts, starts[first][number]
+    same = size == size[first][number]
+    at = np.flatnonzero(same)
+    byte = np.arange(int(size[at].sum())) - np.repeat(np.cumsum(size[at]) - size[at], size[at])
+    equal = data[np.repeat(starts[at], size[at]) + byte] == data[np.repeat(head[at], size[at]) + byte]
+    if same.all() and equal.all():
+        return number.astype(np.int64)
+    known: dict[bytes, int] = {}  # two words with one hash
+    return np.array([known.setdefault(data[a:b].tobytes(), len(known)) for a, b in zip(starts, ends, strict=True)], np.int64)
+
+
+def texts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The words as an Arrow string array."""
+    size = ends - starts
+    bounds = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    byte = np.arange(bounds[-1]) - np.repeat(bounds[:-1], size) + np.repeat(starts, size)
+    got = pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data[byte]))])
+    return got.cast(pa.string())
 
 
 def vocabulary(terms: DataFrame) -> DataFrame:

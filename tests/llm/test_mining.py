@@ -226,3 +226,15 @@ def test_divergence(spark, monkeypatch, small):
     got = divergence.audit(spark.createDataFrame([(*r, "q", 1) for r in rows], "lang string, source string, text string, ordinal string, p int").repartition(4))
     assert sorted(tuple(r) for r in got.collect()) == audited(rows)
     assert divergence.audit(spark.createDataFrame([], "lang string, source string, text string")).count() == 0
+
+
+def test_words_with_one_hash(monkeypatch):
+    """Words that share a hash are told apart by their bytes."""
+    data = np.frombuffer(b"one two one three two on", np.uint8)
+    starts, ends = divergence.runs(data, np.array([0, len(data)]))
+    want = divergence.word_numbers(data, starts, ends)
+    assert len(set(want.tolist())) == 4 and want[0] == want[2] and want[1] == want[4]
+    monkeypatch.setattr(divergence, "mix", lambda h: h * np.uint64(0))
+    got = divergence.word_numbers(data, starts, ends)
+    assert [[x == y for y in got] for x in got] == [[x == y for y in want] for x in want]
+    assert divergence.texts(data, starts, ends).to_pylist() == ["one", "two", "one", "three", "two", "on"]
