@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import query, r6, show
 from .dsl import A
-from .evaluation import factor_long
-from .sqlkit import FOUR, ic_daily, long_factors
+from .evaluation import OVERLAP, factor_frame, factor_long
+from .sqlkit import FOUR, corr, ic_daily, long_factors, pairs_of_four
 from ..functions.scalar import clip
-from ..operators import health, ic, oos, performance, portfolio, signals
+from ..operators import combine, gram, health, ic, oos, performance, portfolio, scorecard, signals
 from ..operators.ordered import beside
-from ..operators.ts import delta, pct_change, trend_features
+from ..operators.ts import delta, forward_return, pct_change, trend_features
+from ..plans import tree
 from ..session import settle
 from ..sources.adapters import PANEL_SQL, date_is_wide, table, weekly_panel
 
@@ -22,10 +25,12 @@ RANKED = f"""{FACTOR}, rk AS (SELECT *, row_number() OVER (PARTITION BY date ORD
 CHOSEN = f"""{RANKED}, sel AS (SELECT date, asset, factor_value, industry, 'long' AS side FROM rk WHERE n >= 10 AND rn <= 10
   UNION ALL SELECT date, asset, factor_value, industry, 'short' FROM rk WHERE n >= 10 AND rn > n - 5)"""
 SIDE = "PARTITION BY date, side"
+RECENT = f"""lf AS (SELECT 'f' AS factor_id, date, asset, factor_value, lead(close, 5) OVER ({A}) / close - 1 AS label FROM f), {ic_daily('lf', out='ld')},
+rc AS (SELECT CASE WHEN (SELECT count(*) FROM ld) >= 5 THEN avg(rank_ic) ELSE 0 END AS recent FROM (SELECT rank_ic FROM ld ORDER BY date DESC LIMIT 20))"""
 RAW = {
     "equal": f"1.0 / count(*) OVER ({SIDE})",
     "score": f"coalesce(abs(factor_value) / nullif(sum(abs(factor_value)) OVER ({SIDE}), 0), 1.0 / count(*) OVER ({SIDE}))",
-    "ic_rank": f"""(rank() OVER ({SIDE} ORDER BY factor_value DESC) + (count(*) OVER ({SIDE}, factor_value) - 1) / 2.0)
+    "ic_rank": f"""(rank() OVER ({SIDE} ORDER BY CASE WHEN (SELECT recent FROM rc) < 0 THEN -factor_value ELSE factor_value END DESC) + (count(*) OVER ({SIDE}, factor_value) - 1) / 2.0)
        / (count(*) OVER ({SIDE}) * (count(*) OVER ({SIDE}) + 1) / 2.0)""",
     "sector_neutral": f"1.0 / k / count(*) OVER ({SIDE}, industry)",
 }
@@ -40,13 +45,16 @@ def _weights(scheme: str) -> None:
 
     @query(
         f"b_weights_{scheme}",
-        f"""WITH {CHOSEN}, w AS (SELECT date, asset, side, least(greatest({RAW[scheme]}, 0.005), 0.15) AS w FROM {src})
+        f"""WITH {CHOSEN}, {RECENT}, w AS (SELECT date, asset, side, least(greatest({RAW[scheme]}, 0.005), 0.15) AS w FROM {src})
 SELECT CAST(date AS VARCHAR) AS date, asset, side, {r6(f"CASE WHEN side = 'short' THEN -1 ELSE 1 END * w / sum(w) OVER ({SIDE})", 'weight')} FROM w""",
     )
     def run(spark, sf_dir):
         p, wide = factor_panel(spark, sf_dir, ["industry"])
         chosen = portfolio.select_side(p, 10, 5, wide)
-        return show(portfolio.weigh(chosen, scheme, 0.01, high=0.15), ["date", "asset", "side"], ["weight"])
+        if scheme == "ic_rank":  # against the factor if its last ICs are negative
+            long = p.select(F.lit("f").alias("factor_id"), "date", "asset", "factor_value", forward_return(5).alias("label"))
+            chosen = beside(chosen, portfolio.recent_ic(ic.daily_ic(long, wide=wide)))
+        return show(portfolio.weigh(chosen, scheme, F.col("recent_ic"), high=0.15), ["date", "asset", "side"], ["weight"])
 
 
 for _s in RAW:
@@ -239,19 +247,33 @@ def attribution(spark, sf_dir):
     return show(performance.attribution(r.join(performance.market_periods(p, periods), "period")), [], ["market_beta", "alpha", "residual"], 5)
 
 
+BOOK_LABEL = f", lead(close, 1) OVER ({A}) / close - 1 AS lab"
+TURN = """top_r AS (SELECT factor_id, date, asset, lab, row_number() OVER (PARTITION BY factor_id, date ORDER BY factor_value DESC, asset) AS rn,
+   count(*) OVER (PARTITION BY factor_id, date) AS n FROM facs WHERE factor_value IS NOT NULL),
+top_m AS (SELECT factor_id, date, asset, lab FROM top_r WHERE rn <= greatest(1, floor(n * 0.2))),
+top_d AS (SELECT factor_id, date, row_number() OVER (PARTITION BY factor_id ORDER BY date) AS s FROM (SELECT DISTINCT factor_id, date FROM top_m)),
+top_h AS (SELECT factor_id, s, asset FROM top_m JOIN top_d USING (factor_id, date)),
+top_t AS (SELECT a.factor_id, a.s, 1 - count(b.asset) / count(*) AS t FROM top_h a LEFT JOIN top_h b
+   ON a.factor_id = b.factor_id AND a.asset = b.asset AND b.s = a.s + 1
+   WHERE EXISTS (SELECT 1 FROM top_d d WHERE d.factor_id = a.factor_id AND d.s = a.s + 1) GROUP BY 1, 2),
+tn AS (SELECT factor_id, avg(t) AS turnover FROM top_t GROUP BY 1),
+bd AS (SELECT m.factor_id, m.date, avg(lab) AS r, count(*) AS k FROM top_m m GROUP BY 1, 2 HAVING count(lab) > 0),
+bn AS (SELECT bd.factor_id, r, k, r - coalesce(t, 0) * 0.002 AS net FROM bd JOIN top_d USING (factor_id, date) LEFT JOIN top_t ON top_t.factor_id = bd.factor_id AND top_t.s = top_d.s - 1),
+bk AS (SELECT factor_id, product(1 + r) - 1 AS gross_return, product(1 + net) - 1 AS net_return, avg(net) / nullif(stddev_samp(net), 0) * sqrt(252) AS sharpe, avg(k) AS n_positions FROM bn GROUP BY 1)"""
+
+
 @query(
     "b_ic_vs_return",
-    f"""WITH {long_factors()}, {ic_daily('facs')}, s AS (SELECT factor_id, -avg(rank_ic) AS ic_mean, 20.0 AS n, avg(rank_ic) * -10 AS sharpe FROM daily GROUP BY 1),
+    f"""WITH {long_factors(BOOK_LABEL, ', lab')}, {ic_daily('facs', 20, 'lab')}, {TURN},
+s AS (SELECT factor_id, ic_mean, n_positions AS n, sharpe FROM (SELECT factor_id, avg(rank_ic) AS ic_mean FROM daily GROUP BY 1) JOIN bk USING (factor_id)),
 p AS (SELECT *, CASE WHEN ic_mean > 0 THEN ic_mean * sqrt(n * 12) ELSE 0 END AS pr FROM s)
 SELECT factor_id, {r6('pr', 'predicted_sharpe')}, {r6('CASE WHEN ic_mean > 0 THEN (pr - sharpe) / pr ELSE 0 END', 'correlation_bias')},
  {r6('CASE WHEN ic_mean > 0 THEN 1 - least(sharpe / pr, 1) ELSE 1 END', 'ic_inefficiency')},
  CASE WHEN ic_mean <= 0 THEN 'no_signal' WHEN sharpe > pr * 1.2 THEN 'ic_understates' WHEN sharpe < pr * 0.5 THEN 'ic_overstates' WHEN sharpe < pr * 0.8 THEN 'ic_mildly_overstates' ELSE 'consistent' END AS verdict FROM p""",
 )
 def ic_vs_return(spark, sf_dir):
-    long, wide = factor_long(spark, sf_dir)
-    s = ic.batch_rank_ic(long, wide=wide).select(
-        "factor_id", (-F.col("ic_mean")).alias("ic_mean"), "coverage", F.lit(20.0).alias("n_positions"), (F.col("ic_mean") * -10).alias("sharpe")
-    )
+    long, wide = factor_long(spark, sf_dir, labels={"label": 1})
+    s = ic.batch_rank_ic(long, ic.Convention(horizon=1), wide=wide).join(performance.top_book(long, wide=wide), "factor_id")
     return show(performance.ic_vs_return(s), ["factor_id", "verdict"], ["predicted_sharpe", "correlation_bias", "ic_inefficiency"])
 
 
@@ -270,27 +292,34 @@ def target_orders(spark, sf_dir):
     return portfolio.target_orders(targets, held, last.select("asset", F.col("close").alias("price")), 1e9)
 
 
-@query(
-    "b_risk_check",
-    f"""WITH {NAV}, wt AS (SELECT unnest([0.5, 0.3, 0.12, 0.08]) AS w), cp AS (SELECT quantile_cont(market_cap, 0.1) AS c FROM panel),
-i AS (SELECT max(abs(m)) AS mi FROM (SELECT avg(turnover) AS m FROM panel GROUP BY industry)),
+# Four factors by their share of IC, added up; their panel, the nav of a momentum book.
+COMBINED = f"""{long_factors().replace(PANEL_SQL + ',', '', 1)}, {ic_daily('facs')},
+wi AS (SELECT factor_id, greatest(avg(rank_ic), 0.001) AS v FROM daily GROUP BY 1), wt AS (SELECT factor_id, round(v / sum(v) OVER (), 4) AS w FROM wi),
+cb AS (SELECT any_value(industry) AS industry, sum(coalesce(factor_value, 0) * w) AS combined FROM facs JOIN wt USING (factor_id) GROUP BY date, asset)"""
+RISK_SCORE = """cp AS (SELECT quantile_cont(market_cap, 0.1) AS c FROM panel),
+i AS (SELECT max(abs(m)) AS mi FROM (SELECT avg(combined) AS m FROM cb GROUP BY industry)),
 l AS (SELECT count(*) FILTER (WHERE market_cap < (SELECT c FROM cp)) AS thin, avg(volume * close) AS mv FROM panel),
 nn AS (SELECT product(1 + period_return) OVER (ORDER BY date) AS nav, date FROM nr), dx AS (SELECT abs(min(d)) AS md FROM (SELECT nav / max(nav) OVER (ORDER BY date) - 1 AS d FROM nn)),
 s AS (SELECT (SELECT count(*) FROM wt WHERE w > 0.15) AS h, mi, thin, mv, md FROM i, l, dx),
-z AS (SELECT *, least(1.0, 0.15 * h + CASE WHEN mi > 0.3 THEN 0.2 ELSE 0 END + CASE WHEN thin > 0 THEN 0.05 ELSE 0 END + CASE WHEN mv < 1e6 THEN 0.1 ELSE 0 END + CASE WHEN md > 0.15 THEN 0.3 ELSE 0 END) AS sc FROM s)
+z AS (SELECT *, least(1.0, 0.15 * h + CASE WHEN mi > 0.3 THEN 0.2 ELSE 0 END + CASE WHEN thin > 0 THEN 0.05 ELSE 0 END + CASE WHEN mv < 1e6 THEN 0.1 ELSE 0 END + CASE WHEN md > 0.15 THEN 0.3 ELSE 0 END) AS sc FROM s)"""
+
+
+def risk_report(spark, sf_dir):
+    df, wide = factor_frame(spark, sf_dir, fields=("industry", "market_cap"))
+    weights = settle(combine.weigh(ic.batch_rank_ic(tree.long_form(df, FOUR, ["label"]), wide=wide)).select("factor_id", "weight"))
+    shares = {r["factor_id"]: r["weight"] for r in weights.collect()}  # one number for each factor column
+    nav = portfolio.factor_nav(factor_panel(spark, sf_dir)[0], 50, wide)
+    return portfolio.risk_check(weights, combine.weighted_combine(df, shares), nav, wide=True)
+
+
+@query(
+    "b_risk_check",
+    f"""WITH {NAV}, {COMBINED}, {RISK_SCORE}
 SELECT h AS heavy_factors, thin AS thin_rows, CASE WHEN sc > 0.5 THEN 'suspend' WHEN sc > 0.25 THEN 'reduce' ELSE 'approve' END AS recommendation,
  {r6('mi', 'max_industry_exposure')}, {r6('md', 'max_drawdown', 5)}, {r6('sc', 'risk_score')} FROM z""",
 )
 def risk_check(spark, sf_dir):
-    from ..operators.sizes import is_wide
-
-    p, wide = factor_panel(spark, sf_dir, ["industry", "market_cap"])
-    weights = p.sparkSession.createDataFrame([(f, w) for f, w in zip(FOUR, (0.5, 0.3, 0.12, 0.08))], "factor_id string, weight double")
-    nav = portfolio.factor_nav(p, 50, wide)
-    combined = p.withColumn("factor_value", F.col("turnover"))
-    big = is_wide(table(spark, sf_dir, "lineitem").select(F.lit(1).alias("_all")), ["_all"])
-    out = portfolio.risk_check(weights, combined, nav, wide=big)
-    return show(out, ["heavy_factors", "thin_rows", "recommendation"], ["max_industry_exposure", "risk_score"], other={"max_drawdown": 5})
+    return show(risk_report(spark, sf_dir), ["heavy_factors", "thin_rows", "recommendation"], ["max_industry_exposure", "risk_score"], other={"max_drawdown": 5})
 
 
 # -- delivery screening and report flags -----------------------------------------------------------
@@ -298,7 +327,9 @@ def risk_check(spark, sf_dir):
 
 def screened(spark, sf_dir):
     labels = {"label": 1, "l20": 20}
-    long, wide = factor_long(spark, sf_dir, fields=("market_cap", "industry", "volume"), labels=labels)
+    df, wide = factor_frame(spark, sf_dir, fields=("market_cap", "industry", "volume"), labels=labels)
+    long = tree.long_form(df, FOUR, [*labels, "market_cap", "industry", "volume"])
+    overlap = combine.crowding_scores(gram.pair_corr(df, FOUR)).select("factor_id", "max_corr")
     how = ic.DECAY
     scored = ic.batch_rank_ic(long, how, wide=wide)
     far = ic.batch_rank_ic(long, how, label="l20", wide=wide).select("factor_id", F.col("ic_mean").alias("ic_20"))
@@ -306,33 +337,32 @@ def screened(spark, sf_dir):
     cap = long.groupBy("factor_id").agg(F.avg("volume").alias("_v"))
     cap = cap.select("factor_id", portfolio.capacity("_v")["daily_capacity"].alias("capacity"))
     d = scored
-    for side in (far, turn, ic.exposure(long), cap):
+    straight = ic.batch_rank_ic(long, dataclasses.replace(how, ranked=False), wide=wide).select("factor_id", F.col("positive_ratio").alias("_pos"))
+    near_far = ic.pooled_corr(long, {1: "label", 20: "l20"})
+    for side in (far, turn, ic.exposure(long), cap, overlap, straight, near_far, performance.top_book(long, wide=wide)):
         d = d.join(side, "factor_id")
     return d.withColumns(
         {
             "ic_1": F.col("ic_mean"),
             "decay_ratio": F.when(F.abs("ic_mean") > 0.001, F.abs("ic_20") / F.abs("ic_mean")).otherwise(0.0),
-            "max_corr": F.lit(0.0),
-            "stability_score": F.lit(0.0),
+            "stability_score": scorecard.stability(F.col("_pos"), F.col("positive_ratio"), F.col("corr_1"), F.col("corr_20")),
         }
     )
 
 
 LABELS = f", lead(close, 1) OVER ({A}) / close - 1 AS lab, lead(close, 20) OVER ({A}) / close - 1 AS l20"
-TURN = """top_r AS (SELECT factor_id, date, asset, row_number() OVER (PARTITION BY factor_id, date ORDER BY factor_value DESC, asset) AS rn,
-   count(*) OVER (PARTITION BY factor_id, date) AS n FROM facs WHERE factor_value IS NOT NULL),
-top_m AS (SELECT factor_id, date, asset FROM top_r WHERE rn <= greatest(1, floor(n * 0.2))),
-top_d AS (SELECT factor_id, date, row_number() OVER (PARTITION BY factor_id ORDER BY date) AS s FROM (SELECT DISTINCT factor_id, date FROM top_m)),
-top_h AS (SELECT factor_id, s, asset FROM top_m JOIN top_d USING (factor_id, date)),
-tn AS (SELECT factor_id, avg(t) AS turnover FROM (SELECT a.factor_id, a.s, 1 - count(b.asset) / count(*) AS t FROM top_h a LEFT JOIN top_h b
-   ON a.factor_id = b.factor_id AND a.asset = b.asset AND b.s = a.s + 1
-   WHERE EXISTS (SELECT 1 FROM top_d d WHERE d.factor_id = a.factor_id AND d.s = a.s + 1) GROUP BY 1, 2) GROUP BY 1)"""
 CAPX = "CASE WHEN factor_value IS NOT NULL THEN ln(greatest(market_cap, 1.0)) END"
 SCREEN = f"""{long_factors(LABELS, ', lab, l20')}, {ic_daily('facs', 5, 'lab', out='d1')}, {ic_daily('facs', 5, 'l20', out='d20')}, {TURN},
 a1 AS (SELECT factor_id, avg(rank_ic) AS ic, coalesce(avg(rank_ic) / nullif(stddev_pop(rank_ic), 0), 0) AS ir, avg(CASE WHEN rank_ic > 0 THEN 1.0 ELSE 0 END) AS pos FROM d1 GROUP BY 1),
 a20 AS (SELECT factor_id, avg(rank_ic) AS ic20 FROM d20 GROUP BY 1),
 ex AS (SELECT factor_id, abs(covar_pop(factor_value, {CAPX}) / nullif(stddev_pop(factor_value) * stddev_pop({CAPX}), 0)) AS ce, avg(volume) * 20 * 0.05 * 50 AS cap FROM facs GROUP BY 1),
-sc AS (SELECT *, CASE WHEN abs(ic) > 0.001 THEN abs(ic20) / abs(ic) ELSE 0 END AS dr FROM a1 JOIN a20 USING (factor_id) JOIN tn USING (factor_id) JOIN ex USING (factor_id))"""
+{ic_daily('facs', 5, 'lab', ranked=False, out='p1')}, ap AS (SELECT factor_id, avg(CASE WHEN rank_ic > 0 THEN 1.0 ELSE 0 END) AS lpos FROM p1 GROUP BY 1),
+hc AS (SELECT factor_id, {', '.join(f"coalesce({corr(f'CASE WHEN {l} IS NOT NULL THEN factor_value END', f'CASE WHEN factor_value IS NOT NULL THEN {l} END')}, 0) AS h_{l}" for l in ('lab', 'l20'))} FROM facs GROUP BY 1),
+{pairs_of_four()}, {OVERLAP},
+sb AS (SELECT *, CASE WHEN abs(ic) > 0.001 THEN abs(ic20) / abs(ic) ELSE 0 END AS dr,
+   least(greatest(0.45 * lpos + 0.35 * pos + 0.2 * greatest(CASE WHEN h_lab <> 0 THEN least(greatest(h_l20 / h_lab, -1.0), 1.0) ELSE 0 END, 0.0), 0.0), 1.0) AS stab
+  FROM a1 JOIN a20 USING (factor_id) JOIN tn USING (factor_id) JOIN ex USING (factor_id) JOIN ap USING (factor_id) JOIN hc USING (factor_id) JOIN mc USING (factor_id) JOIN bk USING (factor_id)),
+sc AS (SELECT * REPLACE (CASE WHEN pos = 0 THEN least(1.0, 0.5 + stab * 0.3) ELSE pos END AS pos), pos AS raw_pos FROM sb)"""
 
 
 def listed_sql(*pairs: tuple[str, str]) -> str:
@@ -340,7 +370,7 @@ def listed_sql(*pairs: tuple[str, str]) -> str:
 
 
 FAILS = listed_sql(
-    ("abs(ir) < 1.0", "icir"), ("abs(ic) < 0.02", "rank_ic"), ("pos < 0.55", "positive_ratio"), ("turnover > 0.5", "turnover"),
+    ("abs(ir) < 1.0", "icir"), ("abs(ic) < 0.02", "rank_ic"), ("pos < 0.55", "positive_ratio"), ("max_corr > 0.3", "library_corr"), ("turnover > 0.5", "turnover"),
     ("ce > 0.3", "cap_exposure"), ("cap > 0 AND cap < 5000000", "capacity"), ("dr > 0 AND dr < 0.3", "decay"),
 )
 
@@ -348,16 +378,16 @@ FAILS = listed_sql(
 @query(
     "m_delivery_screen",
     f"""WITH {SCREEN}, x AS (SELECT *, {FAILS} AS fail_reasons FROM sc) SELECT factor_id, fail_reasons, CAST(fail_reasons = '' AS INT) AS deliverable,
- {r6('ic', 'ic_mean')}, {r6('dr', 'decay_ratio', 4)}, {r6('turnover', 'turnover')} FROM x""",
+ {r6('ic', 'ic_mean')}, {r6('dr', 'decay_ratio', 4)}, {r6('turnover', 'turnover')}, {r6('max_corr', 'max_corr')}, {r6('stab', 'stability_score')} FROM x""",
 )
 def delivery_screen(spark, sf_dir):
     d = health.delivery_screen(screened(spark, sf_dir)).withColumn("deliverable", F.col("deliverable").cast("int"))
-    return show(d, ["factor_id", "fail_reasons", "deliverable"], ["ic_mean", "turnover"], other={"decay_ratio": 4})
+    return show(d, ["factor_id", "fail_reasons", "deliverable"], ["ic_mean", "turnover", "max_corr", "stability_score"], other={"decay_ratio": 4})
 
 
 FLAGS = listed_sql(
-    ("ic < 0.02", "weak_ic"), ("ir < 0.3", "low_icir"), ("pos < 0.55", "unstable_sign"), ("abs(ic) > 0.01 AND abs(ic20) < abs(ic) * 0.3", "fast_decay"),
-    ("turnover > 0.5", "high_turnover"), ("abs(ce) > 0.3", "size_exposure"), ("cap < 5000000", "small_capacity"), ("false", "cost_erosion"),
+    ("ic < 0.02", "weak_ic"), ("ir < 0.3", "low_icir"), ("raw_pos < 0.55", "unstable_sign"), ("abs(ic) > 0.01 AND abs(ic20) < abs(ic) * 0.3", "fast_decay"),
+    ("turnover > 0.5", "high_turnover"), ("abs(ce) > 0.3", "size_exposure"), ("cap < 5000000", "small_capacity"), ("net_return < gross_return * 0.5", "cost_erosion"),
 )
 
 
@@ -366,21 +396,25 @@ FLAGS = listed_sql(
     f"""WITH {SCREEN}, x AS (SELECT *, {FLAGS} AS fl FROM sc) SELECT factor_id, CASE WHEN fl = '' THEN 'none' ELSE fl END AS risk_flags,
  CASE WHEN abs(ic) > 0.05 THEN 'strong' WHEN abs(ic) > 0.02 THEN 'medium' ELSE 'weak' END AS ic_strength,
  CASE WHEN abs(ir) > 2 THEN 'excellent' WHEN abs(ir) > 1 THEN 'good' WHEN abs(ir) > 0.5 THEN 'fair' ELSE 'low' END AS icir_strength,
- {listed_sql(('abs(ic) > 0.03', 'ic'), ('abs(ir) > 1.0', 'icir'), ('ir > 1.0', 'sharpe'))} AS strengths FROM x""",
+ {listed_sql(('abs(ic) > 0.03', 'ic'), ('abs(ir) > 1.0', 'icir'), ('sharpe > 1.0', 'sharpe'))} AS strengths, {r6('sharpe', 'sharpe', 4)} FROM x""",
 )
 def risk_flags(spark, sf_dir):
-    d = screened(spark, sf_dir).withColumns({"net_return": F.lit(1.0), "gross_return": F.lit(1.0), "sharpe": F.col("ic_ir")})
-    return health.risk_flags(d).select("factor_id", "risk_flags", "ic_strength", "icir_strength", "strengths")
+    return show(health.risk_flags(screened(spark, sf_dir)), ["factor_id", "risk_flags", "ic_strength", "icir_strength", "strengths"], ["sharpe"], 4)
 
 
 @query(
     "m_governance_severity",
-    f"""WITH {SCREEN} SELECT factor_id, CASE WHEN ce * 10 > 5 THEN 'high' WHEN ce * 10 > 2 THEN 'moderate' ELSE 'low' END AS crowding_severity,
- CASE WHEN turnover > 0.7 THEN 'high' WHEN turnover > 0.4 THEN 'moderate' ELSE 'low' END AS risk_level FROM sc""",
+    f"""WITH {NAV}, {COMBINED}, {pairs_of_four()}, {RISK_SCORE},
+w AS (SELECT count(*) FILTER (WHERE c > 0.1) AS n FROM (SELECT f, avg(abs(corr)) AS c FROM (SELECT f1 AS f, corr FROM pairs UNION ALL SELECT f2, corr FROM pairs) GROUP BY 1))
+SELECT n AS crowded_factors, CASE WHEN n > 5 THEN 'high' WHEN n > 2 THEN 'moderate' ELSE 'low' END AS crowding_severity,
+ CASE WHEN sc > 0.7 THEN 'high' WHEN sc > 0.4 THEN 'moderate' ELSE 'low' END AS risk_level FROM w, z""",
 )
 def governance(spark, sf_dir):
-    crowd, risk = health.governance_severity(F.col("cap_exposure") * 10, F.col("turnover"))
-    return screened(spark, sf_dir).select("factor_id", crowd.alias("crowding_severity"), risk.alias("risk_level"))
+    df, _ = factor_frame(spark, sf_dir)
+    crowded = combine.crowding_scores(gram.pair_corr(df, FOUR), 0.1).agg(F.count_if("crowded").alias("crowded_factors"))
+    d = beside(crowded, risk_report(spark, sf_dir).select("risk_score"))
+    crowd, risk = health.governance_severity(F.col("crowded_factors"), F.col("risk_score"))
+    return d.select("crowded_factors", crowd.alias("crowding_severity"), risk.alias("risk_level"))
 
 
 # -- signals -----------------------------------------------------------------------------------------

@@ -24,7 +24,13 @@ def frame(w: int) -> str:
     return f"OVER ({A} ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
 
 
+def steady(x: str) -> str:
+    """40 significant bits, as ranks compare."""
+    return f"(({x}) * CAST(8193 AS DOUBLE) - (({x}) * CAST(8193 AS DOUBLE) - ({x})))"
+
+
 def avg_rank(part: str, direction: str = "ASC", col: str = "x") -> str:
+    col = steady(col)
     return (
         f"(rank() OVER ({part} ORDER BY {col} {direction} NULLS LAST) + (count(*) OVER ({part}, {col}) - 1) / 2.0)"
     )

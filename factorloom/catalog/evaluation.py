@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import NUDGE, query, r6, show
-from .dsl import A
+from .dsl import A, steady
 from .sqlkit import FOUR, corr, ic_daily, ic_stats, long_factors, named_factors, pairs_of_four, t_tail, wide_factors
+from .sqlkit import t_tail as tail_sql
 from ..functions.stats import t_two_sided_p
-from ..operators import gram, hypothesis, ic, scorecard
+from ..operators import combine, gram, hypothesis, ic, scorecard
+from ..operators.ordered import beside
 from ..operators.ts import forward_return, pct_change
 from ..plans import tree
 from ..plans.factors import EQUITY, NAMED
@@ -123,10 +125,44 @@ for _n, _how in {
     "i_scorecard_rank_ic": ic.SCORECARD_RANK,
     "i_scorecard_linear_ic": ic.SCORECARD_LINEAR,
     "i_report_ic": ic.REPORT,
-    "i_oos_ic_check": ic.OUT_OF_SAMPLE,
 }.items():
     _preset(_n, _how)
 
+# Three samples of every factor: complete rows of the last half year (by date), all rows with their gaps (as a whole), one asset's rows (too few).
+SAMPLES = """cut AS (SELECT max(date) - INTERVAL 6 MONTH AS cutoff, min(asset) AS one FROM panel),
+sm AS (SELECT facs.*, 'complete' AS sample FROM facs, cut WHERE date > cutoff AND factor_value IS NOT NULL AND label IS NOT NULL
+  UNION ALL SELECT facs.*, 'gaps' FROM facs UNION ALL SELECT facs.*, 'few' FROM facs, cut WHERE asset = one AND date > cutoff)"""
+
+
+def whole_sample(c: str) -> str:
+    c = steady(c)
+    return f"rank() OVER (PARTITION BY factor_id, sample ORDER BY {c}) + (count(*) OVER (PARTITION BY factor_id, sample, {c}) - 1) / 2.0"
+
+
+@query(
+    "i_oos_ic_check",
+    f"""WITH {long_factors()}, {SAMPLES}, sz AS (SELECT factor_id, sample, count(*) AS n, count(factor_value + label) AS p FROM sm GROUP BY 1, 2),
+v AS (SELECT factor_id, sample, date, factor_value AS x, label AS y FROM sm JOIN sz USING (factor_id, sample) WHERE factor_value IS NOT NULL AND label IS NOT NULL AND p >= 50),
+d AS (SELECT v.*, rank() OVER (PARTITION BY factor_id, sample, date ORDER BY {steady('x')}) + (count(*) OVER (PARTITION BY factor_id, sample, date, {steady('x')}) - 1) / 2.0 AS rx,
+  rank() OVER (PARTITION BY factor_id, sample, date ORDER BY {steady('y')}) + (count(*) OVER (PARTITION BY factor_id, sample, date, {steady('y')}) - 1) / 2.0 AS ry
+  FROM v JOIN sz USING (factor_id, sample) WHERE n = p),
+w AS (SELECT v.*, {whole_sample('x')} AS rx, {whole_sample('y')} AS ry FROM v JOIN sz USING (factor_id, sample) WHERE n > p),
+i AS (SELECT * FROM (SELECT factor_id, sample, {corr('rx', 'ry')} AS ic FROM d GROUP BY factor_id, sample, date) WHERE ic IS NOT NULL
+  UNION ALL SELECT factor_id, sample, {corr('rx', 'ry')} FROM w GROUP BY 1, 2),
+a AS (SELECT factor_id, sample, avg(ic) AS m, avg(ic) / (stddev_samp(ic) + 1e-10) AS r, avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END) AS p, count(*) AS k FROM i GROUP BY 1, 2)
+SELECT factor_id, sample, coalesce(k, 0) AS oos_n_days, {r6('coalesce(m, 0)', 'oos_rank_ic')}, {r6('coalesce(r, 0)', 'oos_ic_ir')}, {r6('coalesce(a.p, 0)', 'oos_positive_ratio')}
+FROM sz LEFT JOIN a USING (factor_id, sample)""",
+)
+def oos_ic_check(spark, sf_dir):
+    long, _ = factor_long(spark, sf_dir)
+    cut = long.agg(F.add_months(F.max("date"), -6).alias("_cutoff"), F.min("asset").alias("_lowest"))
+    d = beside(long, cut)
+    late, pair = F.col("date") > F.col("_cutoff"), F.col("factor_value").isNotNull() & F.col("label").isNotNull()
+    kinds = F.array_compact(F.array(F.when(late & pair, "complete"), F.lit("gaps"), F.when((F.col("asset") == F.col("_lowest")) & late, "few")))
+    got = ic.sample_check(d.withColumn("sample", F.explode(kinds)), ["factor_id", "sample"])
+    return show(got, ["factor_id", "sample", "oos_n_days"], ["oos_rank_ic", "oos_ic_ir", "oos_positive_ratio"])
+
+
 WINDOWS = [5, 10, 20, 40, 60]
 LEADS = "".join(f", lead(close, {h}) OVER ({A}) / close - 1 AS l{h}" for h in [1, 5, 10, 20, 40, 60])
 LCOLS = ", l1, l5, l10, l20, l40, l60"
@@ -248,7 +284,8 @@ def exposure(spark, sf_dir):
     return show(ic.exposure(long), ["factor_id", "top_industries"], ["cap_exposure", "industry_exposure"])
 
 
-SCORE_SQL = f"""WITH {long_factors(LEADS, LCOLS).replace('facs AS (', 'facs_all AS (')},
+OVERLAP = "mc AS (SELECT f AS factor_id, coalesce(max(abs(corr)), 0) AS max_corr FROM (SELECT f1 AS f, corr FROM pairs UNION ALL SELECT f2, corr FROM pairs) GROUP BY 1)"
+SCORE_SQL = f"""WITH {long_factors(LEADS, LCOLS).replace('facs AS (', 'facs_all AS (')}, {pairs_of_four()}, {OVERLAP},
 facs AS (SELECT * FROM facs_all WHERE factor_value IS NOT NULL AND label IS NOT NULL),
 {ic_daily('facs', 3, ranked=False, zero=True, out='lin')}, {ic_daily('facs', 3, zero=True, out='rk')},
 ls1 AS (SELECT factor_id, avg(rank_ic) AS ic_mean, coalesce(avg(rank_ic) / nullif(stddev_pop(rank_ic), 0), 0) AS ic_ir, avg(CASE WHEN rank_ic > 0 THEN 1.0 ELSE 0 END) AS pos FROM lin GROUP BY 1),
@@ -266,16 +303,17 @@ dc AS (SELECT factor_id, {', '.join(f"coalesce({corr(f'CASE WHEN l{h} IS NOT NUL
 sc AS (SELECT *, least(greatest(0.45 * pos + 0.35 * rpos + 0.2 * greatest(CASE WHEN corr_5 <> 0 THEN least(greatest(corr_20 / corr_5, -1.0), 1.0) ELSE 0 END, 0.0), 0.0), 1.0) AS stability_score,
    greatest(0.0, 1.0 - least(turnover, 1.2) / 1.2) AS tradability_score
   FROM ls1 JOIN rs1 USING (factor_id) JOIN mono USING (factor_id) JOIN tn USING (factor_id) JOIN dc USING (factor_id) JOIN ex_c USING (factor_id) JOIN ex USING (factor_id)),
-score AS (SELECT *, 1.0 AS coverage, least(1.0, 0.2 * greatest(ic_mean * 10, 0) + 0.2 * greatest(rank_ic_mean * 10, 0) + 0.15 * greatest(ic_ir, 0) + 0.15 * greatest(monotonicity, 0)
-   + 0.1 * stability_score + 0.1 * tradability_score + 0.1) AS composite_score FROM sc)"""
+score AS (SELECT *, 1.0 AS coverage, greatest(0, 1 - max_corr) AS originality_score, least(1.0, 0.2 * greatest(ic_mean * 10, 0) + 0.2 * greatest(rank_ic_mean * 10, 0) + 0.15 * greatest(ic_ir, 0) + 0.15 * greatest(monotonicity, 0)
+   + 0.1 * stability_score + 0.1 * tradability_score + 0.1 * greatest(0, 1 - max_corr)) AS composite_score FROM sc JOIN mc USING (factor_id))"""
 SCORES = ["ic_mean", "rank_ic_mean", "ic_ir", "long_short", "monotonicity", "turnover", "coverage", "corr_5", "corr_20"]
-SCORES += ["cap_exposure", "industry_exposure", "stability_score", "tradability_score", "composite_score"]
+SCORES += ["cap_exposure", "industry_exposure", "stability_score", "tradability_score", "originality_score", "composite_score"]
 
 
 def scorecards(spark, sf_dir):
     labels = {"label": 5, "l5": 5, "l20": 20}
-    long, wide = factor_long(spark, sf_dir, fields=("market_cap", "industry"), labels=labels)
-    return scorecard.evaluate_metrics(long, {5: "l5", 20: "l20"}, wide=wide)
+    df, wide = factor_frame(spark, sf_dir, fields=("market_cap", "industry"), labels=labels)
+    long = tree.long_form(df, FOUR, [*labels, "market_cap", "industry"])
+    return scorecard.evaluate_metrics(long, {5: "l5", 20: "l20"}, wide=wide, overlap=combine.crowding_scores(gram.pair_corr(df, FOUR)))
 
 
 @query("i_scorecard", f"{SCORE_SQL} SELECT factor_id, {', '.join(r6(c, c, 5) for c in SCORES)} FROM score")
@@ -285,7 +323,7 @@ def scorecard_rows(spark, sf_dir):
 
 @query(
     "i_decision_checks",
-    f"""{SCORE_SQL}, d AS (SELECT *, CASE WHEN coverage < 0.7 THEN 'rejected' WHEN ic_ir < 0.25 OR monotonicity < 0.55 THEN 'observe' ELSE 'approved' END AS decision FROM score),
+    f"""{SCORE_SQL}, d AS (SELECT *, CASE WHEN coverage < 0.7 THEN 'rejected' WHEN originality_score < 0.45 OR ic_ir < 0.25 OR monotonicity < 0.55 THEN 'observe' ELSE 'approved' END AS decision FROM score),
 c AS (SELECT factor_id, 'coverage_check' AS "check", coverage >= 0.7 AS passed FROM d UNION ALL
   SELECT factor_id, 'monotonicity_check', monotonicity >= 0.55 FROM d UNION ALL
   SELECT factor_id, 'decay_profile', true FROM d UNION ALL
@@ -293,7 +331,7 @@ c AS (SELECT factor_id, 'coverage_check' AS "check", coverage >= 0.7 AS passed F
 SELECT factor_id, decision, "check", CAST(passed AS INT) AS passed FROM c JOIN d USING (factor_id)""",
 )
 def decision_checks(spark, sf_dir):
-    scores = scorecards(spark, sf_dir).withColumn("originality_score", F.lit(1.0))
+    scores = scorecards(spark, sf_dir)
     rows = scorecard.checks(scores, [5, 20]).join(scorecard.decide(scores).select("factor_id", "decision"), "factor_id")
     return rows.select("factor_id", "decision", "check", F.col("passed").cast("int").alias("passed"))
 
@@ -432,12 +470,14 @@ def t_tail(spark, sf_dir):
 
 @query(
     "h_ols_fit",
-    f"""WITH {PANEL_SQL}, k AS (SELECT asset, close AS y, CAST(row_number() OVER ({A}) AS DOUBLE) AS x FROM panel)
-SELECT asset, count(*) AS n, {r6('regr_slope(y, x)', 'slope', 4)}, {r6('regr_intercept(y, x)', 'intercept', 4)}, {r6('regr_r2(y, x)', 'r2')} FROM k GROUP BY asset""",
+    f"""WITH {PANEL_SQL}, k AS (SELECT asset, close AS y, CAST(row_number() OVER ({A}) AS DOUBLE) AS x FROM panel),
+f AS (SELECT asset, count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2, count(*) - 2 AS nu FROM k GROUP BY asset),
+t AS (SELECT *, sqrt(r2 * nu / (1 - r2)) AS t FROM f WHERE n >= 3 AND r2 < 1), p AS (SELECT asset, {tail_sql('t', 'nu')} AS p FROM t)
+SELECT f.asset, n, {r6('slope', 'slope', 4)}, {r6('intercept', 'intercept', 4)}, {r6('r2', 'r2')}, {r6('CASE WHEN n >= 3 AND r2 >= 1 THEN 0 ELSE p END', 'p_value', 5)} FROM f LEFT JOIN p USING (asset)""",
 )
 def ols_fit(spark, sf_dir):
     from pyspark.sql import Window
 
     p = weekly_panel(spark, sf_dir).withColumn("x", F.row_number().over(Window.partitionBy("asset").orderBy("date")).cast("double"))
     fit = hypothesis.trend_fit(p, "close", "x", ["asset"])
-    return show(fit, ["asset", "n"], ["slope", "intercept"], 4, {"r2": 6})
+    return show(fit, ["asset", "n"], ["slope", "intercept"], 4, {"r2": 6, "p_value": 5})

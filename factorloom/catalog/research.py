@@ -6,15 +6,16 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import query, r6, show
+from .book import IMPACT
 from .dsl import A, D, G
 from .evaluation import LONG_SHORT, all_pairs, factor_frame, factor_long
 from .sqlkit import FOUR, corr, ic_daily, long_factors, named_factors, pairs_of_four, t_tail, wide_factors
-from ..operators import combine, gram, health, ic, oos, regime
+from ..operators import combine, gram, health, ic, oos, portfolio, regime
 from ..operators.ts import forward_return, running_product
 from ..plans import sweep, tree
 from ..plans.factors import NAMED
 from ..session import settle
-from ..sources.adapters import PANEL_SQL, date_is_wide, weekly_panel
+from ..sources.adapters import DAILY_SQL, PANEL_SQL, daily_panel, date_is_wide, weekly_panel
 
 # -- splits and validation --------------------------------------------------------------------
 
@@ -100,25 +101,33 @@ def validated(spark, sf_dir):
     p = weekly_panel(spark, sf_dir)
     split = oos.oos_split(p).select("date", "is_test").distinct()
     parts = split.select(F.lit(0).alias("fold"), "date", F.when(F.col("is_test"), "test").otherwise("train").alias("part"))
-    daily = ic.daily_ic(sampled_factors(p, parts, wide), wide=wide)
+    long = sampled_factors(p, parts, wide)
+    daily = ic.daily_ic(long, wide=wide)
     ics = daily.withColumn("part", F.col("date.part")).groupBy("factor_id").agg(
         *[F.coalesce(F.avg(F.when(F.col("part") == s, F.col("rank_ic"))), F.lit(0.0)).alias(f"{s}_ic") for s in ("train", "test")]
     )
-    return oos.validate(ics), p, wide
+    return oos.validate(ics), long, wide
+
+
+TEST_IMPACT = "tf AS (SELECT * FROM facs WHERE part = 'test'), " + IMPACT.replace("facs", "tf")
+USABLE = """us AS (SELECT fold, count(*) FILTER (WHERE part = 'train') >= 100 AND count(*) FILTER (WHERE part = 'test') >= 40 AS usable FROM panel JOIN folds USING (date) GROUP BY 1)"""
 
 
 @query(
     "o_oos_validation",
-    f"""WITH {sampled_sql(SPLIT)}, {BY_PART}, {CHECKS}
+    f"""WITH {sampled_sql(SPLIT)}, {BY_PART}, {CHECKS}, {TEST_IMPACT}
 SELECT factor_id, CAST(passed AS INT) AS passed, diagnosis, robustness,
  CASE WHEN robustness = 'strong' THEN 'promote' WHEN diagnosis = 'overfit' THEN 'iterate' ELSE 'observe' END AS recommendation,
- {r6('train_ic', 'train_ic')}, {r6('test_ic', 'test_ic')}, {r6('oos_decay', 'oos_decay', 4)} FROM g""",
+ {r6('train_ic', 'train_ic')}, {r6('test_ic', 'test_ic')}, {r6('oos_decay', 'oos_decay', 4)}, {r6('test_ic - coalesce(ic_penalty, 0)', 'cost_adj_ic', 4)},
+ {r6('coalesce(turnover, 0)', 'turnover')}, {r6('coalesce(cost_impact_bps, 0)', 'cost_impact_bps', 4)} FROM g LEFT JOIN im USING (factor_id)""",
 )
 def oos_validation(spark, sf_dir):
-    checks, _, _ = validated(spark, sf_dir)
+    checks, long, wide = validated(spark, sf_dir)
+    test = long.filter(F.col("date.part") == "test").withColumns({"date": F.col("date.date"), "asset": F.col("asset.asset")})
+    checks = oos.with_cost(checks, portfolio.turnover_cost_impact(test, wide=wide))
     out = oos.diagnose(checks).withColumn("passed", F.col("passed").cast("int"))
-    shown = show(out, ["factor_id", "passed", "diagnosis", "robustness", "recommendation", "oos_decay"], ["train_ic", "test_ic"])
-    return shown.withColumn("oos_decay", F.round(F.col("oos_decay") + 0.0314159e-4, 4))
+    keys = ["factor_id", "passed", "diagnosis", "robustness", "recommendation"]
+    return show(out, keys, ["train_ic", "test_ic", "turnover"], other={"oos_decay": 4, "cost_adj_ic": 4, "cost_impact_bps": 4})
 
 
 @query(
@@ -137,24 +146,41 @@ def oos_family(spark, sf_dir):
 @query(
     "o_walk_forward_ic",
     f"""WITH {sampled_sql(FOLDS)}, {BY_PART},
+{USABLE},
 f AS (SELECT factor_id, fold, coalesce(avg(CASE WHEN part = 'train' THEN rank_ic END), 0) AS train_ic, coalesce(avg(CASE WHEN part = 'test' THEN rank_ic END), 0) AS test_ic
-  FROM daily GROUP BY 1, 2),
+  FROM daily JOIN us USING (fold) WHERE usable GROUP BY 1, 2),
 c AS (SELECT *, sum(test_ic) OVER (PARTITION BY factor_id ORDER BY fold) AS cum FROM f),
 m AS (SELECT *, max(cum) OVER (PARTITION BY factor_id ORDER BY fold) AS peak FROM c)
-SELECT factor_id, count(*) AS n_windows, {r6('avg(test_ic)', 'mean_oos_ic')}, {r6('stddev_samp(test_ic)', 'std_oos_ic')},
+SELECT *, {r6('avg(CAST(stable AS DOUBLE)) OVER ()', 'stability_ratio', 4)} FROM (SELECT factor_id, count(*) AS n_windows, {r6('avg(test_ic)', 'mean_oos_ic')}, {r6('stddev_samp(test_ic)', 'std_oos_ic')},
  {r6('avg(CASE WHEN test_ic > 0 THEN 1.0 ELSE 0 END)', 'win_rate')}, {r6('max(peak - cum)', 'max_ic_drawdown')},
- CAST(avg(CASE WHEN test_ic > 0 THEN 1.0 ELSE 0 END) >= 0.6 AND avg(test_ic) > 0 AS INT) AS stable FROM m GROUP BY 1""",
+ CAST(avg(CASE WHEN test_ic > 0 THEN 1.0 ELSE 0 END) >= 0.6 AND avg(test_ic) > 0 AS INT) AS stable FROM m GROUP BY 1 HAVING count(*) >= 2)""",
 )
 def walk_forward_ic(spark, sf_dir):
     wide = date_is_wide(spark, sf_dir)
     p = weekly_panel(spark, sf_dir)
-    parts = oos.walk_forward_folds(p, 120, 40, 40)
+    parts = oos.usable_folds(p, oos.walk_forward_folds(p, 120, 40, 40))
     daily = ic.daily_ic(sampled_factors(p, parts, wide), wide=wide).withColumns({"fold": F.col("date.fold"), "part": F.col("date.part")})
     ics = daily.groupBy("factor_id", "fold").agg(
         *[F.coalesce(F.avg(F.when(F.col("part") == s, F.col("rank_ic"))), F.lit(0.0)).alias(f"{s}_ic") for s in ("train", "test")]
     )
-    out = oos.walk_forward_summary(ics).withColumn("stable", F.col("stable").cast("int"))
-    return show(out, ["factor_id", "n_windows", "stable"], ["mean_oos_ic", "std_oos_ic", "win_rate", "max_ic_drawdown"])
+    out = oos.with_stability_ratio(oos.walk_forward_summary(ics)).withColumn("stable", F.col("stable").cast("int"))
+    return show(out, ["factor_id", "n_windows", "stable"], ["mean_oos_ic", "std_oos_ic", "win_rate", "max_ic_drawdown"], other={"stability_ratio": 4})
+
+
+# Folds of eight and three days over the thin panel of events: on small tables some have too few rows.
+THIN = """days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS p, count(*) OVER () AS t FROM (SELECT DISTINCT date FROM daily)),
+folds AS (SELECT CAST(f AS INT) AS fold, date, CASE WHEN p - f * 3 < 8 THEN 'train' ELSE 'test' END AS part FROM days, range(0, 1000) r(f)
+  WHERE p >= f * 3 AND p < f * 3 + 11 AND f * 3 + 11 <= t)"""
+
+
+@query(
+    "o_usable_folds",
+    f"""WITH {DAILY_SQL}, {THIN}, rw AS (SELECT fold, count(*) FILTER (WHERE part = 'train') AS train_rows, count(*) FILTER (WHERE part = 'test') AS test_rows FROM daily JOIN folds USING (date) GROUP BY 1)
+SELECT fold, train_rows, test_rows, CAST(train_rows >= 100 AND test_rows >= 40 AS INT) AS usable FROM rw""",
+)
+def usable_folds(spark, sf_dir):
+    p = daily_panel(spark, sf_dir)
+    return oos.fold_sizes(p, oos.walk_forward_folds(p, 8, 3, 3)).withColumn("usable", F.col("usable").cast("int"))
 
 
 SWEEP_WINDOWS = [5, 10, 20]
@@ -177,11 +203,12 @@ def swept(spark, sf_dir, base, space):
     "o_parameter_sensitivity",
     f"""WITH {PANEL_SQL}, facs AS ({SWEEP_FACS}), {ic_daily('facs')},
 s AS (SELECT factor_id, avg(rank_ic) AS ic_mean, coalesce(avg(rank_ic) / nullif(stddev_pop(rank_ic), 0), 0) AS ic_ir FROM daily GROUP BY 1)
-SELECT factor_id AS params, {r6('ic_mean', 'ic_mean')}, {r6('ic_ir', 'ic_ir')}, CAST(row_number() OVER (ORDER BY ic_ir DESC, ic_mean DESC, factor_id) = 1 AS INT) AS best FROM s""",
+SELECT factor_id AS params, {r6('ic_mean', 'ic_mean')}, {r6('ic_ir', 'ic_ir')}, CAST(row_number() OVER (ORDER BY ic_ir DESC, ic_mean DESC, factor_id) = 1 AS INT) AS best,
+ CAST(row_number() OVER (ORDER BY ic_ir, ic_mean, factor_id) = 1 AS INT) AS worst FROM s""",
 )
 def sensitivity(spark, sf_dir):
     scored = swept(spark, sf_dir, NAMED["Momentum_12m1m"], {"window": SWEEP_WINDOWS})
-    return show(sweep.ranked(scored), ["params", "best"], ["ic_mean", "ic_ir"])
+    return show(sweep.ranked(scored), ["params", "best", "worst"], ["ic_mean", "ic_ir"])
 
 
 SWEPT = sweep.variants(NAMED["A_Share_Vol_Price_Coupling"], sweep.default_space(NAMED["A_Share_Vol_Price_Coupling"]))
@@ -191,11 +218,12 @@ SWEPT = sweep.variants(NAMED["A_Share_Vol_Price_Coupling"], sweep.default_space(
     "o_parameter_sweep",
     f"""WITH {named_factors(SWEPT, f'lead(close, 5) OVER ({A}) / close - 1')}, {ic_daily('facs')},
 s AS (SELECT factor_id, avg(rank_ic) AS ic_mean, coalesce(avg(rank_ic) / nullif(stddev_pop(rank_ic), 0), 0) AS ic_ir FROM daily GROUP BY 1)
-SELECT factor_id AS params, {r6('ic_mean', 'ic_mean', 4)}, {r6('ic_ir', 'ic_ir', 4)}, CAST(row_number() OVER (ORDER BY ic_ir DESC, ic_mean DESC, factor_id) = 1 AS INT) AS best FROM s""",
+SELECT factor_id AS params, {r6('ic_mean', 'ic_mean', 4)}, {r6('ic_ir', 'ic_ir', 4)}, CAST(row_number() OVER (ORDER BY ic_ir DESC, ic_mean DESC, factor_id) = 1 AS INT) AS best,
+ CAST(row_number() OVER (ORDER BY ic_ir, ic_mean, factor_id) = 1 AS INT) AS worst FROM s""",
 )
 def parameter_sweep(spark, sf_dir):
     base = NAMED["A_Share_Vol_Price_Coupling"]
-    return show(sweep.ranked(swept(spark, sf_dir, base, sweep.default_space(base))), ["params", "best"], ["ic_mean", "ic_ir"], 4)
+    return show(sweep.ranked(swept(spark, sf_dir, base, sweep.default_space(base))), ["params", "best", "worst"], ["ic_mean", "ic_ir"], 4)
 
 
 @query("o_template_grid")
@@ -325,8 +353,8 @@ def orthogonal(spark, sf_dir):
     names = list(NAMED)
     df, _ = factor_frame(spark, sf_dir, names)
     pairs = settle(gram.pair_corr(df, names))
-    kept = combine.orthogonal_select(pairs, names, 0.6)
-    return combine.crowding_scores(pairs).filter(F.col("factor_id").isin(kept)).select("factor_id", "n_pairs")
+    kept = combine.orthogonal_select(pairs, spark.createDataFrame([(n,) for n in names], "factor_id string"), 0.6)
+    return combine.crowding_scores(pairs).join(kept, "factor_id").select("factor_id", "n_pairs")
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .dsl import A, D, frame, pct
+from .dsl import A, D, frame, pct, steady
 from ..sources.adapters import PANEL_SQL
 
 # Four named factors that the checks rebuild in SQL.
@@ -40,6 +40,7 @@ def ic_daily(
 ) -> str:
     """CTE ``out``: (by, date, n, rank_ic) from a long factor table."""
     def r(c):
+        c = steady(c)
         return f"rank() OVER (PARTITION BY {by}, date ORDER BY {c}) + (count(*) OVER (PARTITION BY {by}, date, {c}) - 1) / 2.0"
 
     body = (f"{r('x')} AS rx, {r('y')} AS ry") if ranked else "x AS rx, y AS ry"

@@ -208,6 +208,34 @@ def direction_insight(spark, sf_dir):
     return show(d, ["direction", "top_fields", "useful", "marginal", "useless", "exposed_failures"], ["mean_ic"])
 
 
+# Asked: every direction in lower case, its first four letters, a longer text that holds it, and one that fits none.
+ASKED = """ask AS (SELECT DISTINCT lower(direction) AS asked FROM oc UNION SELECT DISTINCT left(direction, 4) FROM oc
+  UNION SELECT DISTINCT 'all ' || direction || ' names' FROM oc UNION SELECT r_name || '?' FROM region UNION SELECT left(direction, 1) FROM oc)"""
+
+
+@query(
+    "g_direction_guidance",
+    f"""WITH {OUTCOMES}, {ASKED},
+m AS (SELECT asked, d FROM ask, (SELECT DISTINCT lower(direction) AS d FROM oc) WHERE contains(d, lower(asked)) OR contains(lower(asked), d)),
+mm AS (SELECT asked, d, false AS from_all FROM m UNION ALL SELECT asked, d, true FROM ask, (SELECT DISTINCT lower(direction) AS d FROM oc) WHERE asked NOT IN (SELECT asked FROM m)),
+x AS (SELECT lower(direction) AS d, f1 AS f FROM oc WHERE verdict = 'useful' UNION ALL SELECT lower(direction), f2 FROM oc WHERE verdict = 'useful'),
+c AS (SELECT asked, f, count(*) AS c FROM mm JOIN x USING (d) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY c DESC, f) AS p FROM c),
+t AS (SELECT asked, string_agg(f, ',' ORDER BY p) AS top_fields FROM r WHERE p <= 3 GROUP BY 1)
+SELECT mm.asked, CAST(any_value(from_all) AS INT) AS from_all, coalesce(any_value(top_fields), '') AS top_fields, count(*) FILTER (WHERE verdict = 'useful') AS useful,
+ count(*) FILTER (WHERE verdict = 'marginal') AS marginal, count(*) FILTER (WHERE verdict = 'useless') AS useless,
+ count(*) FILTER (WHERE verdict = 'useless' AND (abs(e1) > 0.3 OR abs(e2) > 0.3)) AS exposed_failures, {r6('avg(rank_ic)', 'mean_ic')}
+FROM mm JOIN oc ON lower(oc.direction) = mm.d LEFT JOIN t ON t.asked = mm.asked GROUP BY 1""",
+)
+def direction_guidance(spark, sf_dir):
+    o = outcomes(spark, sf_dir)
+    d = F.col("direction")
+    forms = F.array(F.lower(d), F.left(d, F.lit(4)), F.concat(F.lit("all "), d, F.lit(" names")), F.left(d, F.lit(1)))
+    asked = o.select("direction").distinct().select(F.explode(forms).alias("asked"))
+    asked = asked.unionByName(table(spark, sf_dir, "region").select(F.concat("r_name", F.lit("?")).alias("asked")))
+    got = library.direction_guidance(o, asked).withColumn("from_all", F.col("from_all").cast("int"))
+    return show(got, ["asked", "from_all", "top_fields", "useful", "marginal", "useless", "exposed_failures"], ["mean_ic"])
+
+
 @query(
     "g_verdict_samples",
     f"""WITH {OUTCOMES}, r AS (SELECT *, row_number() OVER (PARTITION BY direction, verdict ORDER BY id) AS k FROM oc)
@@ -220,11 +248,13 @@ def verdict_samples(spark, sf_dir):
 @query(
     "g_coverage_counts",
     f"""WITH {OUTCOMES}, x AS (SELECT 'field' AS kind, f1 AS value FROM oc UNION ALL SELECT 'field', f2 FROM oc UNION ALL SELECT 'structure', structure FROM oc UNION ALL SELECT 'direction', direction FROM oc),
-c AS (SELECT kind, value, count(*) AS n FROM x GROUP BY 1, 2)
+u AS (SELECT DISTINCT r_name AS value FROM region UNION SELECT c_mktsegment FROM customer),
+c AS (SELECT kind, value, count(*) AS n FROM x GROUP BY 1, 2 UNION ALL SELECT 'field', value, 0 FROM u WHERE value NOT IN (SELECT value FROM x WHERE kind = 'field'))
 SELECT kind, value, n, CASE WHEN kind = 'direction' AND n >= 3 THEN 'saturated' WHEN kind = 'field' AND n <= 1 THEN 'underused' ELSE 'normal' END AS state FROM c""",
 )
 def coverage_counts(spark, sf_dir):
-    return library.coverage_counts(outcomes(spark, sf_dir)).select("kind", "value", "n", "state")
+    usable = table(spark, sf_dir, "region").select("r_name").union(table(spark, sf_dir, "customer").select("c_mktsegment"))
+    return library.coverage_counts(outcomes(spark, sf_dir), fields=usable).select("kind", "value", "n", "state")
 
 
 @query("g_unexplored", f"WITH {OUTCOMES} SELECT d AS direction FROM (SELECT unnest(['BUILDING', 'momentum', 'reversal', 'MACHINERY', 'liquidity']) AS d) WHERE d NOT IN (SELECT direction FROM oc)")

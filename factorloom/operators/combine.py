@@ -12,7 +12,7 @@ from ..functions.scalar import ratio
 from ..functions.stats import complete_pair
 from ..session import settle
 from . import ic
-from .gram import both_ways, pair_corr, pair_sums
+from .gram import both_ways, co_moments, pair_corr
 from .ordered import group_stats
 from .ts import pct_change
 from .xsec import demean, rank
@@ -84,22 +84,28 @@ def _one_row(*frames: DataFrame) -> DataFrame:
 # -- selection and weights (one row per factor) -----------------------------------------------
 
 
-def orthogonal_select(pairs: DataFrame, factors: Sequence[str], threshold: float = 0.6) -> list[str]:
-    """Greedy pass in factor order: keep a factor whose |corr| with all kept ones is within the threshold.
+def orthogonal_select(pairs: DataFrame, factors: DataFrame, threshold: float = 0.6, key: str = "factor_id") -> DataFrame:
+    """(factor_id) of the greedy pass in factor order: a factor stays if its |corr| with all kept ones is within the threshold.
 
-    Spark has reduced the panel to factors x factors correlations; only the edges over the
-    threshold come to the driver.
+    That is the lexicographically first independent set of the graph of close pairs. It is
+    found in rounds on the edge table: a factor without an earlier undecided neighbour is
+    kept and its neighbours drop out. Rounds grow with the longest chain of close factors.
     """
-    edges = pairs.filter(F.abs("corr") > threshold).select("f1", "f2").collect()
-    near: dict[str, set[str]] = {}
-    for e in edges:
-        near.setdefault(e["f1"], set()).add(e["f2"])
-        near.setdefault(e["f2"], set()).add(e["f1"])
-    kept: list[str] = []
-    for f in sorted(factors):
-        if not near.get(f, set()) & set(kept):
-            kept.append(f)
-    return kept
+    close = pairs.filter(F.abs("corr") > threshold).select(F.least("f1", "f2").alias("a"), F.greatest("f1", "f2").alias("b")).distinct()
+    close = settle(close.join(factors.select(F.col(key).alias("a")), "a", "left_semi").join(factors.select(F.col(key).alias("b")), "b", "left_semi"))
+    undecided = factors.select(F.col(key).alias("f")).distinct()
+    kept = undecided.join(close.select(F.col("a").alias("f")).unionByName(close.select(F.col("b").alias("f"))), "f", "left_anti")
+    undecided = undecided.join(kept, "f", "left_anti")
+    while not close.isEmpty():
+        first = undecided.join(close.select(F.col("b").alias("f")), "f", "left_anti").select("f", F.lit("kept").alias("state"))
+        out = close.join(first.select(F.col("f").alias("a")), "a", "left_semi").select(F.col("b").alias("f"), F.lit("out").alias("state"))
+        decided = settle(first.unionByName(out.distinct()))
+        kept = kept.unionByName(decided.filter("state = 'kept'").select("f"))
+        undecided = undecided.join(decided, "f", "left_anti")
+        for end in "ab":
+            close = close.join(decided.select(F.col("f").alias(end)), end, "left_anti")
+        undecided, close = settle(undecided), settle(close)
+    return kept.unionByName(undecided).select(F.col("f").alias(key))
 
 
 def weigh(scores: DataFrame, method: str = "ic_weighted") -> DataFrame:
@@ -134,7 +140,8 @@ def ridge_weights(returns: DataFrame, factors: Sequence[str], alpha: float = 0.1
     if len(factors) < 3:
         return None
     table = returns.groupBy("date").pivot("factor_id", factors).agg(F.first("ls_return")).dropna(subset=factors)
-    sums = {(r["f1"], r["f2"]): (r["sxy"], r["n"]) for r in pair_sums(table, factors).collect()}
+    raw = F.col("cxy") + F.col("n") * F.col("mx") * F.col("my")
+    sums = {(r["f1"], r["f2"]): (r["sxy"], r["n"]) for r in co_moments(table, factors).select("f1", "f2", raw.alias("sxy"), "n").collect()}
     if not sums or next(iter(sums.values()))[1] < min_dates:
         return None
     gram = np.array([[sums[min(a, b), max(a, b)][0] for b in factors] for a in factors])
@@ -156,7 +163,8 @@ def combine(df: DataFrame, factors: Sequence[str], method="ic_weighted", thresho
     from ..plans.tree import long_form
 
     pairs = settle(pair_corr(df, factors))
-    kept = orthogonal_select(pairs, factors, threshold)
+    names = df.sparkSession.createDataFrame([(f,) for f in factors], "factor_id string")
+    kept = sorted(r["factor_id"] for r in orthogonal_select(pairs, names, threshold).collect())  # names of columns of ``df``
     long = long_form(df, kept, ["label"])
     weights = None
     if method == "ridge":

@@ -1,7 +1,8 @@
 """Correlation of many columns at once, without emitting column pairs per row.
 
-Each task folds its rows into F x F sums (four matrix products per Arrow batch) and
-emits them once; Spark adds the partial sums.  The panel itself is not shuffled.
+Each task folds its rows into one centred F x F state (counts, means, co-moments) and
+emits it once; states are merged by the pairwise update, so that nothing cancels where
+the mean is far above the spread. The panel itself is not shuffled.
 """
 
 from __future__ import annotations
@@ -10,60 +11,90 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio
 
-SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
-
-
-def pair_sums(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(f1, f2, n, sx, sy, sxx, syy, sxy) over rows where both columns have a value; f1 <= f2."""
+STATE = ("n", "mx", "my", "cxx", "cyy", "cxy")
+FAN_IN = 64  # states of that many groups of tasks are merged first
+
+
+def batch_state(x: np.ndarray) -> dict[str, np.ndarray]:
+    """n, mean of i where j has a value, and the centred moments, for all pairs (i, j) of the columns of ``x``."""
+    has = ~np.isnan(x)
+    m = has.astype(float)
+    centre = np.where(has, x, 0.0).sum(0) / np.maximum(m.sum(0), 1)
+    d = np.where(has, x - centre, 0.0)
+    n = m.T @ m
+    some = np.maximum(n, 1)
+    shift = (d.T @ m) / some
+    return {"n": n, "mx": centre[:, None] + shift, "cxx": (d * d).T @ m - n * shift**2, "cxy": d.T @ d - n * shift * shift.T}
+
+
+def merged(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    n = a["n"] + b["n"]
+    some = np.maximum(n, 1)
+    apart = np.where((a["n"] > 0) & (b["n"] > 0), b["mx"] - a["mx"], 0.0)
+    weight = a["n"] * b["n"] / some
+    return {
+        "n": n,
+        "mx": np.where(a["n"] > 0, a["mx"] + apart * b["n"] / some, b["mx"]),
+        "cxx": a["cxx"] + b["cxx"] + apart**2 * weight,
+        "cxy": a["cxy"] + b["cxy"] + apart * apart.T * weight,
+    }
+
+
+def _update(acc: Column, s: Column) -> Column:
+    """The pairwise update of two states of one pair of columns."""
+    n = acc["n"] + s["n"]
+    weight = F.coalesce(ratio(acc["n"] * s["n"], n), F.lit(0.0))
+    share = F.coalesce(ratio(s["n"], n), F.lit(0.0))
+    dx, dy = s["mx"] - acc["mx"], s["my"] - acc["my"]
+    return F.struct(
+        n.alias("n"),
+        (acc["mx"] + dx * share).alias("mx"),
+        (acc["my"] + dy * share).alias("my"),
+        (acc["cxx"] + s["cxx"] + dx * dx * weight).alias("cxx"),
+        (acc["cyy"] + s["cyy"] + dy * dy * weight).alias("cyy"),
+        (acc["cxy"] + s["cxy"] + dx * dy * weight).alias("cxy"),
+    )
+
+
+def merge_states(states: DataFrame, by: Sequence[str]) -> DataFrame:
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in STATE])
+    listed = F.sort_array(F.collect_list(F.struct(*STATE)))  # in one order whatever task came first
+    return states.groupBy(*by).agg(F.aggregate(listed, zero, _update).alias("s")).select(*by, "s.*")
+
+
+def co_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(f1, f2, n, mx, my, cxx, cyy, cxy) over rows where both columns have a value; f1 <= f2."""
     cols = sorted(cols)
     upper = np.triu_indices(len(cols))
     left, right = np.array(cols, dtype=object)[upper[0]], np.array(cols, dtype=object)[upper[1]]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = sx = sxx = sxy = 0.0
-        seen = False
+        state = None
         for batch in batches:
-            x = batch[cols].to_numpy(dtype=float)
-            has = ~np.isnan(x)
-            x, m = np.where(has, x, 0.0), has.astype(float)
-            n = n + m.T @ m
-            sx = sx + x.T @ m
-            sxx = sxx + (x * x).T @ m
-            sxy = sxy + x.T @ x
-            seen = True
-        if seen:
-            yield pd.DataFrame(
-                {
-                    "f1": left,
-                    "f2": right,
-                    "n": n[upper],
-                    "sx": sx[upper],
-                    "sy": sx.T[upper],
-                    "sxx": sxx[upper],
-                    "syy": sxx.T[upper],
-                    "sxy": sxy[upper],
-                }
-            )
-
-    schema = "f1 string, f2 string, " + ", ".join(f"{s} double" for s in SUMS)
+            s = batch_state(batch[cols].to_numpy(dtype=float))
+            state = s if state is None else merged(state, s)
+        if state is not None:
+            values = {"n": state["n"], "mx": state["mx"], "my": state["mx"].T, "cxx": state["cxx"], "cyy": state["cxx"].T, "cxy": state["cxy"]}
+            yield pd.DataFrame({"f1": left, "f2": right} | {k: v[upper] for k, v in values.items()})
+
+    schema = "f1 string, f2 string, " + ", ".join(f"{s} double" for s in STATE)
     partial = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols]).mapInPandas(fold, schema)
-    return partial.groupBy("f1", "f2").agg(*[F.sum(s).alias(s) for s in SUMS])
+    partial = partial.withColumn("_task", F.pmod(F.spark_partition_id(), F.lit(FAN_IN)))
+    return merge_states(merge_states(partial, ["f1", "f2", "_task"]).drop("_task"), ["f1", "f2"])
 
 
 def pair_corr(df: DataFrame, cols: Sequence[str], min_n: int = 20) -> DataFrame:
     """(f1, f2, n, corr) for f1 < f2; corr is NULL under ``min_n`` pairs or on a constant side."""
-    s = pair_sums(df, cols).filter(F.col("f1") < F.col("f2"))
+    s = co_moments(df, cols).filter(F.col("f1") < F.col("f2"))
     n = F.col("n")
-    cov = F.col("sxy") - ratio(F.col("sx") * F.col("sy"), n)
-    vx = F.col("sxx") - ratio(F.col("sx") * F.col("sx"), n)
-    vy = F.col("syy") - ratio(F.col("sy") * F.col("sy"), n)
-    spread = (vx > 1e-12 * F.abs("sxx")) & (vy > 1e-12 * F.abs("syy"))
-    corr = F.when((n >= min_n) & spread, ratio(cov, F.sqrt(vx * vy)))
+    # what rounding alone leaves of a constant column
+    spread = (F.col("cxx") > 1e-26 * n * F.col("mx") ** 2) & (F.col("cyy") > 1e-26 * n * F.col("my") ** 2)
+    corr = F.when((n >= min_n) & spread, ratio(F.col("cxy"), F.sqrt("cxx") * F.sqrt("cyy")))
     return s.select("f1", "f2", n.cast("bigint").alias("n"), corr.alias("corr"))
 
 

@@ -1,22 +1,20 @@
 """Multiple-testing corrections and t-tests over one-row-per-factor tables.
 
-Windows without partition keys below run over one row per factor (hundreds to
-thousands of rows), never over a panel.
+A family may hold any number of tests: places come from range partitions by p with a
+table of offsets, the step-up minimum is carried back from range to range, and what a
+family has in common is one aggregate joined to its rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import bounded, col, ratio
 from ..functions.stats import slope_p_value, t_two_sided_p
-
-
-def _family(by: Sequence[str]):
-    return Window.partitionBy(*(by or [F.lit(0)]))
+from .ranges import attach, step_up
 
 
 def clean_p(p) -> Column:
@@ -24,32 +22,26 @@ def clean_p(p) -> Column:
     return F.coalesce(F.nanvl(p, F.lit(1.0)), F.lit(1.0))
 
 
+def _family(df: DataFrame, by: Sequence[str], aggs: dict[str, Column]) -> DataFrame:
+    """Aggregates of each row's family on the row."""
+    side = df.groupBy(*by).agg(*[a.alias(n) for n, a in aggs.items()])
+    return attach(df, side, by, list(aggs))
+
+
 def benjamini_hochberg(df: DataFrame, p: str, key: str = "factor_id", alpha: float = 0.05, by: Sequence[str] = ()) -> DataFrame:
     """Add rejected, adjusted_p, threshold, n_rejected, n_total."""
-    family = _family(by)
-    ordered = family.orderBy("_p", key)
-    d = df.withColumn("_p", clean_p(p)).withColumns(
-        {"_r": F.row_number().over(ordered), "n_total": F.count(F.lit(1)).over(family)}
-    )
-    raw = F.least(F.lit(1.0), F.col("_p") * F.col("n_total") / F.col("_r"))
-    d = d.withColumn("_raw", raw).withColumns(
-        {
-            "adjusted_p": F.min("_raw").over(family.orderBy(F.col("_r")).rowsBetween(0, Window.unboundedFollowing)),
-            "_last": F.max(F.when(F.col("_p") <= alpha * F.col("_r") / F.col("n_total"), F.col("_r"))).over(family),
-        }
-    )
-    d = d.withColumn("rejected", F.col("_r") <= F.coalesce("_last", F.lit(0)))
-    return d.withColumns(
-        {
-            "threshold": F.coalesce(F.max(F.when(F.col("rejected"), F.col("_p"))).over(family), F.lit(0.0)),
-            "n_rejected": F.sum(F.col("rejected").cast("bigint")).over(family),
-        }
-    ).drop("_p", "_r", "_raw", "_last")
+    rows = df.withColumn("_p", clean_p(p))
+    d = step_up(rows, by, "_p", [key], lambda k, n: F.least(F.lit(1.0), F.col("_p") * n / k))
+    passed = F.col("_p") <= alpha * F.col("_k") / F.col("_n")
+    d = _family(d, by, {"n_rejected": F.coalesce(F.max(F.when(passed, F.col("_k"))), F.lit(0)).cast("bigint")})
+    d = d.withColumn("rejected", F.col("_k") <= F.col("n_rejected"))
+    d = _family(d, by, {"threshold": F.coalesce(F.max(F.when(F.col("rejected"), F.col("_p"))), F.lit(0.0))})
+    kept = [c for c in df.columns if c not in ("n_total", "adjusted_p", "rejected", "threshold", "n_rejected")]
+    return d.select(*kept, F.col("_n").alias("n_total"), F.col("_least").alias("adjusted_p"), "rejected", "threshold", "n_rejected")
 
 
 def bonferroni(df: DataFrame, p: str, alpha: float = 0.05, by: Sequence[str] = ()) -> DataFrame:
-    family = _family(by)
-    d = df.withColumn("_p", clean_p(p)).withColumn("n_total", F.count(F.lit(1)).over(family))
+    d = _family(df.withColumn("_p", clean_p(p)), by, {"n_total": F.count(F.lit(1))})
     d = d.withColumns(
         {
             "threshold": alpha / F.col("n_total"),
@@ -57,7 +49,7 @@ def bonferroni(df: DataFrame, p: str, alpha: float = 0.05, by: Sequence[str] = (
             "rejected": F.col("_p") < alpha / F.col("n_total"),
         }
     )
-    return d.withColumn("n_rejected", F.sum(F.col("rejected").cast("bigint")).over(family)).drop("_p")
+    return _family(d, by, {"n_rejected": F.sum(F.col("rejected").cast("bigint"))}).drop("_p")
 
 
 def apply_fdr(df: DataFrame, p: str, method: str = "bh", alpha: float = 0.05) -> DataFrame:

@@ -13,9 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import ratio
+from ..functions.scalar import ratio, steady
 from ..functions.stats import complete_pair, safe_corr
 from .ordered import average_rank, drop_stats, order_stats, with_quantiles
+from .ranges import attach, group_ranks
 from .ts import forward_return
 from .xsec import rank_expr
 
@@ -36,7 +37,6 @@ DECAY = Convention(horizon=1, min_n=5)
 SCORECARD_RANK = Convention(horizon=5, min_n=3, zero_degenerate=True)
 SCORECARD_LINEAR = Convention(horizon=5, min_n=3, ranked=False, zero_degenerate=True)
 REPORT = Convention(horizon=1, min_n=5, sample_std=True)
-OUT_OF_SAMPLE = Convention(horizon=5, min_n=5, sample_std=True)
 
 
 def with_label(panel: DataFrame, horizon: int = 5, shift: int = 0, out: str = "label") -> DataFrame:
@@ -159,6 +159,41 @@ def ic_autocorrelation(daily: DataFrame, lags: int = 5) -> DataFrame:
     return out.withColumn("stability", total / lags)
 
 
+def sample_check(long: DataFrame, by: Sequence[str] = ("factor_id",), label: str = "label", min_rows: int = 50) -> DataFrame:
+    """Rank IC of a selected sample: (by..., oos_rank_ic, oos_ic_ir, oos_positive_ratio, oos_n_days).
+
+    A sample without gaps is correlated by date. One with gaps has no dates that fit its pairs: all its
+    pairs are ranked together, whatever their number, and count as one day without a spread. Fewer
+    than ``min_rows`` pairs give zeros.
+    """
+    by = list(by)
+    x, y = complete_pair("factor_value", label)
+    rows = long.select(*by, "date", "asset", x.alias("_x"), y.alias("_y"))
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), F.count("_x").alias("_pairs"))
+    kind = F.when(F.col("_pairs") < min_rows, "few").when(F.col("_pairs") == F.col("_rows"), "dated").otherwise("whole")
+    sizes = sizes.select(*by, kind.alias("_kind"))
+    rows = attach(rows.filter(F.col("_x").isNotNull()), sizes, by, ["_kind"])
+
+    keys = [*by, "date"]
+    dated = rows.filter("_kind = 'dated'").withColumns({"_rx": rank_expr("_x", keys, share=False), "_ry": rank_expr("_y", keys, share=False)})
+    days = dated.groupBy(*keys).agg(safe_corr("_rx", "_ry").alias("ic"))
+    whole = rows.filter("_kind = 'whole'").withColumns({"_x": steady("_x"), "_y": steady("_y")})
+    for side in ("_x", "_y"):
+        whole = group_ranks(whole, by, side, ["date", "asset"], "_o")
+        whole = drop_stats(whole.withColumn(f"_r{side}", average_rank("_o")), "_o")
+    once = whole.groupBy(*by).agg(safe_corr("_r_x", "_r_y").alias("ic"))
+    ics = days.select(*by, "ic").filter(F.col("ic").isNotNull()).unionByName(once)
+    zero = F.lit(0.0)
+    found = ics.groupBy(*by).agg(
+        F.coalesce(F.avg("ic"), zero).alias("oos_rank_ic"),
+        F.coalesce(F.avg("ic") / (F.stddev_samp("ic") + 1e-10), zero).alias("oos_ic_ir"),
+        F.avg(F.coalesce((F.col("ic") > 0).cast("double"), zero)).alias("oos_positive_ratio"),
+        F.count(F.lit(1)).alias("oos_n_days"),
+    )
+    cols = ["oos_rank_ic", "oos_ic_ir", "oos_positive_ratio", "oos_n_days"]
+    return attach(sizes.drop("_kind"), found, by, cols).fillna(0, cols)
+
+
 # -- quantiles, turnover, exposure ---------------------------------------------------------
 
 

@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import holds
+from ..functions.scalar import holds, ratio
+from .contain import either_way
 from .ordered import beside
+from .ranges import attach
 
 
 def read_library(spark: SparkSession, path: str, schema=None) -> DataFrame:
@@ -96,6 +98,50 @@ def direction_insight(outcomes: DataFrame, top: int = 3, exposed: float = 0.3) -
     return base.join(best, "direction", "left").fillna("", ["top_fields"])
 
 
+def direction_guidance(outcomes: DataFrame, asked: DataFrame, top: int = 3, exposed: float = 0.3) -> DataFrame:
+    """For every asked direction the verdicts, mean IC and best fields of outcomes whose direction holds it or stands in it, whatever the case.
+
+    A direction without such outcomes is answered from all of them. Outcomes are folded by
+    direction first, so a match costs one row for each direction, not for each outcome.
+    """
+    useful, useless = F.col("verdict") == "useful", F.col("verdict") == "useless"
+    risky = F.exists(F.map_values("exposures"), lambda v: F.abs(v) > exposed)
+    own = outcomes.withColumn("_d", F.lower("direction"))
+    sums = own.groupBy("_d").agg(
+        F.count_if(useful).alias("useful"),
+        F.count_if(F.col("verdict") == "marginal").alias("marginal"),
+        F.count_if(useless).alias("useless"),
+        F.count_if(useless & risky).alias("exposed_failures"),
+        F.sum("rank_ic").alias("_ic"),
+        F.count("rank_ic").alias("_n"),
+    )
+    fields = own.filter(useful).select("_d", F.explode("input_fields").alias("f")).groupBy("_d", "f").agg(F.count(F.lit(1)).alias("c"))
+    wanted = asked.select(F.col(asked.columns[0]).alias("asked")).distinct()
+    low = wanted.select("asked", F.lower("asked").alias("_a"))
+    pairs = either_way(low.select("_a"), sums.select("_d"), "_a", "_d")
+    met = low.join(pairs, "_a")
+    rest = wanted.join(met.select("asked").distinct(), "asked", "left_anti").select("asked", F.lit(True).alias("_all"))
+    met = met.select("asked", "_d").unionByName(rest.select("asked", F.lit(None).cast("string").alias("_d")))
+    everything = sums.groupBy().agg(*[F.sum(c).alias(c) for c in sums.columns[1:]]).withColumn("_d", F.lit(None).cast("string"))
+    all_fields = fields.groupBy("f").agg(F.sum("c").alias("c")).select(F.lit(None).cast("string").alias("_d"), "f", "c")
+    sums, fields = sums.unionByName(everything), fields.unionByName(all_fields)
+
+    def of_asked(side: DataFrame) -> DataFrame:
+        return attach(met, side.withColumnRenamed("_d", "_k"), ["_d"], [c for c in side.columns if c != "_d"], side_keys=["_k"], how="inner")
+
+    base = of_asked(sums).groupBy("asked").agg(
+        *[F.sum(c).alias(c) for c in ("useful", "marginal", "useless", "exposed_failures")], ratio(F.sum("_ic"), F.sum("_n")).alias("mean_ic")
+    )
+    counted = of_asked(fields).groupBy("asked", "f").agg(F.sum("c").alias("c"))
+    place = Window.partitionBy("asked").orderBy(F.col("c").desc(), "f")
+    best = counted.withColumn("_p", F.row_number().over(place)).filter(F.col("_p") <= top).groupBy("asked").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_p", "f"))), lambda s: s["f"]), ",").alias("top_fields")
+    )
+    fallback = rest.withColumnRenamed("_all", "from_all")
+    got = base.join(best, "asked", "left").join(fallback, "asked", "left")
+    return got.fillna("", ["top_fields"]).withColumn("from_all", F.coalesce("from_all", F.lit(False)))
+
+
 def verdict_samples(outcomes: DataFrame, order: Sequence[str], useful: int = 5, other: int = 3) -> DataFrame:
     """The first few structures of each direction and verdict."""
     w = Window.partitionBy("direction", "verdict").orderBy(*order)

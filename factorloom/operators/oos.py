@@ -68,6 +68,32 @@ def walk_forward_folds(dates: DataFrame, train: int, test: int, step: int, min_f
     return spans.join(numbered, "_p").select("fold", "date", part.alias("part"))
 
 
+def fold_sizes(panel: DataFrame, parts: DataFrame, min_train: int = 100, min_test: int = 40) -> DataFrame:
+    """(fold, train_rows, test_rows, usable): panel rows on each side of every fold."""
+    rows = panel.select("date").join(parts, "date").groupBy("fold").agg(
+        F.count_if(F.col("part") == "train").alias("train_rows"), F.count_if(F.col("part") == "test").alias("test_rows")
+    )
+    return rows.withColumn("usable", (F.col("train_rows") >= min_train) & (F.col("test_rows") >= min_test))
+
+
+def usable_folds(panel: DataFrame, parts: DataFrame, min_train: int = 100, min_test: int = 40) -> DataFrame:
+    """The (fold, date, part) rows of folds with enough panel rows on both sides."""
+    return parts.join(fold_sizes(panel, parts, min_train, min_test).filter("usable").select("fold"), "fold", "left_semi")
+
+
+def with_cost(checks: DataFrame, impact: DataFrame) -> DataFrame:
+    """Checks with turnover, cost in basis points and test IC less the cost's share; no turnover costs nothing."""
+    d = checks.join(impact.select("factor_id", "turnover", "cost_impact_bps", "ic_penalty"), "factor_id", "left")
+    d = d.fillna(0.0, ["turnover", "cost_impact_bps", "ic_penalty"])
+    return d.withColumn("cost_adj_ic", F.col("test_ic") - F.col("ic_penalty")).drop("ic_penalty")
+
+
+def with_stability_ratio(summary: DataFrame) -> DataFrame:
+    """Each factor's walk-forward row with the share of factors that are stable."""
+    everyone = Window.partitionBy(F.lit(0))  # one row per factor
+    return summary.withColumn("stability_ratio", F.avg(F.col("stable").cast("double")).over(everyone))
+
+
 def passed_rule(train="train_ic", test="test_ic") -> Column:
     train, test = col(train), col(test)
     return (test > 0) & ((train <= 0) | (ratio(test, train + 1e-10) > 0.5))

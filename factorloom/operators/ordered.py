@@ -5,12 +5,9 @@ smaller values (lt), the number of equal values including itself (eq) and, on
 request, its row number (rn).  All rank-like operators are arithmetic on these.
 
 * group fits a task: window functions over the group;
-* ``wide``: rows are split by value into even buckets, each bucket is ranked by its
-  own task, and bucket offsets make the ranks global.  A value shared by many rows
-  is split over several buckets too, because buckets are cut on (value, tie-break);
-  the few values that cross a cut get their totals from a small side table.
-  Splitters come from a hash sample, but they only shape the buckets: every row is
-  ranked exactly.
+* ``wide``: range partitions by value with a table of offsets (``ranges.py``). A value
+  shared by many rows is split over several ranges too, because ranges are cut on
+  (value, tie-break).
 """
 
 from __future__ import annotations
@@ -20,16 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import settle
-from .sizes import max_group_rows
-
-OVERSAMPLE = 16
-BROADCAST_ROWS = 200_000
-
-
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a side whose row count has been measured; leave larger ones to AQE."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+from ..functions.scalar import steady
+from .ranges import attach, group_ranks
 
 
 def order_stats(
@@ -46,7 +35,8 @@ def order_stats(
     if wide:
         return _wide(df, list(keys), x, out, list(tie), descending)
     group = Window.partitionBy(*keys)
-    order = F.col(x).desc_nulls_last() if descending else F.col(x).asc_nulls_last()
+    value = steady(x)
+    order = value.desc_nulls_last() if descending else value.asc_nulls_last()
     ranked = group.orderBy(order)
     present = F.col(x).isNotNull()
     cols = {
@@ -60,84 +50,15 @@ def order_stats(
 
 
 def _wide(df, keys, x, out, tie, descending) -> DataFrame:
-    limit = max_group_rows(df.sparkSession)
-    stride = max(1, limit // OVERSAMPLE)
-    base = settle(df.withColumn("_v", -F.col(x) if descending else F.col(x)))
-    live = base.filter(F.col("_v").isNotNull())
-    spot = F.struct("_v", *tie)
-
-    sampled = live.filter(F.pmod(F.xxhash64(*keys, *tie), F.lit(stride)) == 0)
-    cuts = settle(
-        sampled.groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(spot)).alias("_s"))
-        .select(*keys, F.filter("_s", lambda _, i: (i % OVERSAMPLE) == OVERSAMPLE - 1).alias("_cuts"))
-    )
-    weight = cuts.agg(F.sum(F.size("_cuts") + 1).alias("w")).first()["w"] or 0
-    row_bucket = F.coalesce(F.size(F.filter("_cuts", lambda c: c < spot)), F.lit(0))
-    placed = _attach(live, small(cuts, weight), keys, ["_cuts"]).withColumn("_b", row_bucket).drop("_cuts")
-
-    before = Window.partitionBy(*keys).orderBy("_b")
-    buckets = settle(
-        placed.groupBy(*keys, "_b")
-        .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        .withColumn("_off", F.coalesce(F.sum("_c").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("_crosses", F.coalesce(F.lag("_hi").over(before) == F.col("_lo"), F.lit(False)))
-        .withColumn("_tot", F.sum("_c").over(Window.partitionBy(*keys)))
-    )
-    n_buckets = buckets.count()
-
-    crossing = buckets.filter("_crosses").select(*keys, F.col("_lo").alias("_v")).distinct()
-    offsets = buckets.select(*keys, F.col("_b").alias("_b0"), (F.col("_off") + F.col("_c")).alias("_end"))
-    shared = (
-        _attach(placed, small(crossing.withColumn("_hit", F.lit(True)), n_buckets), [*keys, "_v"], ["_hit"])
-        .filter("_hit")
-        .groupBy(*keys, "_v", "_b")
-        .agg(F.count(F.lit(1)).alias("_k"))
-        .groupBy(*keys, "_v")
-        .agg(F.sum("_k").alias("_veq"), F.min("_b").alias("_b0"), F.min_by("_k", "_b").alias("_k0"))
-    )
-    shared = settle(
-        _attach(shared, offsets, [*keys, "_b0"], ["_end"]).select(
-            *keys, "_v", "_veq", (F.col("_end") - F.col("_k0")).alias("_vlt")
-        )
-    )
-
-    local = Window.partitionBy(*keys, "_b").orderBy("_v")
-    ranked = placed.withColumns(
-        {
-            "_r": F.rank().over(local),
-            "_e": F.count(F.lit(1)).over(local.rangeBetween(0, 0)),
-            "_i": F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_v", *tie)),
-        }
-    )
-    ranked = _attach(ranked, small(buckets, n_buckets), [*keys, "_b"], ["_off", "_tot"])
-    ranked = _attach(ranked, small(shared, n_buckets), [*keys, "_v"], ["_veq", "_vlt"])
-    names = base.drop("_v").columns
-    done = ranked.select(
-        *names,
-        F.col("_tot").alias(f"{out}_n"),
-        F.coalesce("_vlt", F.col("_off") + F.col("_r") - 1).alias(f"{out}_lt"),
-        F.coalesce("_veq", F.col("_e")).alias(f"{out}_eq"),
-        (F.col("_off") + F.col("_i")).alias(f"{out}_rn"),
-    )
-    totals = buckets.groupBy(*keys).agg(F.sum("_c").alias("_tot"))
-    gaps = _attach(base.filter(F.col("_v").isNull()), small(totals, n_buckets), keys, ["_tot"]).select(
-        *names,
-        F.coalesce("_tot", F.lit(0)).alias(f"{out}_n"),
-        *[F.lit(None).cast("bigint").alias(f"{out}_{s}") for s in ("lt", "eq", "rn")],
-    )
+    value = steady(x)
+    base = df.withColumn("_v", -value if descending else value)
+    done = group_ranks(base.filter(F.col("_v").isNotNull()), keys, "_v", tie, out).drop("_v")
+    totals = base.groupBy(*keys).agg(F.count("_v").alias(f"{out}_n"))
+    gaps = attach(base.filter(F.col("_v").isNull()).drop("_v"), totals, keys, [f"{out}_n"])
+    gaps = gaps.withColumns({f"{out}_{s}": F.lit(None).cast("bigint") for s in ("lt", "eq", "rn")})
     return done.unionByName(gaps)
 
 
-def _attach(df: DataFrame, side: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Left join ``cols`` of ``side`` on NULL-safe keys."""
-    right = side.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], *cols)
-    cond = F.lit(True)
-    for i, k in enumerate(keys):
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_key{i}"))
-    return df.join(right, cond, "left").drop(*[f"_key{i}" for i in range(len(keys))])
-
-
 def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Put the columns of a one-row aggregate on every row (a broadcast of exactly one row)."""
     left, right = df.withColumn("_one", F.lit(1)), one_row.withColumn("_one", F.lit(1))
@@ -162,7 +83,7 @@ def group_stats(df: DataFrame, keys: Sequence[str], aggs: dict[str, Column], wid
         w = Window.partitionBy(*keys)
         return df.withColumns({name: agg.over(w) for name, agg in aggs.items()})
     side = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
-    return _attach(df, side, keys, list(aggs))
+    return attach(df, side, keys, list(aggs))
 
 
 def group_quantiles(
@@ -187,4 +108,4 @@ def with_quantiles(df, keys, x, probs: dict[str, float], tie=("asset",), wide: b
     if not wide:
         w = Window.partitionBy(*keys)
         return df.withColumns({n: F.percentile(x, F.lit(p)).over(w) for n, p in probs.items()})
-    return _attach(df, group_quantiles(df, keys, x, probs, tie, True), keys, list(probs))
+    return attach(df, group_quantiles(df, keys, x, probs, tie, True), keys, list(probs))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -57,6 +58,26 @@ def net_of_cost(periods: DataFrame, notional: float) -> DataFrame:
     )
 
 
+def top_book(long: DataFrame, share: float = 0.2, label: str = "label", by: Sequence[str] = ("factor_id",), rate: Column | float = 0.002, wide=False) -> DataFrame:
+    """Per factor the equal-weight book of its top names, held for one label each: gross and net return, net Sharpe, mean number of names.
+
+    What a date's turnover costs at a round-trip rate is taken off that date's return.
+    """
+    from .ic import member_turnover, top_members
+
+    keys = [*by, "date"]
+    members = top_members(long, share, by, wide)
+    held = members.groupBy(*keys).agg(F.avg(label).alias("_r"), F.count(F.lit(1)).alias("_k")).filter(F.col("_r").isNotNull())
+    d = held.join(member_turnover(members, by), keys, "left")
+    d = d.withColumn("_net", F.col("_r") - F.coalesce("turnover", F.lit(0.0)) * rate)
+    return d.groupBy(*by).agg(
+        (compound("_r") - 1).alias("gross_return"),
+        (compound("_net") - 1).alias("net_return"),
+        (ratio(F.avg("_net"), F.stddev_samp("_net")) * math.sqrt(252.0)).alias("sharpe"),
+        F.avg("_k").alias("n_positions"),
+    )
+
+
 def ic_vs_return(scores: DataFrame) -> DataFrame:
     """Sharpe predicted from IC and breadth against the realised one.
 

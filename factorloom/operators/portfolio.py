@@ -30,10 +30,17 @@ def select_side(panel: DataFrame, n_long: int, n_short: int = 0, wide=False) ->
     return drop_stats(d.withColumn("side", F.explode(sides)), "_o")
 
 
+def recent_ic(daily: DataFrame, last: int = 20, least: int = 5, out: str = "recent_ic") -> DataFrame:
+    """One row: the mean of the last daily ICs of one factor, 0 with too few of them. The series is as long as the calendar."""
+    ics = daily.agg(F.sort_array(F.collect_list(F.struct("date", "rank_ic")), asc=False).alias("_s"))
+    mean = F.aggregate(F.slice("_s", 1, last), F.lit(0.0), lambda acc, x: acc + x["rank_ic"]) / F.least(F.size("_s"), F.lit(last))
+    return ics.select(F.when(F.size("_s") >= least, mean).otherwise(0.0).alias(out))
+
+
 def weigh(
     chosen: DataFrame,
     scheme: str = "equal",
-    ic_mean: float | None = None,
+    ic_mean: Column | float | None = None,
     low: float = 0.005,
     high: float = 0.05,
 ) -> DataFrame:
@@ -47,8 +54,8 @@ def weigh(
     if scheme == "score":
         raw = F.coalesce(ratio(F.abs("factor_value"), F.sum(F.abs("factor_value")).over(side)), even)
     elif scheme == "ic_rank" and ic_mean is not None:
-        order = F.col("factor_value").asc() if ic_mean < 0 else F.col("factor_value").desc()
-        w = side.orderBy(order)
+        against = (ic_mean if isinstance(ic_mean, Column) else F.lit(ic_mean)) < 0
+        w = side.orderBy(F.when(against, -F.col("factor_value")).otherwise(F.col("factor_value")).desc())
         place = F.rank().over(w) + (F.count(F.lit(1)).over(w.rangeBetween(0, 0)) - 1) / 2.0
         raw = place / (n * (n + 1) / 2.0)
     elif scheme == "sector_neutral" and "industry" in chosen.columns:

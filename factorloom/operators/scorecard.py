@@ -39,8 +39,11 @@ def composite(originality: Column | float = 1.0) -> Column:
     return F.least(total, F.lit(1.0))
 
 
-def evaluate_metrics(long: DataFrame, labels: dict[int, str], label: str = "label", wide=False) -> DataFrame:
-    """All scorecard numbers of every factor; only rows with a value and a label count."""
+def evaluate_metrics(long: DataFrame, labels: dict[int, str], label: str = "label", wide=False, overlap: DataFrame | None = None) -> DataFrame:
+    """All scorecard numbers of every factor; only rows with a value and a label count.
+
+    ``overlap`` has (factor_id, max_corr), the largest |corr| with another factor of the library; without one a factor is original.
+    """
     pairs = long.filter(F.col("factor_value").isNotNull() & F.col(label).isNotNull())
     linear = ic.batch_rank_ic(pairs, ic.SCORECARD_LINEAR, label=label, wide=wide).select(
         "factor_id", "ic_mean", "ic_ir", F.col("positive_ratio").alias("_pos"), "coverage"
@@ -57,12 +60,17 @@ def evaluate_metrics(long: DataFrame, labels: dict[int, str], label: str = "labe
     out = linear.join(ranked, "factor_id")
     for side in (ic.quantile_returns(pairs, label=label, wide=wide), turnover, decay, ic.exposure(pairs)):
         out = out.join(side, "factor_id", "left")
-    out = out.fillna(0.0, ["turnover", "long_short", "monotonicity"])
+    if overlap is not None:
+        out = out.join(overlap.select("factor_id", "max_corr"), "factor_id", "left")
+    else:
+        out = out.withColumn("max_corr", F.lit(0.0))
+    out = out.fillna(0.0, ["turnover", "long_short", "monotonicity", "max_corr"])
+    out = out.withColumn("originality_score", F.greatest(F.lit(0.0), 1.0 - F.col("max_corr")))
     first, last = F.col(f"corr_{horizons[0]}"), F.col(f"corr_{horizons[-1]}")
     out = out.withColumns(
         {"stability_score": stability(F.col("_pos"), F.col("_rpos"), first, last), "tradability_score": tradability()}
     )
-    return out.withColumn("composite_score", composite()).drop("_pos", "_rpos")
+    return out.withColumn("composite_score", composite(F.col("originality_score"))).drop("_pos", "_rpos")
 
 
 def constraint_scores(specs: DataFrame, max_depth: int = 6) -> DataFrame:
@@ -130,11 +138,15 @@ def library_correlation(pairs: DataFrame, library: Sequence[str]) -> DataFrame:
     )
 
 
-def novelty(candidates: DataFrame, library: DataFrame, penalty: float = 0.3, bonus: float = 0.3, top: int = 10) -> DataFrame:
+def novelty(
+    candidates: DataFrame, library: DataFrame, penalty: float = 0.3, bonus: float | str = 0.3, top: int = 10, excluded: DataFrame | None = None
+) -> DataFrame:
     """Rank hypotheses (key, family) by how rare their family is in the library, plus an exploration bonus.
 
-    ``bonus`` is a number or a column name of the candidates.
+    ``bonus`` is a number or a column name of the candidates; families in ``excluded`` are left out.
     """
+    if excluded is not None:
+        candidates = candidates.join(excluded.select("family").distinct(), "family", "left_anti")
     everyone = Window.partitionBy(F.lit(0))
     share = library.groupBy("family").agg(F.count(F.lit(1)).alias("_f"))
     share = share.withColumn("share", F.col("_f") / F.sum("_f").over(everyone)).drop("_f")

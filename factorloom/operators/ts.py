@@ -6,7 +6,6 @@ long as the calendar, however many assets there are.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,18 +124,37 @@ def forward_return(horizon: int, shift: int = 0, x="close") -> Column:
     return ratio(F.lead(x, horizon + shift - 1).over(w), F.lead(x, shift).over(w)) - 1
 
 
+BLOCK = 32  # rows of an asset whose maps are composed at once
+
+
+def _compose(maps: Column) -> Column:
+    """The affine map of a list of maps y -> a y + b, applied in order."""
+    start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    return F.aggregate(maps, start, lambda acc, m: F.struct((m["a"] * acc["a"]).alias("a"), (m["a"] * acc["b"] + m["b"]).alias("b")))
+
+
 def ema(df: DataFrame, x: str, out: str, alpha: float = 0.1) -> DataFrame:
     """Exponential mean seeded with the first value; old weight keeps decaying over gaps.
 
-    One linear pass over each asset's dates; the recurrence has no window form.
+    Every row is an affine map of the mean before it, and maps compose. A row composes the
+    maps of its block of dates and, once for each block, those of all blocks before it, so a
+    series of T dates costs about BLOCK + T / BLOCK steps a row, all over one partitioning.
     """
-    schema = df.withColumn(out, F.lit(None).cast("double")).schema
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        return pdf.assign(**{out: pdf[x].astype(float).ewm(alpha=alpha, adjust=False).mean()})
-
-    return df.groupBy("asset").applyInPandas(run, schema)
+    v, w = F.col(x).cast("double"), series()
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    d = df.withColumn("_pos", F.row_number().over(w))
+    d = d.withColumn("_seen", F.last(F.when(v.isNotNull(), F.col("_pos")), ignorenulls=True).over(before))
+    old = F.pow(F.lit(1.0 - alpha), (F.col("_pos") - F.col("_seen")).cast("double"))
+    a = F.when(v.isNull(), 1.0).when(F.col("_seen").isNull(), 0.0).otherwise(old / (old + alpha))
+    b = F.when(v.isNull(), 0.0).when(F.col("_seen").isNull(), v).otherwise(alpha * v / (old + alpha))
+    d = d.withColumns({"_map": F.struct(a.alias("a"), b.alias("b")), "_block": F.floor((F.col("_pos") - 1) / BLOCK)})
+    block = Window.partitionBy("asset", "_block").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_map", _compose(F.collect_list("_map").over(block)))
+    whole = F.collect_list(F.when(F.col("_pos") % BLOCK == 0, F.col("_map"))).over(before)
+    d = d.withColumn("_start", F.when(F.col("_pos") % BLOCK == 1, _compose(whole)["b"]))
+    start = F.first("_start").over(block)
+    known = v.isNotNull() | F.col("_seen").isNotNull()
+    return d.withColumn(out, F.when(known, F.col("_map.a") * start + F.col("_map.b"))).drop("_pos", "_seen", "_map", "_block", "_start")
 
 
 def rolling_ols_residual(df: DataFrame, x: str, out: str, w: int = 60, wide=False) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import TINY, col, holds
+from ..functions.scalar import TINY, col, holds, steady
 from .ordered import average_rank, drop_stats, group_stats, order_stats, with_quantiles
 
 DATE = ("date",)
@@ -21,7 +21,7 @@ def _order(keys, x, descending):
 
 def rank_expr(x, keys=DATE, descending=False, share=True) -> Column:
     """Average rank of ``x`` in its group, over the number of values unless ``share`` is off."""
-    x = col(x)
+    x = steady(x)
     w = _order(keys, x, descending)
     place = F.rank().over(w) + (F.count(F.lit(1)).over(w.rangeBetween(0, 0)) - 1) / 2.0
     return F.when(x.isNotNull(), place / F.count(x).over(Window.partitionBy(*keys)) if share else place)
@@ -32,7 +32,7 @@ def hit_expr(x, n, keys=DATE, descending=False) -> Column:
 
 
 def quantile_expr(x, n, keys=DATE, tie=("asset",)) -> Column:
-    x = col(x)
+    x = steady(x)
     place = (F.row_number().over(Window.partitionBy(*keys).orderBy(x.asc_nulls_last(), *tie)) - 1) * n
     last = F.count(x).over(Window.partitionBy(*keys)) - 1
     return F.when(x.isNotNull(), _bucket(place, last) / (n - 1))

@@ -75,9 +75,12 @@ def variants(tree: Mapping, space: Mapping[str, Sequence]) -> dict[str, dict]:
 
 
 def ranked(scored: DataFrame) -> DataFrame:
-    """Mark the best variant by ICIR, then IC (one row per variant)."""
-    order = Window.partitionBy(F.lit(0)).orderBy(F.col("ic_ir").desc(), F.col("ic_mean").desc(), "factor_id")
-    return scored.withColumn("best", (F.row_number().over(order) == 1).cast("int")).withColumnRenamed("factor_id", "params")
+    """Mark the best and the worst variant by ICIR, then IC (one row per variant)."""
+    everyone = Window.partitionBy(F.lit(0))
+    first = everyone.orderBy(F.col("ic_ir").desc(), F.col("ic_mean").desc(), "factor_id")
+    last = everyone.orderBy("ic_ir", "ic_mean", "factor_id")
+    marks = {"best": first, "worst": last}
+    return scored.withColumns({c: (F.row_number().over(w) == 1).cast("int") for c, w in marks.items()}).withColumnRenamed("factor_id", "params")
 
 
 # The rolling operators of the first template, and the shapes of the last two.

@@ -126,7 +126,25 @@ def test_clusters_match_union_find(spark):
 
 def test_orthogonal_select(spark):
     pairs = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.1), ("b", "c", 0.8), ("c", "d", -0.7)], "f1 string, f2 string, corr double")
-    assert combine.orthogonal_select(pairs, ["d", "c", "b", "a"], 0.6) == ["a", "c"]
+    names = spark.createDataFrame([("d",), ("c",), ("b",), ("a",)], "factor_id string")
+    assert sorted(r[0] for r in combine.orthogonal_select(pairs, names, 0.6).collect()) == ["a", "c"]
+
+
+def test_orthogonal_select_is_the_greedy_pass(spark):
+    """A random graph, and a chain in which every other factor stays."""
+    import random
+
+    rng = random.Random(4)
+    names = [f"f{i:02d}" for i in range(40)]
+    edges = [(a, b, 0.9) for i, a in enumerate(names) for b in names[i + 1 :] if rng.random() < 0.08]
+    for edges in (edges, [(a, b, -0.7) for a, b in zip(names, names[1:], strict=False)], []):
+        near = {frozenset(e[:2]) for e in edges}
+        want = []
+        for f in names:
+            if not any(frozenset((f, k)) in near for k in want):
+                want.append(f)
+        got = combine.orthogonal_select(spark.createDataFrame(edges, "f1 string, f2 string, corr double"), spark.createDataFrame([(n,) for n in names], "factor_id string"))
+        assert sorted(r[0] for r in got.collect()) == want
 
 
 def test_ridge_matches_numpy(spark):
