@@ -5,13 +5,13 @@ component of every document; links inside a component that is already joined
 are not looked for again, links between different components are all found.
 
 1. Sets. A token is the 64-bit hash of k words. Documents with equal sets are one
-   class and only classes go on. Tokens under a fixed bound are the sample; in how
-   many classes each occurs is counted over all documents. The order of tokens is
-   the same everywhere: the sample by count, then the rest, equal ones by hash. A
-   set of n can only reach the similarity with a set that has one of its first
-   n - ceil(s n) + 1 tokens in common (its index prefix is n - ceil(2s / (1 + s) n) + 1
-   for sets that are as large or larger). A class with that many sampled tokens that
-   no other class has links with nothing and is done; the others keep their first tokens.
+   class and only classes go on. A set of n can only reach the similarity with a set
+   that holds ceil(s n) of its tokens, so a class with more tokens of its own is done.
+   Own tokens are counted twice: those under a fixed bound (the sample) over all
+   documents, then all tokens over the classes that the sample leaves open. The order of
+   tokens is the same everywhere: by that exact count, then by hash. A class keeps the
+   shared ones of its first n - ceil(s n) + 1 tokens (its index prefix is n - ceil(2s / (1 + s) n) + 1
+   for sets that are as large or larger); in one of them it meets every set it links with.
 2. Groups. Classes that agree in a min-hash are compared with the smallest of them;
    classes that link are one group. Copies of one text with few changes end in a
    few groups however many there are.
@@ -22,7 +22,7 @@ are not looked for again, links between different components are all found.
 4. Only pairs of groups whose bound allows a link are opened: the members of the
    smaller group meet members of the other that hold the shared token, pass the
    sizes' bound and the bound at their own first shared token. These pairs are
-   compared on the full sets, read again from the texts.
+   compared on the full sets.
 
 Null, empty and blank texts have no set: they are alone. Texts of fewer than k
 words have their whole sequence as their one token. Equal rows fall into one
@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 from .components import components
 from .dedup import PLACE, landed, placed
 from .store import carried, forget, written
-from .words import LOWER, NOT_SPACE, U, mix, slices, words
+from .words import LOWER, NOT_SPACE, U, lists, mix, slices, words
 
 SIGNS = 3  # pairs of min-hashes for the first groups
 BROADCAST_CLASSES = 250_000  # names of classes sent to every task at most (about 40 bytes each)
@@ -77,8 +77,8 @@ class Rule:
 
     @property
     def sample(self) -> int:
-        """Tokens up to this hash are counted: twice the share of a set that may differ."""
-        return min(2**64 - 1, 2 * (self.below - self.above) * 2**64 // self.below)
+        """Tokens up to this hash are counted first: one and a half times the share of a set that may differ."""
+        return min(2**64 - 1, 3 * (self.below - self.above) * 2**64 // (2 * self.below))
 
     def index(self, n: Column) -> Column:
         k = self.above + self.below
@@ -115,12 +115,12 @@ def digests(row: np.ndarray, h: np.ndarray, n: int) -> list[np.ndarray]:
 
 
 def sampled_sets(docs: DataFrame, doc_id: str, text: str, rule: Rule) -> DataFrame:
-    """(id, n, digests, min-hashes, k, first) of every row: its first tokens by hash, of which k are of the sample, no fewer than the prefix needs."""
-    names = ["id", "n", "d1", "d2", *(f"sign{i}" for i in range(SIGNS)), "k", "first"]
+    """(id, n, digests, min-hashes, sample) of every row."""
+    names = ["id", "n", "d1", "d2", *(f"sign{i}" for i in range(SIGNS)), "sample"]
     schema = T.StructType([
         T.StructField("id", docs.schema[doc_id].dataType),
         *(T.StructField(c, T.LongType()) for c in names[1:-1]),
-        T.StructField("first", T.ArrayType(T.LongType())),
+        T.StructField("sample", T.ArrayType(T.LongType())),
     ])
 
     def run(stream):
@@ -139,46 +139,50 @@ def sampled_sets(docs: DataFrame, doc_id: str, text: str, rule: Rule) -> DataFra
                             s[some] = mix(s[some] + np.minimum.reduceat(mix(h + U(7919 * k)), heads))
                     signs.append(pa.array(s.view(np.int64)))
                 inside = h <= U(rule.sample)
-                k = np.bincount(row[inside], minlength=size)
-                place = np.arange(len(row)) - np.searchsorted(row, np.arange(size))[row]  # tokens are sorted by hash in each row
-                stay = place < np.where(n > 0, np.maximum(k, rule.probe(n)), 0)[row]
-                bounds = np.concatenate([[0], np.cumsum(np.bincount(row[stay], minlength=size))]).astype(np.int32)
-                first = pa.ListArray.from_arrays(pa.array(bounds), pa.array(h[stay].view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, size), pa.array(n), *map(pa.array, digests(row, h, size)), *signs, pa.array(k), first], names=names
-                )
+                sample = lists(h[inside].view(np.int64), np.bincount(row[inside], minlength=size))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, size), pa.array(n), *map(pa.array, digests(row, h, size)), *signs, sample], names=names)
 
     return docs.select(F.col(doc_id).alias("id"), text).mapInArrow(run, schema)
 
 
-def tallies(rows: DataFrame) -> DataFrame:
-    """(own, key, n) of the sample: how many tokens of its own the class with digest ``key`` has, and how many rows hold the token ``key`` of several classes.
-
-    Classes count by their first digest; that two of them share it and a token too is no likelier than two equal token hashes.
-    """
-    marks = rows.filter("k > 0").select("d1", F.explode(F.slice("first", F.lit(1), F.col("k").cast("int"))).alias("token"))
-    counted = marks.groupBy("token").agg(F.min("d1").alias("a"), F.max("d1").alias("b"), F.count(F.lit(1)).alias("n"))
+def tallies(marks: DataFrame) -> DataFrame:
+    """(own, key, n) of (cls, token) rows: how many tokens of its own the class ``key`` has, and how many rows hold the token ``key`` of several classes."""
+    counted = marks.groupBy("token").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.count(F.lit(1)).alias("n"))
     own = counted.filter("a = b").groupBy(F.col("a").alias("key")).agg(F.count(F.lit(1)).alias("n"))
     shared = counted.filter("a != b").select(F.lit(False).alias("own"), F.col("token").alias("key"), "n")
     return written(own.select(F.lit(True).alias("own"), "key", "n").unionByName(shared), "token-tallies")
 
 
-def open_classes(rows: DataFrame, classes: DataFrame, counts: DataFrame, rule: Rule) -> DataFrame:
-    """(cls, id, n, digests, min-hashes, rare, prefix) of the classes that may link; rare is the number of their own sampled tokens."""
-    own = counts.filter("own").select(F.col("key").alias("d1"), F.col("n").alias("rare"))
-    left = classes.join(own, "d1", "left").select("cls", F.coalesce("rare", F.lit(0)).alias("rare"), rule.probe_column(F.col("n")).alias("probe"))
-    left = written(left.filter("rare < probe"), "open-classes")
-    names = left.withColumnRenamed("cls", "row")
-    some = written(rows.join(F.broadcast(names) if left.count() <= BROADCAST_CLASSES else names, "row").withColumnRenamed("row", "cls"), "open-sets")
+def still_open(classes: DataFrame, counts: DataFrame, key: str, rule: Rule) -> DataFrame:
+    """Of (cls, n, ...) rows those that may link, with ``rare``, the number of their own tokens."""
+    own = counts.filter("own").select(F.col("key").alias(key), F.col("n").alias("rare"))
+    got = classes.join(own, key, "left").withColumn("rare", F.coalesce("rare", F.lit(0)))
+    return got.filter(F.col("rare") < rule.probe_column(F.col("n")))
+
+
+def open_classes(docs: DataFrame, doc_id: str, text: str, rows: DataFrame, classes: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """(cls, n, min-hashes, rare, prefix) of the classes that may link, and the full sets (cls, n, tokens) of them and others.
+
+    In the first count a class is known by its first digest; that two of them share it and a token too is no likelier than two equal token hashes.
+    """
+    counts = tallies(rows.select(F.col("d1").alias("cls"), F.explode("sample").alias("token")))
+    first = written(still_open(classes.select("cls", "n", "d1"), counts, "d1", rule).select("cls"), "open-classes")
+    forget(counts)
+    names = first.withColumnRenamed("cls", "row")
+    signs = [f"sign{i}" for i in range(SIGNS)]
+    some = rows.select("row", "id", "n", "d1", "d2", *signs).join(F.broadcast(names) if first.count() <= BROADCAST_CLASSES else names, "row")
+    some = written(some.withColumnRenamed("row", "cls"), "open-rows")
+    sets = written(full_sets(docs, doc_id, text, rule, some.select("cls", "id", "d1", "d2")), "open-sets")
+    marks = sets.select("cls", F.explode("tokens").alias("token"))
+    counts = tallies(marks)
+    left = written(still_open(some.select("cls", "n", *signs), counts, "cls", rule), "open-left")
     shared = counts.filter("NOT own").select(F.col("key").alias("token"), F.col("n").alias("often"))
-    late = (F.col("pos") >= F.col("k")).alias("late")
-    order = F.struct("late", F.when(~F.col("late"), F.coalesce("often", F.lit(0))).alias("often"), "token")
-    ordered = some.select("cls", "probe", "k", F.posexplode("first").alias("pos", "token")).select("cls", "probe", late, "token")
-    ordered = ordered.join(shared, "token", "left").groupBy("cls", "probe").agg(F.sort_array(F.collect_list(order)).alias("all"))
-    prefix = F.transform(F.slice("all", F.lit(1), F.col("probe").cast("int")), lambda x: x["token"]).alias("prefix")
-    reps = written(some.drop("probe", "k", "first").join(ordered.select("cls", prefix), "cls"), "shingle-reps")
-    forget(left, some)
-    return reps
+    ordered = among(marks, left.select("cls"), "cls").join(shared, "token").groupBy("cls").agg(F.sort_array(F.collect_set(F.struct("often", "token"))).alias("all"))
+    kept = F.slice("all", F.lit(1), (rule.probe_column(F.col("n")) - F.col("rare")).cast("int"))
+    reps = left.join(ordered, "cls").withColumn("prefix", F.transform(kept, lambda x: x["token"])).drop("all")
+    reps = written(reps, "shingle-reps")
+    forget(counts, first, some, left)
+    return reps, sets
 
 
 def among(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
@@ -200,10 +204,10 @@ def likely(pairs: DataFrame, reps: DataFrame, rule: Rule) -> DataFrame:
     so at most the shared kept tokens and what follows the kept ones can be shared.
     """
     pairs = written(pairs, "jaccard-pairs")
-    kept = among(reps.select("cls", "n", "prefix"), either(pairs, "a", "b", "cls"), "cls")
-    rows = pairs.join(kept.toDF("a", "n", "own"), "a").join(kept.toDF("b", "m", "others"), "b")
+    kept = among(reps.select("cls", "n", "rare", "prefix"), either(pairs, "a", "b", "cls"), "cls")
+    rows = pairs.join(kept.toDF("a", "n", "n_own", "own"), "a").join(kept.toDF("b", "m", "m_own", "others"), "b")
     n, m = F.col("n"), F.col("m")
-    most = F.size(F.array_intersect("own", "others")) + F.greatest(n - F.size("own"), m - F.size("others"))
+    most = F.size(F.array_intersect("own", "others")) + F.greatest(n - F.col("n_own") - F.size("own"), m - F.col("m_own") - F.size("others"))
     return rows.filter(rule.sizes_fit(F.least(n, m), F.greatest(n, m)) & (most >= rule.needed(n, m))).select("a", "b")
 
 
@@ -244,16 +248,18 @@ def compared(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 
 def opened(members: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b) of classes of different groups that may link; ``members`` has cls, comp, alone, n and prefix."""
+    """Pairs (a, b) of classes of different groups that may link; ``members`` has cls, comp, alone, n, rare and prefix."""
+    place = lambda *cols: [*cols, F.posexplode("prefix").alias("_pos", "token")]
+    at = (F.col("_pos") + F.col("rare")).alias("pos")  # behind the class's own tokens
 
     def postings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Of the probe prefixes, and of the shorter index prefixes."""
-        all_of = rows.select("cls", "comp", "alone", "n", F.posexplode("prefix").alias("pos", "token"))
+        all_of = rows.select(*place("cls", "comp", "n", "rare")).select("cls", "comp", "n", at, "token")
         return all_of, all_of.filter(F.col("pos") < rule.index(F.col("n")))
 
     # Rows of groups of one class are the matrix already. A row counts below zero if none of its members has the
     # token in the index prefix.
-    all_of = members.select("comp", "alone", "n", F.posexplode("prefix").alias("pos", "token"))
+    all_of = members.select(*place("comp", "alone", "n", "rare")).select("comp", "alone", "n", at, "token")
     low = F.col("pos") < rule.index(F.col("n"))
     one = all_of.filter("alone").select("token", "comp", "n", F.col("n").alias("n2"), "pos", F.when(low, 1).otherwise(-1).cast("long").alias("rows"))
     many = all_of.filter("NOT alone").groupBy("token", "comp").agg(F.min("n"), F.max("n"), F.min("pos"), F.count("*") * F.when(F.max(low), 1).otherwise(-1))
@@ -298,9 +304,7 @@ def join(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "text"
     rows = written(sampled_sets(docs, doc_id, text, rule).withColumn("row", F.monotonically_increasing_id()), "shingle-samples")
     classes = rows.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("row").alias("cls"), F.min("id").alias("least"))
     classes = written(classes, "shingle-classes")
-    counts = tallies(rows)
-    reps = open_classes(rows, classes, counts, rule)
-    forget(counts)
+    reps, sets = open_classes(docs, doc_id, text, rows, classes, rule)
 
     near = []
     for i in range(SIGNS):
@@ -310,17 +314,12 @@ def join(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "text"
         rows_of = reps.select(F.col("cls").alias("a"), f"sign{i}", "n").join(leaders, f"sign{i}").filter("a != b")
         near.append(rows_of.filter(rule.sizes_fit(F.least("n", "m"), F.greatest("n", "m"))).select("a", "b"))
     near = written(likely(near[0].unionByName(near[1]).unionByName(near[2]).distinct(), reps, rule), "jaccard-near")
-    names = reps.select("cls", "id", "d1", "d2")
-
-    def wanted(pairs: DataFrame) -> DataFrame:
-        return written(among(names, either(pairs, "a", "b", "cls"), "cls"), "jaccard-wanted")
-
-    links = written(compared(near, full_sets(docs, doc_id, text, rule, wanted(near)), rule), "jaccard-links")
+    links = written(compared(near, among(sets, either(near, "a", "b", "cls"), "cls"), rule), "jaccard-links")
 
     groups = components(links)
-    members = reps.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"), F.col("comp").isNull().alias("alone"), "n", "prefix")
+    members = reps.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"), F.col("comp").isNull().alias("alone"), "n", "rare", "prefix")
     pairs = written(likely(opened(members, rule), reps, rule), "jaccard-opened")
-    more = compared(pairs, full_sets(docs, doc_id, text, rule, wanted(pairs)), rule)
+    more = compared(pairs, among(sets, either(pairs, "a", "b", "cls"), "cls"), rule)
     whole = components(written(links.unionByName(more), "jaccard-all"))
 
     of_class = classes.join(whole.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
