@@ -178,6 +178,21 @@ def test_decontaminate(spark, docs, texts, none):
     assert nothing.filter("contaminated OR n_hit > 0").count() == 0
 
 
+def test_decontaminate_repeated_words(spark):
+    """A text and an item of one word over and over, an item that the text only begins, and hits too many to be sent."""
+    rows = [(1, "to " * 50000), (2, "a b " * 30 + "to " * 12 + "c"), (3, "x " + "to " * 13)]
+    items = [("i", "to " * 2000), ("j", "a b " * 500), ("k", "to " * 13)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    want = {1: (50000, 50000, ["i", "k"]), 2: (73, 60, ["j"]), 3: (14, 13, ["i", "k"])}
+    assert by_id(decontaminate.decontaminate(docs, bench), "n_words", "n_hit", "items") == want
+    before = decontaminate.BROADCAST_WORDS, decontaminate.BROADCAST_ROWS
+    decontaminate.BROADCAST_WORDS = decontaminate.BROADCAST_ROWS = 0
+    try:
+        assert by_id(decontaminate.decontaminate(docs, bench), "n_words", "n_hit", "items") == want
+    finally:
+        decontaminate.BROADCAST_WORDS, decontaminate.BROADCAST_ROWS = before
+
+
 def test_pieces(docs, none, spark):
     from sentencepiece import SentencePieceProcessor
 
