@@ -16,45 +16,51 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio
 
-STATE = ("n", "mx", "my", "cxx", "cyy", "cxy")
+# A mean is kept as an anchor near the values and the offset from it, so that the difference of two means is exact to the last bit of the spread.
+STATE = ("n", "hx", "hy", "lx", "ly", "cxx", "cyy", "cxy")
 FAN_IN = 64  # states of that many groups of tasks are merged first
 
 
 def batch_state(x: np.ndarray) -> dict[str, np.ndarray]:
-    """n, mean of i where j has a value, and the centred moments, for all pairs (i, j) of the columns of ``x``."""
+    """n, mean of i where j has a value (anchor h plus offset l), and the centred moments, for all pairs (i, j) of the columns of ``x``."""
     has = ~np.isnan(x)
     m = has.astype(float)
-    centre = np.where(has, x, 0.0).sum(0) / np.maximum(m.sum(0), 1)
-    d = np.where(has, x - centre, 0.0)
+    anchor = np.where(has, x, 0.0).sum(0) / np.maximum(m.sum(0), 1)
+    d = np.where(has, x - anchor, 0.0)
     n = m.T @ m
-    some = np.maximum(n, 1)
-    shift = (d.T @ m) / some
-    return {"n": n, "mx": centre[:, None] + shift, "cxx": (d * d).T @ m - n * shift**2, "cxy": d.T @ d - n * shift * shift.T}
+    low = (d.T @ m) / np.maximum(n, 1)
+    high = np.broadcast_to(anchor[:, None], n.shape)
+    return {"n": n, "h": high, "l": low, "cxx": (d * d).T @ m - n * low**2, "cxy": d.T @ d - n * low * low.T}
 
 
 def merged(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The pairwise update of two states."""
     n = a["n"] + b["n"]
-    some = np.maximum(n, 1)
-    apart = np.where((a["n"] > 0) & (b["n"] > 0), b["mx"] - a["mx"], 0.0)
+    some, first = np.maximum(n, 1), a["n"] > 0
+    apart = np.where(first & (b["n"] > 0), (b["h"] - a["h"]) + (b["l"] - a["l"]), 0.0)
     weight = a["n"] * b["n"] / some
     return {
         "n": n,
-        "mx": np.where(a["n"] > 0, a["mx"] + apart * b["n"] / some, b["mx"]),
+        "h": np.where(first, a["h"], b["h"]),
+        "l": np.where(first, a["l"] + apart * b["n"] / some, b["l"]),
         "cxx": a["cxx"] + b["cxx"] + apart**2 * weight,
         "cxy": a["cxy"] + b["cxy"] + apart * apart.T * weight,
     }
 
 
 def _update(acc: Column, s: Column) -> Column:
-    """The pairwise update of two states of one pair of columns."""
-    n = acc["n"] + s["n"]
+    """The same for two states of one pair of columns."""
+    n, first = acc["n"] + s["n"], acc["n"] > 0
     weight = F.coalesce(ratio(acc["n"] * s["n"], n), F.lit(0.0))
     share = F.coalesce(ratio(s["n"], n), F.lit(0.0))
-    dx, dy = s["mx"] - acc["mx"], s["my"] - acc["my"]
+    dx = F.when(first & (s["n"] > 0), (s["hx"] - acc["hx"]) + (s["lx"] - acc["lx"])).otherwise(0.0)
+    dy = F.when(first & (s["n"] > 0), (s["hy"] - acc["hy"]) + (s["ly"] - acc["ly"])).otherwise(0.0)
     return F.struct(
         n.alias("n"),
-        (acc["mx"] + dx * share).alias("mx"),
-        (acc["my"] + dy * share).alias("my"),
+        F.when(first, acc["hx"]).otherwise(s["hx"]).alias("hx"),
+        F.when(first, acc["hy"]).otherwise(s["hy"]).alias("hy"),
+        F.when(first, acc["lx"] + dx * share).otherwise(s["lx"]).alias("lx"),
+        F.when(first, acc["ly"] + dy * share).otherwise(s["ly"]).alias("ly"),
         (acc["cxx"] + s["cxx"] + dx * dx * weight).alias("cxx"),
         (acc["cyy"] + s["cyy"] + dy * dy * weight).alias("cyy"),
         (acc["cxy"] + s["cxy"] + dx * dy * weight).alias("cxy"),
@@ -79,13 +85,16 @@ def co_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             s = batch_state(batch[cols].to_numpy(dtype=float))
             state = s if state is None else merged(state, s)
         if state is not None:
-            values = {"n": state["n"], "mx": state["mx"], "my": state["mx"].T, "cxx": state["cxx"], "cyy": state["cxx"].T, "cxy": state["cxy"]}
+            h, low, cxx = state["h"], state["l"], state["cxx"]
+            values = {"n": state["n"], "hx": h, "hy": h.T, "lx": low, "ly": low.T, "cxx": cxx, "cyy": cxx.T, "cxy": state["cxy"]}
             yield pd.DataFrame({"f1": left, "f2": right} | {k: v[upper] for k, v in values.items()})
 
     schema = "f1 string, f2 string, " + ", ".join(f"{s} double" for s in STATE)
     partial = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols]).mapInPandas(fold, schema)
     partial = partial.withColumn("_task", F.pmod(F.spark_partition_id(), F.lit(FAN_IN)))
-    return merge_states(merge_states(partial, ["f1", "f2", "_task"]).drop("_task"), ["f1", "f2"])
+    got = merge_states(merge_states(partial, ["f1", "f2", "_task"]).drop("_task"), ["f1", "f2"])
+    means = {"mx": F.col("hx") + F.col("lx"), "my": F.col("hy") + F.col("ly")}
+    return got.withColumns(means).select("f1", "f2", "n", "mx", "my", "cxx", "cyy", "cxy")
 
 
 def pair_corr(df: DataFrame, cols: Sequence[str], min_n: int = 20) -> DataFrame:
