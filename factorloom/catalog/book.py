@@ -476,13 +476,51 @@ def signal_returns(spark, sf_dir):
 COMBOS = signals.grid([3, 5], [10, 20])
 
 
-@query("o_strategy_grid")
+# Both strategies, their windows, with and without the trend and volatility filters.
+SWEPT = {"ma_cross": COMBOS, "channel_breakout": signals.grid([5, 10], [10, 20]) + [(10, 10)]}
+CALM = 0.35
+SPANS = sorted({k for pairs in SWEPT.values() for pair in pairs for k in pair})
+GRID_KEYS = "asset, strategy, short, long, filters"
+FEATURES = f"""tr AS (SELECT asset, date, close, avg(close) OVER ({A} ROWS 59 PRECEDING) AS trend_ma, coalesce(close / lag(close) OVER ({A}) - 1, 0) AS ret,
+  {', '.join(f"avg(close) OVER ({A} ROWS {k - 1} PRECEDING) AS m{k}, CASE WHEN count(*) OVER ({A} ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING) = {k} THEN max(close) OVER ({A} ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING) END AS u{k}, CASE WHEN count(*) OVER ({A} ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING) = {k} THEN min(close) OVER ({A} ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING) END AS d{k}" for k in SPANS)} FROM panel),
+ft AS (SELECT *, coalesce(stddev_samp(ret) OVER ({A} ROWS 19 PRECEDING), 0) AS vol, {', '.join(f'lag(m{k}) OVER ({A}) AS p{k}' for k in SPANS)} FROM tr)"""
+
+
+def signal_sql(name: str, s: int, l: int, filters: str) -> str:
+    trend, vol = signals.FILTERS[filters]
+    buy, sell = (f"m{s} > m{l} AND p{s} <= p{l}", f"m{s} < m{l} AND p{s} >= p{l}") if name == "ma_cross" else (f"close > u{s}", f"close < d{l}")
+    buy += (" AND close > trend_ma" if trend else "") + (f" AND vol <= {CALM}" if vol else "")
+    return f"SELECT asset, date, close, '{name}' AS strategy, {s} AS short, {l} AS long, '{filters}' AS filters, CASE WHEN {sell} THEN -1 WHEN {buy} THEN 1 ELSE 0 END AS signal FROM ft"
+
+
+GRID_SIGNALS = f"{FEATURES}, sg AS ({' UNION ALL '.join(signal_sql(n, s, l, f) for n, pairs in SWEPT.items() for s, l in pairs for f in signals.FILTERS)})"
+GRID_HELD = HELD.replace(A, f"PARTITION BY {GRID_KEYS} ORDER BY date").replace("SELECT asset,", f"SELECT {GRID_KEYS},").replace("GROUP BY 1, 2", "GROUP BY ALL").replace("GROUP BY 1", "GROUP BY ALL")
+
+
+@query(
+    "o_strategy_grid",
+    f"""WITH {PANEL_SQL}, {GRID_SIGNALS}, {GRID_HELD}, ar AS (SELECT *, pow(1 + total_return, 252.0 / rows) - 1 AS annual_return FROM mt)
+SELECT {GRID_KEYS}, trade_count, CAST(row_number() OVER (PARTITION BY asset ORDER BY round(annual_return, 7) DESC, round(sharpe, 7) DESC, strategy, short, long, filters) AS INTEGER) AS place,
+ {r6('total_return', 'total_return', 4)}, {r6('max_drawdown', 'max_drawdown', 4)}, {r6('sharpe', 'sharpe', 4)} FROM ar""",
+)
 def strategy_grid(spark, sf_dir):
     p = weekly_panel(spark, sf_dir).select("date", "asset", "close")
-    by = ["asset", "short", "long"]
-    m = signals.signal_metrics(signals.positions(signals.ma_grid(p, COMBOS), by), by)
-    place = Window.partitionBy("asset").orderBy(F.col("annual_return").desc(), F.col("sharpe").desc(), "short", "long")
-    return show(m.withColumn("place", F.row_number().over(place)), [*by, "place"], ["total_return", "max_drawdown"], 4)
+    by = GRID_KEYS.split(", ")
+    m = signals.signal_metrics(signals.positions(signals.strategy_grid(p, SWEPT, CALM), by), by)
+    place = Window.partitionBy("asset").orderBy(F.round("annual_return", 7).desc(), F.round("sharpe", 7).desc(), *by[1:])
+    return show(m.withColumn("place", F.row_number().over(place)), [*by, "trade_count", "place"], ["total_return", "max_drawdown", "sharpe"], 4)
+
+
+def _filtered_signal(name: str, strategy: str, s: int, l: int) -> None:
+    @query(name, f"WITH {PANEL_SQL}, {FEATURES}, sg AS ({signal_sql(strategy, s, l, 'both')}) SELECT CAST(date AS VARCHAR) AS date, asset, signal FROM sg")
+    def run(spark, sf_dir):
+        make = {"ma_cross": signals.ma_cross, "channel_breakout": signals.channel_breakout}[strategy]
+        d = make(weekly_panel(spark, sf_dir), s, l, trend=True, max_volatility=CALM)
+        return d.select(F.col("date").cast("string").alias("date"), "asset", "signal")
+
+
+_filtered_signal("b_ma_cross_filtered", "ma_cross", 5, 20)
+_filtered_signal("b_channel_filtered", "channel_breakout", 10, 20)
 
 
 @query(

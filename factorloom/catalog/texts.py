@@ -49,6 +49,25 @@ def keyword_tag(spark, sf_dir):
     return knowledge.keyword_tag(docs(spark, sf_dir), WORD_RULES).select("doc_id", "direction")
 
 
+# Headlines over the parts table: one for each rule, one for none, two that fit several rules.
+HEADLINES = ["北向资金净流入", "市场震荡加剧", "业绩超预期", "指数反弹", "散户信心回升", "估值仍然便宜", "成交清淡", "产品更名", "外资看好盈利", "恐慌中下跌"]
+NEWS = f"nw AS (SELECT p_partkey AS id, ({HEADLINES!r})[1 + p_partkey % {len(HEADLINES)}] AS title, p_name AS content FROM part)"
+
+
+def news_sql(rules) -> str:
+    cases = " ".join(f"WHEN {' OR '.join(f'contains(title, {w!r}) OR contains(content, {w!r})' for w in words)} THEN '{label}'" for words, label in rules)
+    return f"CASE {cases} END"
+
+
+@query("x_news_tag", f"WITH {NEWS} SELECT id, title, {news_sql(knowledge.NEWS_RULES)} AS direction FROM nw")
+def news_tag(spark, sf_dir):
+    lines = F.array(*[F.lit(h) for h in HEADLINES])
+    p = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), F.element_at(lines, (F.col("p_partkey") % len(HEADLINES) + 1).cast("int")).alias("title"), F.col("p_name").alias("content")
+    )
+    return knowledge.keyword_tag(p).select("id", "title", "direction")
+
+
 @query("x_keyword_filter", f"WITH {TAGGED} SELECT doc_id FROM tg WHERE contains(title, 'tion') OR contains(title, 'eaux')")
 def keyword_filter(spark, sf_dir):
     return knowledge.keyword_filter(docs(spark, sf_dir), ["tion", "eaux"]).select("doc_id")
@@ -284,13 +303,22 @@ def memory_snapshot(spark, sf_dir):
 @query(
     "g_novelty_penalty",
     f"""WITH {OUTCOMES}, f AS (SELECT family, count(*) / sum(count(*)) OVER () AS share FROM oc GROUP BY 1),
-n AS (SELECT id AS "key", oc.family, greatest(0, greatest(0.1, 1 - share) - 0.3 * share) AS s FROM oc JOIN f ON oc.family = f.family WHERE verdict = 'useful')
-SELECT "key", family, {r6('s', 'novelty_score')} FROM n ORDER BY s + 0.3 DESC, "key" LIMIT 10""",
+k AS (SELECT family, count(*) FILTER (WHERE verdict = 'useless') AS failed, count(*) FILTER (WHERE verdict = 'marginal') AS findings, count(*) AS c FROM oc GROUP BY 1),
+b AS (SELECT family, CASE WHEN failed = 0 AND findings = 0 THEN 0.3 ELSE least(0.5, 0.1 * failed + 0.05 * findings) END AS bonus FROM k),
+x AS (SELECT family FROM k ORDER BY c DESC, family LIMIT 1),
+n AS (SELECT id AS "key", oc.family, greatest(0, greatest(0.1, 1 - share) - 0.3 * share) AS s, bonus FROM oc JOIN f ON oc.family = f.family JOIN b ON b.family = oc.family
+  WHERE verdict = 'useful' AND oc.family NOT IN (SELECT family FROM x))
+SELECT "key", family, {r6('s', 'novelty_score')}, {r6('bonus', 'bonus')} FROM n ORDER BY s + bonus DESC, "key" LIMIT 10""",
 )
 def novelty(spark, sf_dir):
     o = outcomes(spark, sf_dir)
-    d = scorecard.novelty(o.filter("verdict = 'useful'").select(F.col("id").alias("key"), "family"), o)
-    return show(d, ["key", "family"], ["novelty_score"])
+    tried = o.groupBy("family").agg(
+        F.count_if(F.col("verdict") == "useless").alias("failed"), F.count_if(F.col("verdict") == "marginal").alias("findings"), F.count(F.lit(1)).alias("c")
+    )
+    bonus = tried.select("family", scorecard.exploration_bonus(F.col("failed"), F.col("findings")).alias("bonus"))
+    candidates = o.filter("verdict = 'useful'").select(F.col("id").alias("key"), "family").join(bonus, "family")
+    crowded = tried.orderBy(F.col("c").desc(), "family").limit(1)  # the family that is explored most is left out
+    return show(scorecard.novelty(candidates, o, bonus="bonus", excluded=crowded), ["key", "family"], ["novelty_score", "bonus"])
 
 
 @query(
@@ -390,7 +418,7 @@ def scan_factor_library(spark, sf_dir):
 # -- lifecycle -------------------------------------------------------------------------------------------
 
 LIFE = """lf AS (SELECT o_orderkey AS id, (['candidate', 'observe', 'paper', 'pilot', 'live'])[1 + o_orderkey % 5] AS status, CAST(o_custkey % 150 AS INT) AS days, (o_totalprice - 200000) / 10000000 AS oos,
-  (o_totalprice - 250000) / 10000000 AS cost, (o_orderkey % 10) / 10.0 AS crowd, o_orderdate::DATE AS ev, o_totalprice / 10000000 AS ric FROM orders)"""
+  (o_totalprice - 250000) / 10000000 AS cost, (o_orderkey % 10) / 10.0 AS crowd, o_orderdate::DATE AS ev, o_totalprice / 10000000 AS ric, (o_custkey % 7 - 3) / 100.0 AS reg FROM orders)"""
 
 
 def lifecycle_entries(spark, sf_dir):
@@ -403,14 +431,14 @@ def lifecycle_entries(spark, sf_dir):
         ((F.col("o_totalprice") - 200000) / 10000000).alias("oos_ic"),
         ((F.col("o_totalprice") - 250000) / 10000000).alias("cost_adj_ic"),
         (F.col("o_orderkey") % 10 / 10.0).alias("crowding"),
-        F.lit(1.0).alias("regime_adj_ic"),
+        ((F.col("o_custkey") % 7 - 3) / 100.0).alias("regime_adj_ic"),
         F.col("o_orderdate").cast("date").alias("evaluated_at"),
         (F.col("o_totalprice") / 10000000).alias("rank_ic"),
     )
 
 
 NEXT = """CASE WHEN status = 'candidate' AND lv > 0.015 THEN 'observe' WHEN status = 'observe' AND days >= 30 AND oos > 0.01 AND cost > 0 THEN 'paper' WHEN status = 'observe' AND lv < 0.005 AND days > 60 THEN 'rejected'
- WHEN status = 'paper' AND days >= 60 AND oos > 0.015 AND crowd < 0.5 THEN 'pilot' WHEN status = 'paper' AND oos < 0 AND days > 90 THEN 'observe' WHEN status = 'pilot' AND days >= 90 AND cost > 0.01 THEN 'live'
+ WHEN status = 'paper' AND days >= 60 AND oos > 0.015 AND crowd < 0.5 THEN 'pilot' WHEN status = 'paper' AND oos < 0 AND days > 90 THEN 'observe' WHEN status = 'pilot' AND days >= 90 AND cost > 0.01 AND reg > 0 THEN 'live'
  WHEN status = 'pilot' AND cost < 0 AND days > 120 THEN 'retired' WHEN status = 'live' AND ((lv < 0.005 AND days > 60) OR crowd > 0.7) THEN 'retired' ELSE status END"""
 
 

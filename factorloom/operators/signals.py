@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import bounded, holds, ratio
 from ..functions.stats import safe_corr
-from .ts import series, trend_features, ts_mean
+from .ts import previous_extremes, series, trend_features, ts_mean
 
 
 def _filtered(buy: Column, trend: bool, max_volatility: float | None) -> Column:
@@ -134,13 +134,7 @@ def ma_grid(df: DataFrame, combos: Sequence[tuple[int, int]]) -> DataFrame:
 
 
 def channel_grid(df: DataFrame, combos: Sequence[tuple[int, int]]) -> DataFrame:
-    d = df
-    cols = {}
-    for k in sorted({k for pair in combos for k in pair}):
-        f = series().rowsBetween(-k, -1)
-        full = F.count("close").over(f) == k
-        cols |= {f"_u{k}": F.when(full, F.max("close").over(f)), f"_d{k}": F.when(full, F.min("close").over(f))}
-    d = d.withColumns(cols)
+    d = previous_extremes(df, "close", [k for pair in combos for k in pair])
     rows = F.array(
         *[
             F.struct(
@@ -154,6 +148,37 @@ def channel_grid(df: DataFrame, combos: Sequence[tuple[int, int]]) -> DataFrame:
     return d.select(*df.columns, F.explode(rows).alias("g")).select(*df.columns, "g.*")
 
 
+FILTERS = {"none": (False, False), "trend": (True, False), "volatility": (False, True), "both": (True, True)}
+
+
+def strategy_grid(df: DataFrame, combos: dict[str, Sequence[tuple[int, int]]], max_volatility: float, trend_window: int = 60, vol_window: int = 20) -> DataFrame:
+    """Signals of both strategies for all their windows and all filters: ``df`` with strategy, short, long, filters and signal.
+
+    Means, extremes, trend and volatility are computed once for all of the grid, over one partitioning.
+    """
+    w, ma, channel = series(), combos.get("ma_cross", ()), combos.get("channel_breakout", ())
+    spans = sorted({k for pair in ma for k in pair})
+    d = trend_features(df, trend_window, vol_window).withColumns({f"_m{k}": ts_mean("close", k) for k in spans})
+    d = d.withColumns({f"_p{k}": F.lag(f"_m{k}").over(w) for k in spans})
+    if channel:
+        d = previous_extremes(d, "close", [k for pair in channel for k in pair])
+    rules = []
+    for s, l in ma:
+        now, was = (F.col(f"_m{s}"), F.col(f"_m{l}")), (F.col(f"_p{s}"), F.col(f"_p{l}"))
+        rules.append(("ma_cross", s, l, (now[0] > now[1]) & (was[0] <= was[1]), (now[0] < now[1]) & (was[0] >= was[1])))
+    for s, l in channel:
+        rules.append(("channel_breakout", s, l, F.col("close") > F.col(f"_u{s}"), F.col("close") < F.col(f"_d{l}")))
+    rows = [
+        F.struct(
+            F.lit(name).alias("strategy"), F.lit(s).alias("short"), F.lit(l).alias("long"), F.lit(f).alias("filters"),
+            _signal(_filtered(buy, trend, max_volatility if vol else None), sell).alias("signal"),
+        )
+        for name, s, l, buy, sell in rules
+        for f, (trend, vol) in FILTERS.items()
+    ]
+    return d.select(*df.columns, F.explode(F.array(*rows)).alias("g")).select(*df.columns, "g.*")
+
+
 GRIDS = {"ma_cross": ma_grid, "channel_breakout": channel_grid}
 
 

@@ -6,6 +6,8 @@ long as the calendar, however many assets there are.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,6 +126,29 @@ def forward_return(horizon: int, shift: int = 0, x="close") -> Column:
     return ratio(F.lead(x, horizon + shift - 1).over(w), F.lead(x, shift).over(w)) - 1
 
 
+def previous_extremes(df: DataFrame, x: str, spans: Sequence[int]) -> DataFrame:
+    """Add ``_u{k}`` and ``_d{k}``: the largest and smallest ``x`` of the k rows before this one, NULL unless all k have a value.
+
+    Extremes over 1, 2, 4, ... rows are built once, each from two of the half length; any
+    span is two overlapping ones of them, so a grid of spans costs about log2 of the largest.
+    """
+    w = series()
+    pick = {"_u": F.greatest, "_d": F.least}
+
+    def both(kind: str, a: Column, b: Column) -> Column:
+        return F.when(a.isNotNull() & b.isNotNull(), pick[kind](a, b))
+
+    d = df.withColumns({f"{kind}p0": F.col(x) for kind in pick})
+    top = max(spans).bit_length() - 1
+    for j in range(top):
+        d = d.withColumns({f"{kind}p{j + 1}": both(kind, F.col(f"{kind}p{j}"), F.lag(f"{kind}p{j}", 2**j).over(w)) for kind in pick})
+    made = {}
+    for k in sorted(set(spans)):
+        j = k.bit_length() - 1
+        made |= {f"{kind}{k}": both(kind, F.lag(f"{kind}p{j}", 1).over(w), F.lag(f"{kind}p{j}", 1 + k - 2**j).over(w)) for kind in pick}
+    return d.withColumns(made).drop(*[f"{kind}p{j}" for kind in pick for j in range(top + 1)])
+
+
 BLOCK = 32  # rows of an asset whose maps are composed at once
 
 

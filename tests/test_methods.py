@@ -91,6 +91,17 @@ def test_ema_over_blocks_and_gaps(spark):
         assert (r["y"] is None and np.isnan(w)) or r["y"] == pytest.approx(w, abs=1e-12)
 
 
+def test_extremes_of_doubled_windows(spark):
+    rng = np.random.default_rng(9)
+    x = pd.Series(rng.integers(0, 50, 90).astype(float))
+    x[[17, 60]] = np.nan
+    rows = [("a", d.date(), None if np.isnan(v) else v) for d, v in zip(pd.date_range("2024-01-01", periods=90), x, strict=True)]
+    got = ts.previous_extremes(spark.createDataFrame(rows, "asset string, date date, close double"), "close", [1, 2, 5, 8, 21]).toPandas().sort_values("date")
+    for k in (1, 2, 5, 8, 21):
+        for name, want in ((f"_u{k}", x.rolling(k).max().shift(1)), (f"_d{k}", x.rolling(k).min().shift(1))):
+            assert np.allclose(got[name].to_numpy(float), want.to_numpy(), equal_nan=True), name
+
+
 def test_sample_check(spark):
     """By date without gaps, as a whole with them, zeros for fewer than fifty pairs."""
     rng = np.random.default_rng(6)
