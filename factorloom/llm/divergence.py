@@ -33,8 +33,8 @@ from .words import BYTE_CODE, LOWER, mix, run_hashes, slices
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LETTER = np.zeros(256, bool)
 LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-PART = 20_000  # terms of one automaton
-WAVE = 1_000_000  # terms whose automata are sent to the tasks at once
+PART = 20_000  # terms of one automaton, 65,535 at most
+WAVE = 500_000  # terms whose automata are sent to the tasks at once
 BLOCK = 2048  # ordinals of one matrix
 GROUP = 128  # sources of one matrix, about
 UNIT = 10**9

@@ -71,7 +71,7 @@ class Transducer:
         states = 1 + sum(len(p["accept"]) for _, _, p in parts)
         self.accept = np.zeros(states, bool)
         self.to = np.zeros((states, self.kinds), np.int32)
-        self.skip = np.zeros((states, self.kinds), np.int64)  # terms before those behind the transition
+        self.skip = np.zeros((states, self.kinds), np.uint16)  # terms of the part before those behind the transition
         self.roots, offset = [], 1
         for _, _, p in parts:
             n = len(p["accept"])
