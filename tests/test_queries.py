@@ -18,8 +18,13 @@ b_trade_cost b_signal_returns s_upsert_panel j_asof_join s_ttm_earnings q_qualit
 g_direction_insight g_direction_guidance m_lineage z_stream_panel_upsert i_oos_ic_check i_decision_checks b_risk_check""".split()
 
 
+# On fewer than twenty assets a date has no IC, and the SQL of these has no row where the operator gives zeros.
+BROAD = """b_ic_vs_return c_crowding_penalty c_factor_weights i_benchmark_compare i_decay_monitor_ic i_evaluate_named i_named_factors_ic i_rank_ic_single
+i_report_ic i_scorecard_rank_ic i_test_verdict m_delivery_screen m_governance_severity o_parameter_sensitivity o_parameter_sweep u_user_factor""".split()
+
+
 def where(name: str) -> str:
-    return SF_DIR if name in CORE or os.environ.get("FACTORLOOM_ALL") else SMALL
+    return SF_DIR if name in CORE or name in BROAD or os.environ.get("FACTORLOOM_ALL") else SMALL
 
 
 def test_registry():
