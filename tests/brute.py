@@ -15,6 +15,11 @@ ROLL = {
 }
 
 
+def steady(x):
+    """40 significant bits, as ranks compare."""
+    return x * 8193.0 - (x * 8193.0 - x)
+
+
 def evaluate(node, df):
     """``df`` is sorted by asset and date with a plain index."""
     if node["block_type"] == "data":
@@ -37,7 +42,7 @@ def evaluate(node, df):
         both = pd.DataFrame({"x": x, "y": y, "a": df["asset"]})
         return pd.concat([g["x"].rolling(w, min_periods=1).corr(g["y"]) for _, g in both.groupby("a")]).reindex(df.index)
     return {
-        "rank": lambda: by_date.rank(pct=True),
+        "rank": lambda: steady(x).groupby(df["date"]).rank(pct=True),
         "zscore": lambda: by_date.transform(lambda s: (s - s.mean()) / (s.std() + 1e-10)),
         "delta": lambda: by_asset.diff(w),
         "lag": lambda: by_asset.shift(w),
@@ -54,7 +59,7 @@ def rank_ic(values, df, horizon=5, min_n=20):
     out = []
     for _, g in pd.DataFrame({"f": values, "r": fwd, "d": df["date"]}).dropna().groupby("d"):
         if len(g) >= min_n:
-            c = g["f"].rank().corr(g["r"].rank())
+            c = steady(g["f"]).rank().corr(steady(g["r"]).rank())
             if not np.isnan(c):
                 out.append(c)
     return np.array(out)

@@ -76,7 +76,7 @@ def test_unknown_operator_and_field(panel):
 
 def test_sweep_space():
     space = sweep.default_space(NAMED["A_Share_ST_Proxy"])
-    assert space == {"lo": [-3.0, -2.0, -1.5], "hi": [1.5, 2.0, 3.0]}
+    assert space == {"clip__lo": [-3.0, -2.0, -1.5], "clip__hi": [1.5, 2.0, 3.0]}
     made = sweep.variants(NAMED["Momentum_12m1m"], {"window": [5, 10]})
     assert made["window=5"]["input_block"]["params"]["window"] == 5
     assert NAMED["Momentum_12m1m"]["input_block"]["params"]["window"] == 20
