@@ -201,6 +201,30 @@ def test_signal_returns_match_row_by_row(panel):
     assert (one["signal"] == held["signal"]).all()
 
 
+
+def test_grid_metrics_are_those_of_every_place_by_itself(spark, panel_pdf):
+    rows = [(d, a, None if i % 37 == 0 else c) for i, (d, a, c) in enumerate(panel_pdf[["date", "asset", "close"]].itertuples(index=False))]
+    rows += [(None, "000003", 9.0), (rows[0][0], None, 8.0), (rows[-1][0], None, 7.0), (rows[0][0], "alone", 3.0), (rows[-1][0], "blank", None)]
+    p = spark.createDataFrame(rows, "date date, asset string, close double")
+    grid = {"ma_cross": [(2, 4), (3, 5)], "channel_breakout": [(2, 3)]}
+    by = ["asset", "strategy", "short", "long", "filters"]
+    made = signals.grid_metrics(*signals.strategy_signals(p, grid, 0.6))
+    # no row for each place before the asset's rows are taken together
+    assert "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()
+    want = signals.signal_metrics(signals.positions(signals.strategy_grid(p, grid, 0.6), by), by).toPandas()
+    got = made.toPandas()
+    assert set(got.columns) == set(want.columns)
+    got, want = (d.fillna({"asset": ""}).sort_values(by).reset_index(drop=True) for d in (got, want))
+    assert len(got) == 12 * p.select("asset").distinct().count() and (got["trade_count"] > 0).any() and (got["win_rate"] > 0).any()
+    named = want["asset"] != ""  # a null asset has no win rate in a join
+    assert np.allclose(got["win_rate"][named], want["win_rate"][named])
+    for c in want.columns:
+        if c in by:
+            assert (got[c] == want[c]).all()
+        elif c != "win_rate":
+            assert np.allclose(got[c].astype(float), want[c].astype(float), rtol=1e-9, atol=1e-12, equal_nan=True), c
+
+
 def test_walk_forward_folds_restart(panel):
     d = signals.walk_forward(panel.select("date", "asset", "close"), "ma_cross", [(2, 3), (2, 4)], (2, 4), 10, 5, 5).toPandas()
     assert set(d["fold"]) == {0, 1, 2}
