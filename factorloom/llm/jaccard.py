@@ -36,7 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -153,6 +153,17 @@ def tallies(marks: DataFrame) -> DataFrame:
     return written(own.select(F.lit(True).alias("own"), "key", "n").unionByName(shared), "token-tallies")
 
 
+def by_token(marks: DataFrame) -> DataFrame:
+    """(cls, token, often, own) of (cls, token) rows, once each: how many rows hold the token, and whether they are of one class.
+
+    Rows are dealt out by token one time; what else is asked of a token is found where its rows are.
+    """
+    held = marks.repartition("token").groupBy("token", "cls").agg(F.count(F.lit(1)).alias("k"))
+    of_token = Window.partitionBy("token")
+    own = F.min("cls").over(of_token) == F.max("cls").over(of_token)
+    return held.select("cls", "token", F.sum("k").over(of_token).alias("often"), own.alias("own"))
+
+
 def still_open(classes: DataFrame, counts: DataFrame, key: str, rule: Rule) -> DataFrame:
     """Of (cls, n, ...) rows those that may link, with ``rare``, the number of their own tokens."""
     own = counts.filter("own").select(F.col("key").alias(key), F.col("n").alias("rare"))
@@ -173,15 +184,14 @@ def open_classes(docs: DataFrame, doc_id: str, text: str, rows: DataFrame, class
     some = rows.select("row", "id", "n", "d1", "d2", *signs).join(F.broadcast(names) if first.count() <= BROADCAST_CLASSES else names, "row")
     some = written(some.withColumnRenamed("row", "cls"), "open-rows")
     sets = written(full_sets(docs, doc_id, text, rule, some.select("cls", "id", "d1", "d2")), "open-sets")
-    marks = sets.select("cls", F.explode("tokens").alias("token"))
-    counts = tallies(marks)
-    left = written(still_open(some.select("cls", "n", *signs), counts, "cls", rule), "open-left")
-    shared = counts.filter("NOT own").select(F.col("key").alias("token"), F.col("n").alias("often"))
-    ordered = among(marks, left.select("cls"), "cls").join(shared, "token").groupBy("cls").agg(F.sort_array(F.collect_set(F.struct("often", "token"))).alias("all"))
+    dealt = by_token(sets.select("cls", F.explode("tokens").alias("token")))
+    places = F.sort_array(F.collect_list(F.when(~F.col("own"), F.struct("often", "token"))))
+    of_class = dealt.groupBy("cls").agg(F.count_if("own").alias("rare"), places.alias("all"))
+    left = some.select("cls", "n", *signs).join(of_class, "cls").filter((F.col("rare") < rule.probe_column(F.col("n"))) & (F.size("all") > 0))
     kept = F.slice("all", F.lit(1), (rule.probe_column(F.col("n")) - F.col("rare")).cast("int"))
-    reps = left.join(ordered, "cls").withColumn("prefix", F.transform(kept, lambda x: x["token"])).drop("all")
+    reps = left.withColumn("prefix", F.transform(kept, lambda x: x["token"])).drop("all")
     reps = written(reps, "shingle-reps")
-    forget(counts, first, some, left)
+    forget(first, some)
     return reps, sets
 
 

@@ -86,6 +86,15 @@ def test_jaccard_hub_and_null_ids(spark):
     assert {r["component"] for r in got} == {50}
 
 
+def test_tokens_are_dealt_out_once(spark):
+    marks = [(c, t) for c, ts in {1: [5, 6, 7], 2: [6, 7, 8], 3: [7, 9]}.items() for t in ts] + [(2, 8), (2, 7)]  # class 2 was read twice
+    d = jaccard.by_token(spark.createDataFrame(marks, "cls long, token long"))
+    assert d._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1
+    assert {tuple(r) for r in d.collect()} == {(1, 5, 1, True), (1, 6, 2, False), (2, 6, 2, False), (1, 7, 4, False), (2, 7, 4, False), (3, 7, 4, False), (2, 8, 2, True), (3, 9, 1, True)}
+    assert len(d.collect()) == 8
+
+
+
 def test_exact_dedup(spark, docs, texts, none):
     norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for t in texts]
     first = {}
