@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factorloom.functions.stats import t_two_sided_p
-from factorloom.operators import combine, gram, health, hypothesis, library, lifecycle, portfolio, quality, signals, ts
+from factorloom.operators import combine, gram, health, hypothesis, ic, library, lifecycle, portfolio, quality, signals, ts
 from factorloom.sources import ingest
 from factorloom.streaming import panel_stream
 
@@ -225,6 +225,25 @@ def test_grid_metrics_are_those_of_every_place_by_itself(spark, panel_pdf):
             assert np.allclose(got[c].astype(float), want[c].astype(float), rtol=1e-9, atol=1e-12, equal_nan=True), c
 
 
+
+def test_exposure_reads_its_rows_once(spark):
+    rng = np.random.default_rng(3)
+    rows = [("a", g, None if i % 9 == 0 else float(rng.normal()), float(rng.uniform(1, 9))) for i, g in enumerate(["x", "y", "z", "w", None] * 20)]
+    rows += [("b", "x", 2.0, 3.0), ("b", "y", None, 4.0), ("c", "x", None, 5.0)]
+    long = spark.createDataFrame(rows, "factor_id string, industry string, factor_value double, market_cap double")
+    d = ic.exposure(long)
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    got = {r["factor_id"]: r for r in d.collect()}
+    pdf = pd.DataFrame(rows, columns=["factor_id", "g", "v", "cap"])
+    a = pdf[(pdf.factor_id == "a") & pdf.v.notna()]
+    m = a.groupby("g", dropna=False)["v"].mean()
+    assert np.isclose(got["a"]["industry_exposure"], m.abs().max())
+    assert got["a"]["top_industries"] == ",".join(g for g in m.abs().sort_values(ascending=False).index[:3] if isinstance(g, str))
+    assert np.isclose(got["a"]["cap_exposure"], abs(np.corrcoef(a.v, np.log(a.cap))[0, 1]))
+    assert tuple(got["b"]) == ("b", 0.0, 2.0, "x")
+    assert tuple(got["c"]) == ("c", 0.0, None, None)
+
+
 def test_walk_forward_folds_restart(panel):
     d = signals.walk_forward(panel.select("date", "asset", "close"), "ma_cross", [(2, 3), (2, 4)], (2, 4), 10, 5, 5).toPandas()
     assert set(d["fold"]) == {0, 1, 2}
