@@ -68,3 +68,20 @@ def test_named_factors_keep_their_fields():
     nodes = {}
     tree._collect(NAMED["Quality_EP_Stable"], nodes)
     assert "pe" in tree._columns_used([NAMED["Quality_EP_Stable"]], {}, {k: "_n" for k in nodes})
+
+
+def test_four_factors_are_ranked_together_without_other_columns(spark, tmp_path):
+    """Also from four ranks on; a date's rows hold what is asked for alone."""
+    import datetime as dt
+
+    from factorloom.catalog.evaluation import factor_frame
+    from factorloom.catalog.sqlkit import FOUR
+
+    lines = [(dt.date(2024, 1, 1) + dt.timedelta(days=i % 200), i % 7, 10.0 + i % 13, 1.0 + i % 3, 0.05) for i in range(1400)]
+    names = "l_shipdate date, l_suppkey long, l_extendedprice double, l_quantity double, l_discount double"
+    spark.createDataFrame(lines, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    df, _ = factor_frame(spark, str(tmp_path))
+    assert df.columns == ["date", "asset", "label", *FOUR]
+    assert "FlatMapGroupsInArrow" in plan_of(df)
+    ranks = [r for r in df.collect() if r["Size_Volume"] is not None]
+    assert ranks and all(0 < r["Size_Volume"] <= 1 for r in ranks)
