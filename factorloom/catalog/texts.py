@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import query, r6, show
-from .evaluation import factor_long
-from .sqlkit import ic_daily, long_factors
+from .evaluation import factor_frame, factor_long
+from .sqlkit import FOUR, ic_daily, long_factors
 from ..operators import ic, knowledge, library, lifecycle, scorecard
 from ..session import shared_folder
 from ..sources.adapters import PANEL_SQL, date_is_wide, table, weekly_panel
@@ -519,9 +519,10 @@ def user_factor(spark, sf_dir):
     f"WITH {long_factors()} SELECT CAST(date AS VARCHAR) AS date, count(*) AS n FROM facs WHERE factor_value IS NOT NULL GROUP BY date HAVING count(DISTINCT factor_id) = 4",
 )
 def common_dates(spark, sf_dir):
-    long, _ = factor_long(spark, sf_dir)
-    d = long.filter(F.col("factor_value").isNotNull()).groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("factor_id").alias("k"))
-    return show(d.filter("k = 4"), ["date", "n"], [])
+    df, _ = factor_frame(spark, sf_dir)
+    d = df.groupBy("date").agg(*[F.count(f"`{f}`").alias(f"k{i}") for i, f in enumerate(FOUR)])
+    d = d.filter(F.least(*[f"k{i}" for i in range(len(FOUR))]) > 0)
+    return show(d.withColumn("n", sum((F.col(f"k{i}") for i in range(len(FOUR))), F.lit(0).cast("bigint"))), ["date", "n"], [])
 
 
 @query(

@@ -85,3 +85,78 @@ def test_four_factors_are_ranked_together_without_other_columns(spark, tmp_path)
     assert "FlatMapGroupsInArrow" in plan_of(df)
     ranks = [r for r in df.collect() if r["Size_Volume"] is not None]
     assert ranks and all(0 < r["Size_Volume"] <= 1 for r in ranks)
+
+
+def long_of(frame, names=NAMES):
+    return frame.unpivot(["date", "asset", "label"], [F.col(f"`{n}`") for n in names], "factor_id", "factor_value")
+
+
+@pytest.fixture(scope="module")
+def unique(frame):
+    """One row for each date and asset, so that ties have one order."""
+    return frame.dropDuplicates(["date", "asset"]).cache()
+
+
+def test_rank_mean_of_columns_equals_rows(frame):
+    from factorloom.operators import combine
+
+    cols = ["date", "asset", F.round("score", 10), "n_factors"]
+    got = combine.frame_rank_mean(frame, NAMES)
+    assert "Window" not in plan_of(got) and "Expand" not in plan_of(got)
+    assert sorted_rows(got.select(*cols)) == sorted_rows(combine.combine_rank_mean(long_of(frame)).select(*cols))
+
+
+def test_buckets_of_columns_equal_rows(frame):
+    cols = ["factor_id", "date", "bucket", F.round("bucket_return", 10)]
+    got = together.bucket_columns(frame, NAMES, 5, "label")
+    assert "Window" not in plan_of(got)
+    assert sorted_rows(got.select(*cols)) == sorted_rows(ic.bucket_returns(long_of(frame), 5).select(*cols))
+
+
+def test_top_names_of_columns_equal_rows(unique):
+    cols = ["factor_id", "date", "asset", "label"]
+    got = ic.frame_top_members(unique, NAMES, keep=["label"])
+    assert "Window" not in plan_of(got)
+    assert sorted_rows(got.select(*cols)) == sorted_rows(ic.top_members(long_of(unique)).select(*cols))
+    pairs = long_of(unique).filter("factor_value IS NOT NULL AND label IS NOT NULL")
+    varied = pairs.join(ic.varied_dates(pairs, 5), ["factor_id", "date"], "left_semi")
+    got = ic.frame_top_members(unique, NAMES, keep=["label"], label="label", distinct=5)
+    assert sorted_rows(got.select(*cols)) == sorted_rows(ic.top_members(varied).select(*cols))
+
+
+@pytest.fixture(scope="module")
+def lines(spark, tmp_path_factory):
+    """Star tables of 40 suppliers over 60 weeks."""
+    import datetime as dt
+
+    home = str(tmp_path_factory.mktemp("lines"))
+    rows = [(dt.date(2024, 1, 1) + dt.timedelta(days=i % 420), (i + i // 420) % 40, 10.0 + i % 13 + i % 7, 1.0 + i % 3, 0.05) for i in range(9000)]
+    spark.createDataFrame(rows, "l_shipdate date, l_suppkey long, l_extendedprice double, l_quantity double, l_discount double").write.parquet(f"{home}/lineitem.parquet")
+    spark.createDataFrame([(i, i % 3) for i in range(40)], "s_suppkey long, s_nationkey long").write.parquet(f"{home}/supplier.parquet")
+    spark.createDataFrame([(i, f"N{i}") for i in range(3)], "n_nationkey long, n_name string").write.parquet(f"{home}/nation.parquet")
+    return home
+
+
+ONCE = "i_oos_ic_check i_scorecard m_delivery_screen b_ic_vs_return b_turnover_cost_impact c_crowding_penalty m_governance_severity".split()
+
+
+@pytest.mark.parametrize("name", [*ONCE, "i_top_bucket_turnover"])
+def test_the_panel_is_derived_once(spark, lines, name):
+    """The result starts from what is kept: its plan reads no line items again."""
+    from factorloom import catalog
+
+    catalog.load_all()
+    df = catalog.QUERIES[name](spark, lines)
+    assert "l_shipdate" not in plan_of(df)
+
+
+def test_common_dates_count_without_rows_for_each_factor(spark, lines):
+    from factorloom import catalog
+    from factorloom.catalog.evaluation import factor_long
+
+    catalog.load_all()
+    df = catalog.QUERIES["u_common_dates"](spark, lines)
+    assert "Expand" not in plan_of(df)
+    long = factor_long(spark, lines)[0].filter("factor_value IS NOT NULL").groupBy("date")
+    want = long.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("factor_id").alias("k")).filter("k = 4")
+    assert sorted_rows(df) == sorted_rows(want.select(F.col("date").cast("string"), "n"))
