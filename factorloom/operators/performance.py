@@ -58,15 +58,18 @@ def net_of_cost(periods: DataFrame, notional: float) -> DataFrame:
     )
 
 
-def top_book(long: DataFrame, share: float = 0.2, label: str = "label", by: Sequence[str] = ("factor_id",), rate: Column | float = 0.002, wide=False) -> DataFrame:
+def top_book(
+    long: DataFrame, share: float = 0.2, label: str = "label", by: Sequence[str] = ("factor_id",), rate: Column | float = 0.002, wide=False, members: DataFrame | None = None
+) -> DataFrame:
     """Per factor the equal-weight book of its top names, held for one label each: gross and net return, net Sharpe, mean number of names.
 
-    What a date's turnover costs at a round-trip rate is taken off that date's return.
+    What a date's turnover costs at a round-trip rate is taken off that date's return. ``members``
+    are the top names with their label where they are known.
     """
     from .ic import member_turnover, top_members
 
     keys = [*by, "date"]
-    members = top_members(long, share, by, wide)
+    members = top_members(long, share, by, wide) if members is None else members
     held = members.groupBy(*keys).agg(F.avg(label).alias("_r"), F.count(F.lit(1)).alias("_k")).filter(F.col("_r").isNotNull())
     d = held.join(member_turnover(members, by), keys, "left")
     d = d.withColumn("_net", F.col("_r") - F.coalesce("turnover", F.lit(0.0)) * rate)
